@@ -8,7 +8,6 @@ probability of quality replaces "all rules must pass".
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +15,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import staged
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_SYMBOL = r"[#*$%&|<>]"
 EM_ROUNDS = 25
-START_ACCURACY = 0.8
 START_PRIOR = 0.9
-#: Bounds of an accuracy: under 0.55 a rule would turn its meaning round.
-ACCURACY = (0.55, 0.99)
-PRIOR = (0.05, 0.95)
+#: An accuracy at the start: votes for quality on good rows, votes against on bad ones.
+START_GOOD, START_BAD = 0.9, 0.6
+#: The start values weigh as much as so many rows.
+SMOOTHING = 2.0
+PRIOR, GOOD, BAD = (0.05, 0.99), (0.55, 0.9999), (0.02, 0.98)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,47 +53,59 @@ def _repeat_words(ws: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the base figures of each whole text; a null text has no words.
+    """doc_id and the figures of each whole text; a null text has no words.
 
     One row for each row of *docs*; repeated rows are repeated, and further
     columns are left out.
     """
-    lines = F.filter(F.split("body", "\n", -1), lambda x: F.length(F.regexp_replace(x, r"[\x20\x09-\x0D]+", "")) > 0)
+    lines = F.filter(F.split("body", "\n", -1), lambda x: x.rlike(_WORD))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    figures = _let(
+    by_words = _let(
         F.regexp_extract_all("body", F.lit(_WORD), 0),
         lambda ws: F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             _repeat_words(ws).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
         ),
     )
-    dup_lines = _let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
-    symbols = F.length("body") - F.length(F.regexp_replace("body", r"[#*$%&|<>]", ""))
-    return texts.select("doc_id", figures.alias("f"), symbols.cast("long").alias("n_symbols"), dup_lines.cast("long").alias("n_dup_lines"), F.size(lines).cast("long").alias("n_lines")).select(
-        "doc_id", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words", "n_lines"
+    by_lines = _let(
+        lines,
+        lambda ls: F.struct(
+            F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines")
+        ),
+    )
+    symbols = F.length("body") - F.length(F.regexp_replace("body", _SYMBOL, ""))
+    ends = F.regexp_count("body", F.lit(_SYMBOL + r"(?![^\x20\x09-\x0D])"))
+    return texts.select(
+        "doc_id", by_words.alias("f"), by_lines.alias("g"), symbols.cast("long").alias("n_symbols"), ends.cast("long").alias("n_symbol_ends")
+    ).select(
+        "doc_id", "f.n_words", "f.word_chars", "n_symbols", "g.n_dup_lines", "f.n_repeat_words", "g.n_lines", "f.n_letter_words", "n_symbol_ends"
     )
 
 
 def rules() -> dict[str, Column]:
     """Votes on the figures: 1 for quality, -1 against it, 0 abstains."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
+    def at_most(share: Column, good: float, bad: float) -> Column:
+        return vote(share <= good, share > bad)
+
     per_word = F.col("word_chars") / n
-    symbols = F.col("n_symbols") / n
-    repeats = F.col("n_repeat_words") / n
-    dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    letters = F.col("n_letter_words") / n
     return {
         "long_enough": vote(n >= 80, F.col("n_words") < 50),
-        "word_length": vote((per_word >= 3.5) & (per_word <= 9), (per_word < 3) | (per_word > 12)),
-        "few_symbols": vote(symbols <= 0.03, symbols > 0.1),
-        "few_repeats": vote(repeats <= 0.2, repeats > 0.5),
-        "few_dup_lines": vote(dup <= 0.1, dup > 0.3),
-        "no_symbol_flood": vote(F.col("n_symbols") <= 0.01 * F.col("word_chars"), F.col("n_symbols") > 0.08 * F.col("word_chars")),
-        "line_length": vote(n / F.greatest(F.col("n_lines"), F.lit(1)) >= 8, n / F.greatest(F.col("n_lines"), F.lit(1)) < 2),
+        "word_length": vote((per_word >= 3.5) & (per_word <= 7), (per_word < 3) | (per_word > 10)),
+        "few_symbols": at_most(F.col("n_symbols") / n, 0.02, 0.1),
+        "few_symbol_ends": at_most(F.col("n_symbol_ends") / n, 0.01, 0.1),
+        "letter_words": vote(letters >= 0.95, letters < 0.8),
+        "few_repeats": at_most(F.col("n_repeat_words") / n, 0.2, 0.5),
+        "few_dup_lines": at_most(F.col("n_dup_lines") / lines, 0.1, 0.3),
+        "line_length": vote(n / lines >= 8, n / lines < 3),
     }
 
 
@@ -100,52 +113,62 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _posterior(votes: list[Column], prior: Column, accuracies: list[Column]) -> Column:
-    logit = lambda p: F.log(p / (1 - p))
-    total = reduce(lambda a, b: a + b, (v * logit(a) for v, a in zip(votes, accuracies, strict=True)), logit(prior))
+def _posterior(votes: list[Column], prior: Column, good: list[Column], bad: list[Column]) -> Column:
+    """Probability of quality, given each rule's accuracy on good and on bad rows."""
+    total = F.log(prior / (1 - prior))
+    for v, g, b in zip(votes, good, bad, strict=True):
+        total += F.when(v == 1, F.log(g / (1 - b))).when(v == -1, F.log((1 - g) / b)).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
-def estimate(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> tuple[float, dict[str, float]]:
-    """(prior, accuracy of each rule) by expectation-maximisation over all rows.
+def estimate(voted: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> tuple[float, list[float], list[float]]:
+    """(prior, each rule's accuracy on good rows, on bad rows) by
+    expectation-maximisation over all rows.
 
     Rows are counted by vote pattern first: at most 3 ** len(names) patterns,
     whatever the input's size, meet in one row, and one expression runs the
-    rounds.  Without rows, or for a rule that never votes, the start values hold.
+    rounds.  Counts are smoothed by the start values, so those hold without
+    rows and for a rule that never votes.
     """
     patterns = voted.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n"))
     gathered = patterns.agg(F.collect_list(F.struct(F.array(*names).alias("v"), "n")).alias("ps"))
-    k = len(names)
+    k = range(len(names))
 
-    def total(ps: Column, f: Callable[[Column], Column]) -> Column:
-        return F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
+    def share(ps: Column, of: Callable[[Column], Column], among: Callable[[Column], Column], start: float, bounds: tuple) -> Column:
+        total = lambda f: F.aggregate(ps, F.lit(0.0), lambda a, p: a + f(p))
+        raw = (total(of) + SMOOTHING * start) / (total(among) + SMOOTHING)
+        return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), raw))
 
-    def clip(x: Column, start: float, bounds: tuple[float, float]) -> Column:
-        return F.when(F.isnan(x) | x.isNull(), start).otherwise(F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), x)))
+    def maximised(ps: Column) -> Column:
+        is_good, is_bad = (lambda p: p["n"] * p["g"]), (lambda p: p["n"] * (1 - p["g"]))
 
-    def step(state: Column, _: Column) -> Column:
-        def updated(scored: Column) -> Column:
-            n = total(scored, lambda p: p["n"])
-            right = lambda j: (lambda p: p["n"] * F.when(p["v"][j] == 1, p["g"]).when(p["v"][j] == -1, 1 - p["g"]).otherwise(0.0))
-            cast = lambda j: (lambda p: p["n"] * F.abs(p["v"][j]))
-            return F.struct(
-                clip(F.try_divide(total(scored, lambda p: p["n"] * p["g"]), n), START_PRIOR, PRIOR).alias("prior"),
-                F.array(*(clip(F.try_divide(total(scored, right(j)), total(scored, cast(j))), START_ACCURACY, ACCURACY) for j in range(k))).alias("acc"),
-            )
-
-        scored = F.transform(
-            F.col("ps"),
-            lambda p: F.struct(
-                p["v"].alias("v"),
-                p["n"].alias("n"),
-                _posterior([p["v"][j] for j in range(k)], state["prior"], [state["acc"][j] for j in range(k)]).alias("g"),
-            ),
+        def accuracy(j: int, weight: Callable, vote: int, start: float, bounds: tuple) -> Column:
+            when = lambda test: lambda p: F.when(test(p["v"][j]), weight(p)).otherwise(0.0)
+            return share(ps, when(lambda v: v == vote), when(lambda v: v != 0), start, bounds)
+
+        return F.struct(
+            share(ps, is_good, lambda p: p["n"], START_PRIOR, PRIOR).alias("prior"),
+            F.array(*(accuracy(j, is_good, 1, START_GOOD, GOOD) for j in k)).alias("good"),
+            F.array(*(accuracy(j, is_bad, -1, START_BAD, BAD) for j in k)).alias("bad"),
         )
-        return _let(scored, updated)
 
-    start = F.struct(F.lit(START_PRIOR).alias("prior"), F.array(*[F.lit(START_ACCURACY)] * k).alias("acc"))
-    row = gathered.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("m")).first()
-    return row["m"]["prior"], dict(zip(names, row["m"]["acc"], strict=True))
+    def turned(m: Column) -> Column:
+        """No rule's vote may count for the opposite of what it says."""
+        bad = F.array(*(F.greatest(m["bad"][j], 1.01 - m["good"][j]) for j in k))
+        return F.struct(m["prior"].alias("prior"), m["good"].alias("good"), bad.alias("bad"))
+
+    def step(state: Column, _: Column) -> Column:
+        def scored(p: Column) -> Column:
+            g = _posterior([p["v"][j] for j in k], state["prior"], [state["good"][j] for j in k], [state["bad"][j] for j in k])
+            return F.struct(p["v"].alias("v"), p["n"].alias("n"), g.alias("g"))
+
+        return _let(_let(F.transform(F.col("ps"), scored), maximised), turned)
+
+    start = F.struct(
+        F.lit(START_PRIOR).alias("prior"), F.array(*[F.lit(START_GOOD) for _ in k]).alias("good"), F.array(*[F.lit(START_BAD) for _ in k]).alias("bad")
+    )
+    m = gathered.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("m")).first()["m"]
+    return m["prior"], list(m["good"]), list(m["bad"])
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -161,7 +184,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(ballot)
     voted = figures.select("*", *(c.alias(f"vote_{k}") for k, c in ballot.items()))
     votes = [f"vote_{k}" for k in names]
-    prior, accuracy = estimate(voted, votes)
-    posterior = _posterior([F.col(v) for v in votes], F.lit(prior), [F.lit(accuracy[v]) for v in votes])
+    prior, good, bad = estimate(voted, votes)
+    posterior = _posterior([F.col(v) for v in votes], F.lit(prior), [F.lit(x) for x in good], [F.lit(x) for x in bad])
     judged = voted.withColumn("base_failed", base_failed()).withColumn("posterior", posterior)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

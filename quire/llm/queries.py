@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, decontaminate, quality
+from quire.llm import chat, decontaminate, packing, quality, token_counts, wavelet
 from quire.llm.common import table
 
 
@@ -14,6 +14,19 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return wavelet.read_documents(shards)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -25,7 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op8_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op3_wavelet_shards, op4_token_counts, op7_pack, op8_quality_rules, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
