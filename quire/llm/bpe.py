@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,7 @@ import public_tokenizers
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of each half of a worker's caches; a full young half becomes the old
 #: one, from which entries that are used again come back.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 _CUT = re.compile(r" (?=\S)")
 #: The library's pre-tokens, where text has only characters for which Python's
@@ -68,6 +69,7 @@ class Encoder:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
         self.known = _Halves(self._pretoken).__getitem__
         self.lookup = _Halves(self._chunk).__getitem__
@@ -75,7 +77,7 @@ class Encoder:
 
     def _pretoken(self, piece: str) -> bytes:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk that follows a blank."""

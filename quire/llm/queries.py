@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, packing, quality, token_counts, wavelet
+from quire.llm import chat, decontaminate, langid, line_dedup, packing, quality, token_counts, toxicity, wavelet
 from quire.llm.common import table
 
 
@@ -14,6 +15,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def _remainder(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(_remainder(4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return wavelet.read_documents(shards)
@@ -23,6 +35,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply(line_dedup.build(docs), docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_remainder(5) != 0)
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,8 +64,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_wavelet_shards, op4_token_counts, op7_pack, op8_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet_shards, op4_token_counts, op5_line_dedup, op6_toxicity, op7_pack, op8_quality_rules, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE_SQL}
+    return {"op1_chat_format": chat.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
