@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, langid, line_dedup, packing, quality, token_counts, toxicity, wavelet
+from quire.llm import chat, decontaminate, langid, line_dedup, minhash, packing, quality, token_counts, toxicity, wavelet
 from quire.llm.common import table
 
 
@@ -58,13 +58,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet_shards, op4_token_counts, op5_line_dedup, op6_toxicity, op7_pack, op8_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet_shards, op4_token_counts, op5_line_dedup, op6_toxicity, op7_pack, op8_quality_rules, op9_near_duplicates, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
