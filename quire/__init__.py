@@ -1,0 +1 @@
+"""Analytics for page-layout annotation data, as declarative Spark queries."""
