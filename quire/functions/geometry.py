@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import col_of
 
@@ -193,21 +194,21 @@ def _spans(edges: np.ndarray, y: float) -> list[tuple[float, float]]:
     return list(zip(cut[::2], cut[1::2], strict=False))
 
 
+@F.pandas_udf(T.DoubleType())
+def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for parents, children in batches:
+        yield pd.Series([0.0 if p is None or c is None else polygon_overlap(p, c) for p, c in zip(parents, children, strict=True)], dtype=float)
+
+
 def with_overlap(pairs: DataFrame, parent: str, child: str, out: str = "ioa") -> DataFrame:
     """*pairs* with the share of the child polygon that the parent covers.
 
-    Upright rectangles are computed in columns; only pairs with another shape,
-    whose boxes meet, go to Python in Arrow batches.
+    Upright rectangles are computed in columns; only pairs of other shapes
+    whose boxes meet send their polygons to Python, the rest send nulls.
     """
     plain = is_rectangle(parent) & is_rectangle(child)
-    simple = pairs.filter(plain).withColumn(out, box_overlap(box(parent), box(child)))
-
-    @F.pandas_udf("double")
-    def overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([polygon_overlap(np.asarray(p, float), np.asarray(c, float)) for p, c in zip(a, b, strict=True)], dtype=float)
-
-    rest = pairs.filter(~plain)
-    meets = box_overlap(box(parent), box(child)) > 0
-    near = rest.filter(meets).withColumn(out, overlap(F.col(parent), F.col(child)))
-    return simple.unionByName(near).unionByName(rest.filter(~meets).withColumn(out, F.lit(0.0)))
+    by_box = box_overlap(box(parent), box(child))
+    marked = pairs.withColumns({"__plain": plain, "__box": by_box})
+    hard = ~F.col("__plain") & (F.col("__box") > 0)
+    exact = _overlap(F.when(hard, F.col(parent)), F.when(hard, F.col(child)))
+    return marked.withColumn("__exact", exact).withColumn(out, F.when(hard, F.col("__exact")).otherwise(F.col("__box"))).drop("__plain", "__box", "__exact")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import col_of, is_blank
 from quire.plans.rules import INLINE_PATTERNS, KNOWN_MACROS
@@ -23,7 +24,10 @@ def formulas(text: Column | str) -> Column:
     return F.concat(F.regexp_extract_all(t, F.lit(f"(?s){DISPLAY}"), 1), F.regexp_extract_all(t, F.lit(INLINE), 1))
 
 
-@F.pandas_udf("array<struct<formula: string, start: int, end: int>>")
+_SPANS = T.ArrayType(T.StructType([T.StructField("formula", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(_SPANS)
 def formula_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Formulas with their places in the text."""
     for batch in texts:

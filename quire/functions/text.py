@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col_of(c: Column | str) -> Column:
@@ -91,7 +92,7 @@ def ratio(a: str, b: str) -> float:
     return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series([ratio(a.strip(), b.strip()) if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype=float)
@@ -131,7 +132,7 @@ def without_dollars(latex: Column | str) -> Column:
     return strip(F.replace(col_of(latex), F.lit("$$"), F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def character_name(c: pd.Series) -> pd.Series:
     return c.map(lambda x: f"U+{ord(x):04X} ({unicodedata.name(x, 'UNKNOWN')})" if x else None)
 
