@@ -14,8 +14,8 @@ from quire.functions.text import col_of, is_blank
 from quire.plans.rules import INLINE_PATTERNS, KNOWN_MACROS
 
 # Formulas between two dollars (over lines) and between one (on a line).
-DISPLAY = r"(?<!\\)\$\$(.*?)(?<!\\)\$\$"
-INLINE = r"(?<!\\)\$(.*?)(?<!\\)\$"
+DISPLAY = r"(?<!\\)\$\$(.+?)(?<!\\)\$\$"
+INLINE = r"(?<!\\)\$(.+?)(?<!\\)\$"
 
 
 def formulas(text: Column | str) -> Column:

@@ -283,7 +283,7 @@ def v4_empty_html(spark, sf_dir):
     return validate.empty_html(ann(spark, sf_dir))
 
 
-_FORMULAS = """SELECT file, category, anno_id, f FROM (SELECT *, unnest(list_concat(CASE WHEN latex IS NULL THEN [] ELSE [latex] END, regexp_extract_all(coalesce(text, ''), '\\$(.*?)\\$', 1))) AS f FROM ann)"""
+_FORMULAS = """SELECT file, category, anno_id, f FROM (SELECT *, unnest(list_concat(CASE WHEN latex IS NULL THEN [] ELSE [latex] END, regexp_extract_all(coalesce(text, ''), '\\$(.+?)\\$', 1))) AS f FROM ann)"""
 
 
 @query(
@@ -401,7 +401,7 @@ def v16_empty_text_files(spark, sf_dir):
     return validate.empty_texts(ann(spark, sf_dir)).groupBy("file").agg(count())
 
 
-@query(r"SELECT file, pos, array_to_string(regexp_extract_all(text, '\$(.*?)\$', 1), '|') AS formulas FROM ann WHERE contains(text, '$')", ann=ANN)
+@query(r"SELECT file, pos, array_to_string(regexp_extract_all(text, '\$(.+?)\$', 1), '|') AS formulas FROM ann WHERE contains(text, '$')", ann=ANN)
 def l1_formulas(spark, sf_dir):
     return ann(spark, sf_dir).filter("contains(text, '$')").select("file", "pos", F.array_join(latex.formulas("text"), "|").alias("formulas"))
 
