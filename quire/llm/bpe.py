@@ -33,15 +33,17 @@ class _Uncuttable(Exception):
 
 
 class _Halves(dict):
-    """A cache of f(key) in two halves, bounded by twice CACHE_ENTRIES."""
+    """A cache of f(key) in two halves, bounded by twice CACHE_ENTRIES; parts(key) where f gives None."""
 
-    def __init__(self, f: Callable[[str], bytes]):
-        self.f, self.old = f, {}
+    def __init__(self, f: Callable[[str], bytes | None], parts: Callable[[str], bytes] | None = None):
+        self.f, self.parts, self.old = f, parts, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.f(key)
+            if value is None:  # made of parts that are held themselves
+                return self.parts(key)
         if len(self) >= CACHE_ENTRIES:
             self.old = self.copy()
             self.clear()
@@ -72,19 +74,34 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
         self.known = _Halves(self._pretoken).__getitem__
-        self.lookup = _Halves(self._chunk).__getitem__
+        self.lookup = _Halves(self._chunk, self._parts).__getitem__
         self.letters = _byte_letters()
 
     def _pretoken(self, piece: str) -> bytes:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that follows a blank."""
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that follows a blank; None if it is letters with common marks at their end."""
+        if chunk.isalpha():
+            return self._pretoken(" " + chunk)
         if not chunk or chunk[0].isspace():
             raise _Uncuttable
+        if chunk.partition("\n")[0].rstrip(".,").isalpha():
+            return None
         return self.pretokens(" " + chunk)
 
+    def _parts(self, chunk: str) -> bytes:
+        """Letters, full stops or commas, and what stands after a line's end: each a pre-token or more of its own."""
+        line, end, rest = chunk.partition("\n")
+        word = line.rstrip(".,")
+        ids = self.lookup(word)
+        if len(word) < len(line):
+            ids += self.known(line[len(word) :])
+        if end:
+            ids += self.known("\n") + self.known(rest) if rest.isalpha() else self.pretokens(end + rest)
+        return ids
+
     def pretokens(self, text: str) -> bytes:
         if _PLAIN(text):
             return b"".join(map(self.known, _PRETOKENS(text)))
