@@ -1,9 +1,7 @@
-"""Shared plumbing: staging tables on the cluster's shared folder, Arrow maps."""
+"""Shared plumbing: Arrow maps over columns, and the staging of intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,34 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
-ARROW_ROWS = "512"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    It is read from the session.  Only where it is unset, as in local tests, a
-    temporary folder of this machine is taken, which local mode can share.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("quire.shared.dir", found)
-    return found.rstrip("/")
-
+from quire.staging import shared_dir, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write *df* as Parquet into the shared folder and read it back.
+__all__ = ["append_columns", "field", "shared_dir", "short_batches", "staged", "table"]
 
-    This cuts the lineage in a way that survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
+ARROW_ROWS = "512"
 
 
 def short_batches(spark: SparkSession) -> None:
