@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import col_of, strip
+from quire.functions.text import col_of, shortened, strip
 from quire.plans import rules
 
 #: Python's names of JSON types.
@@ -142,13 +142,9 @@ def share_by_group(df: DataFrame, group: str, unit: str, having: Column) -> Data
 
 def table_layouts(ann: DataFrame, layout: str = "layout", examples: int = 3, shown_html: int = 500) -> DataFrame:
     """Tables by layout, with the first examples (file and cut markup); any layout counts."""
-    from quire.functions.text import shortened
-
     sample = F.slice(F.array_sort(F.collect_list(F.struct("file", shortened("html", shown_html).alias("html")))), 1, examples)
     known = ann.filter(F.col(layout).isNotNull() & (F.col(layout) != ""))
     counts = known.groupBy(layout).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     first = known.withColumn("__r", F.row_number().over(Window.partitionBy(layout).orderBy("file"))).filter(F.col("__r") <= examples)
     return counts.join(first.groupBy(layout).agg(sample.alias("examples")), layout)
 

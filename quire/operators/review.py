@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import dense_ids
+
 RESULT = "is_error boolean, error_types array<string>, memo string, reviewed boolean"
 
 
@@ -42,8 +44,7 @@ def summary(breakdown: DataFrame, reviewed: DataFrame, stratum: str = "doc_type"
 
 def details(reviewed: DataFrame) -> DataFrame:
     """Rows of the detail sheet, numbered in file order."""
-    number = F.row_number().over(Window.orderBy("file"))
-    return reviewed.withColumns({"no": number, "error_types": F.array_join("error_types", ", ")})
+    return dense_ids(reviewed.withColumn("error_types", F.array_join("error_types", ", ")), ["file"], "no")
 
 
 def progress(reviewed: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import hash_ranks
 from quire.plans import rules
 
 
@@ -24,9 +25,8 @@ def stratified(files: DataFrame, stratum: str, key: str, rate: float, min_per_ty
     """
     if not 0 < rate <= 1 or min_per_type < 1:
         raise ValueError("rate must be in (0, 1] and min_per_type at least 1")
-    w = Window.partitionBy(stratum)
-    ranked = files.withColumns({"__n": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(_order(seed, key), key))})
-    return ranked.filter(F.col("__r") <= sample_size(F.col("__n"), rate, min_per_type)).drop("__n", "__r")
+    ranked = hash_ranks(files, [stratum], _order(seed, key), key)
+    return ranked.filter(F.col("__rank") <= sample_size(F.col("__size"), rate, min_per_type)).select(*files.columns)
 
 
 def breakdown(files: DataFrame, sampled: DataFrame, stratum: str, names: DataFrame | None = None) -> DataFrame:
@@ -50,21 +50,11 @@ def diverse(files: DataFrame, clusters: DataFrame | None, stratum: str, key: str
     return stratified(kept, stratum, key, rate, min_per_type, seed)
 
 
-def train_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42, buckets: int = 4096) -> DataFrame:
-    """*rows* with split: exactly floor(n * share) are ``train``, in an order fixed by the seed.
-
-    Ranks are counted in buckets of that order, so that no task sorts all rows.
-    """
-    ordered = rows.withColumn("__o", _order(seed, key))
-    ordered = ordered.withColumn("__b", F.conv(F.substring("__o", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32))
-    ordered = ordered.withColumn("__b", F.floor("__b"))
-    sizes = ordered.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    earlier = F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__b", earlier.alias("__s"))
-    n = rows.count()
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy("__o", key)) + F.col("__s")
-    placed = ordered.join(F.broadcast(starts), "__b").withColumn("split", F.when(rank <= int(n * share), "train").otherwise("val"))
-    return placed.select(*rows.columns, "split")
+def train_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """*rows* with split: exactly floor(n * share) are ``train``, in an order fixed by the seed."""
+    ranked = hash_ranks(rows, [], _order(seed, key), key)
+    train = F.col("__rank") <= F.floor(F.col("__size") * F.lit(float(share)))
+    return ranked.select(*rows.columns, F.when(train, "train").otherwise("val").alias("split"))
 
 
 def training_reason(category: Column, text: Column, width: Column, height: Column) -> Column:

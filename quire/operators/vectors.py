@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.numbering import dense_ids
 from quire.staging import staged
 
 #: Vectors of one block of the blocked product, and pivots at most.
@@ -45,8 +46,8 @@ def search(collections: dict[int, DataFrame], stage: int, query: list[float], to
 
 def first_per_document(vectors: DataFrame, doc: str = "doc_id", order: str = "id") -> DataFrame:
     """Of several vectors of a document the one inserted first."""
-    w = Window.partitionBy(doc).orderBy(order)
-    return vectors.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    first = vectors.groupBy(doc).agg(F.min_by(F.struct(*[c for c in vectors.columns if c != doc]), order).alias("__v"))
+    return first.select(doc, "__v.*").select(*vectors.columns)
 
 
 def _unit(lists) -> np.ndarray:
@@ -139,20 +140,17 @@ def clusters(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id"
     """
     nodes = vectors.select(F.col(id_col).cast("long").alias("id")).distinct()
     found = labels(nodes, similar_pairs(vectors, threshold, id_col))
-    w = Window.partitionBy("label")
-    return found.select(
-        "id",
-        F.col("label").alias("cluster_id"),
-        F.row_number().over(w.orderBy("id")).alias("pos"),
-        F.count(F.lit(1)).over(w).alias("size"),
-        (F.col("id") == F.col("label")).alias("is_rep"),
+    placed = dense_ids(found, ["label", "id"], "__n")
+    groups = placed.groupBy("label").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("size"))
+    return placed.join(groups, "label").select(
+        "id", F.col("label").alias("cluster_id"), (F.col("__n") - F.col("__first") + 1).cast("int").alias("pos"), "size", (F.col("id") == F.col("label")).alias("is_rep")
     )
 
 
 def dedup_report(found: DataFrame) -> DataFrame:
     """Rows of clusters of two or more: cluster name by order, whether to keep or to check."""
     several = found.filter("size > 1")
-    order = several.filter("is_rep").select("cluster_id", F.row_number().over(Window.orderBy("cluster_id")).alias("n"))
+    order = dense_ids(several.filter("is_rep").select("cluster_id"), ["cluster_id"], "n")
     action = F.when(F.col("is_rep"), "Keep").otherwise("Remove/Check")
     return several.join(order, "cluster_id").select(F.format_string("CLUSTER_%04d", "n").alias("cluster"), "id", "pos", "size", action.alias("action"))
 

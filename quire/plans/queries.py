@@ -750,8 +750,9 @@ def m2_breakdown(spark, sf_dir):
   SELECT doc_id, source FROM o WHERE r <= least(greatest(least(1, n), ceil(n * CAST(0.2 AS DOUBLE))), n)""")
 def m3_diverse_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    w = Window.partitionBy(F.sha2("text", 256))
-    same = docs.select(F.col("doc_id").alias("id"), F.count(F.lit(1)).over(w).alias("size"), (F.min("doc_id").over(w) == F.col("doc_id")).alias("is_rep"))
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    same = hashed.join(groups, "h").select(F.col("doc_id").alias("id"), "size", (F.col("rep") == F.col("doc_id")).alias("is_rep"))
     return sampling.diverse(docs.select("doc_id", "source"), same, "source", "doc_id", 0.2)
 
 
@@ -798,7 +799,7 @@ def r2_upsert(spark, sf_dir):
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY file) AS INT) AS no, file, doc_type, is_error, CASE WHEN reviewed THEN 'quality, other' ELSE '' END AS error_types, reviewed FROM ({_REVIEWED})")
 def r4_review_details(spark, sf_dir):
-    return review.details(_reviewed(spark, sf_dir)).select("no", "file", "doc_type", "is_error", "error_types", "reviewed")
+    return review.details(_reviewed(spark, sf_dir)).select(F.col("no").cast("int").alias("no"), "file", "doc_type", "is_error", "error_types", "reviewed")
 
 
 @query("SELECT file, CAST(greatest(max(CAST(anno_id AS BIGINT)), coalesce(max(CASE WHEN category = 'figure' AND doc_id % 3 = 0 THEN 4 END), 0)) + 1 AS BIGINT) AS next_id FROM ann GROUP BY file", ann=ANN)
