@@ -38,7 +38,7 @@ LONGEST_PIECE = 16
 SMOOTHING = 0.05
 #: Probability of a letter that is no piece, alike in all languages.
 UNKNOWN = 1e-9
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
