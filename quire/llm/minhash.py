@@ -41,6 +41,8 @@ CANDIDATES = 2_000_000
 SMALL_BUCKET = 12
 #: Rounds of comparison; in each, the texts of a bucket meet one more pivot.
 ROUNDS = 4
+#: Slots in which shingles are counted to order them; more slots, fewer pairs to compare.
+SLOTS = 1 << 20
 BROADCAST_IDS = 1_000_000
 WORD_CACHE = 200_000
 
@@ -308,6 +310,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, hashes: np.ndarray, idf: np.ndarra
     return texts.select("doc_id", "text").mapInArrow(run, "rep long, s binary, w binary").dropDuplicates(["rep"])
 
 
+def _more_sets(docs: DataFrame, sets: DataFrame | None, wanted: DataFrame, hashes: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """*sets* and those of the documents in *wanted* that it lacks."""
+    if sets is None:
+        return staged(_sets(docs, wanted, hashes, idf), "sets")
+    more = staged(wanted.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "wanted")
+    return sets.union(staged(_sets(docs, more, hashes, idf), "sets")) if more.limit(1).count() else sets
+
+
 def _load(s: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.frombuffer(s, "<u8")
     return h, np.frombuffer(w, "<f4").astype(np.float64) if w else np.ones(len(h))
@@ -383,14 +393,60 @@ def classes(docs: DataFrame, least: float = SIMILARITY, common: float = COMMON)
     return ids.join(found, ids["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
 
-def _finer(labelled: DataFrame) -> DataFrame:
-    """Buckets of the texts that share two large buckets; a text is in at most BANDS, so in few pairs of them."""
-    own = F.array_sort(F.collect_set("bucket"))
-    of = labelled.filter(F.col("n") > SMALL_BUCKET).groupBy("rep").agg(F.first("weight").alias("weight"), F.first("label").alias("label"), own.alias("own"))
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", F.lit(1), i), lambda y: F.xxhash64(y, x))))
-    rows = of.select("rep", "weight", "label", F.explode(pairs).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("open")).filter("n > 1 AND open")
-    return rows.join(sizes, "bucket").select(*labelled.columns)
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of *sets* fall into each of SLOTS slots, a text's shingle counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                np.add.at(seen, (np.frombuffer(s, "<u8") >> _U(20)) % _U(SLOTS), 1)
+        hit = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(seen[hit])], ["slot", "n"])
+
+    found = sets.select("s").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """(h, rep, label, total, rest, short) of the shingles that may be the first that two similar texts share.
+
+    All texts order their shingles alike, those of rarely met slots first, and
+    *rest* is the weight from a shingle on.  Texts whose first common shingle it
+    is share *rest* at most, and similar ones share least / (1 + least) of their
+    summed weight: *least* of the heavier text's and 2 least / (1 + least) of
+    the lighter one's, which is what *short* says.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    heavy, light = least - 1e-6, 2 * least / (1 + least) - 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, s, w, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h, weights = _load(s, w)
+                met = sent.value[(h >> _U(20)) % _U(SLOTS)]
+                order = np.lexsort((h, met))
+                h, weights, met = h[order], weights[order], met[order]
+                total = weights.sum()
+                rest = np.cumsum(weights[::-1])[::-1]
+                at = np.flatnonzero((rest >= heavy * total) & (met > 1))
+                n = len(at)
+                columns = [h[at].view(np.int64), np.full(n, rep), np.full(n, label), np.full(n, total), rest[at], rest[at] >= light * total]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "rep", "label", "total", "rest", "short"])
+
+    return sets.select("rep", "s", "w", "label").mapInArrow(run, "h long, rep long, label long, total double, rest double, short boolean")
+
+
+def _all_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts in *sets* (rep, s, w, label) of different labels: all similar ones, and some more."""
+    rows = staged(_prefixes(sets, _slot_counts(sets), least), "prefixes")
+    x = rows.filter("short").select("h", F.col("rep").alias("x"), F.col("label").alias("xl"), F.col("total").alias("xt"), F.col("rest").alias("xr"))
+    y = rows.select("h", F.col("rep").alias("y"), F.col("label").alias("yl"), F.col("total").alias("yt"), F.col("rest").alias("yr"))
+    share = F.least("xr", "yr") >= (least / (1 + least) - 1e-6) * (F.col("xt") + F.col("yt"))
+    met = x.join(y, "h").filter(share & F.expr("xl <> yl AND (xt < yt OR xt = yt AND x < y)") & (F.col("xt") >= (least - 1e-6) * F.col("yt")))
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndarray, least: float) -> DataFrame:
@@ -399,8 +455,8 @@ def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndar
     In each round the texts of a bucket are compared with one pivot of it,
     drawn anew, unless they are in its component already; in small buckets all
     pairs that are not yet in one component are compared in the second round.
-    What large buckets are left then is cut into finer ones, of texts that share
-    two of them, which are treated alike.
+    The texts of large buckets that have several components after the last
+    round are joined by their prefixes, which leaves out no similar pair.
     """
     fits = F.least("w1", "w2") >= (least - 1e-9) * F.greatest("w1", "w2")
     labelled = buckets.select("bucket", "n", "rep", "weight", F.col("rep").alias("label"))
@@ -408,15 +464,13 @@ def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndar
     done: DataFrame | None = None
     sets: DataFrame | None = None
     for turn in range(ROUNDS):
-        if turn == 2:
-            labelled = staged(labelled.union(_finer(labelled)), "finer-buckets")
         large = labelled if turn == 0 else labelled.filter(F.col("n") > SMALL_BUCKET)
         drawn = F.min_by(F.struct("rep", "weight", "label"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p")
         pivots = large.groupBy("bucket").agg(drawn)
         met = large.join(pivots, "bucket").filter("label <> p.label").select(
             F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a"), F.col("weight").alias("w1"), F.col("p.weight").alias("w2")
         )
-        if turn in (1, 2):
+        if turn == 1:
             few = labelled.filter(F.col("n") <= SMALL_BUCKET)
             other = few.select("bucket", F.col("rep").alias("rep2"), F.col("weight").alias("w2"), F.col("label").alias("label2"))
             met = met.union(few.join(other, "bucket").filter("rep < rep2 AND label <> label2").select(F.col("rep").alias("b"), F.col("rep2").alias("a"), F.col("weight").alias("w1"), "w2"))
@@ -425,18 +479,9 @@ def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndar
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         if pairs.limit(1).count() == 0:
-            if turn > 2:
-                break
             continue
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if sets is None:
-            sets = staged(_sets(docs, wanted, hashes, idf), "sets")
-            have = sets.select(F.col("rep").alias("doc_id"))
-        else:
-            more = staged(wanted.join(have, "doc_id", "left_anti"), "wanted")
-            if more.limit(1).count():
-                sets = sets.union(staged(_sets(docs, more, hashes, idf), "sets"))
-                have = sets.select(F.col("rep").alias("doc_id"))
+        sets = _more_sets(docs, sets, wanted, hashes, idf)
         new = staged(verify(pairs, sets, least).select("a", "b"), "links")
         links = new if links is None else links.union(new)
         done = pairs if done is None else done.union(pairs)
@@ -445,6 +490,14 @@ def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndar
         renamed = kept.select("bucket", "n", "rep", "weight", F.coalesce("label", "rep").alias("label"))
         open_ = renamed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("bucket")
         labelled = staged(renamed.join(open_, "bucket"), "open-buckets")
+    left = staged(labelled.filter(F.col("n") > SMALL_BUCKET).select("rep", "label").distinct(), "left")
+    if left.limit(1).count():
+        sets = _more_sets(docs, sets, left.select(F.col("rep").alias("doc_id")), hashes, idf)
+        pairs = _all_pairs(sets.join(left, "rep"), least)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        new = staged(verify(staged(pairs, "pairs"), sets, least).select("a", "b"), "links")
+        links = new if links is None else links.union(new)
     if links is None:
         return buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     return links

@@ -86,6 +86,24 @@ def test_many_texts_around_one_passage(spark):
     assert ours(frame(spark, texts)) == brute(texts)
 
 
+def test_thousands_of_unlike_texts_around_one_passage(spark):
+    """Pairs of which many share no bucket but those of the passage, with weight 1 for its shingles."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(130)]
+    own = lambda i, n: [f"o{i}x{j}" for j in range(n)]
+    texts = {i: " ".join(passage + own(i, rng.randint(20, 22))) for i in range(3000)}
+    for i in range(60):  # as long as the text before, with nine or ten words of it
+        texts[5000 + i] = " ".join((passage + own(i, 20))[: 139 + i % 2] + own(5000 + i, 11))
+    texts[9000] = "without the passage, so that no shingle is in all texts"
+    expected = {i: i for i in texts}
+    for i in range(60):
+        expected[5000 + i] = brute({i: texts[i], 5000 + i: texts[5000 + i]}, 2.0)[5000 + i]
+    assert sum(expected[5000 + i] == i for i in range(60)) > 20
+    assert brute({i: texts[i] for i in range(100, 140)}, 2.0) == {i: i for i in range(100, 140)}
+    found = {r["doc_id"]: r["class_id"] for r in minhash.classes(frame(spark, texts), common=1.0).collect()}
+    assert found == expected
+
+
 def test_sampling_agrees_with_the_similarity():
     rng = np.random.default_rng(0)
     shingles = rng.integers(0, 2**63, 300).astype(np.uint64)
