@@ -40,6 +40,10 @@ def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.annotations(spark, table(spark, sf_dir, "documents"))
 
 
+def whole_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.annotations(spark, table(spark, sf_dir, "documents"), whole=True)
+
+
 def rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.relations(spark, table(spark, sf_dir, "documents"))
 
@@ -382,7 +386,7 @@ def v12_missing_figure_dependencies(spark, sf_dir):
 
 @query()
 def v13_all_findings(spark, sf_dir):
-    a, r = ann(spark, sf_dir), rel(spark, sf_dir)
+    a, r = whole_ann(spark, sf_dir), rel(spark, sf_dir)
     return validate.annotation_rules(a, rules.required_keys(spark)).unionByName(validate.page_rules(a.filter(_EVEN), r, surrogates.sub_regions(a)))
 
 
@@ -611,7 +615,7 @@ def a21_accuracy(spark, sf_dir):
 
 @query()
 def t8_rewrite_changes(spark, sf_dir):
-    return rewrite.changes(ann(spark, sf_dir), ["file", "pos"], ["text", "html"])
+    return rewrite.changes(whole_ann(spark, sf_dir), ["file", "pos"], ["text", "html"])
 
 
 @query("""SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '$abc$' WHEN 1 THEN '$A$의' WHEN 2 THEN '점 $...$' ELSE '' END AS found FROM documents""")

@@ -20,3 +20,12 @@ def test_similarity_of_whole_texts(spark, small):
     where = small([(1, "a" * 300), (2, "a" * 200 + "한" * 100), (3, "b")])
     found = {r["doc_id"]: r["similarity"] for r in queries.QUERIES["t1_similarity"](spark, where).collect()}
     assert found == {1: 0.666667, 2: 0.0}
+
+
+def test_annotations_of_whole_texts(spark, small):
+    text = "word " * 400 + "$a + {b$ and $q$ then x^2"
+    where = small([(1, text)])
+    changed = {r["field"]: r["original"] for r in queries.QUERIES["t8_rewrite_changes"](spark, where).collect()}
+    assert changed["text"].startswith(text)
+    found = queries.QUERIES["v13_all_findings"](spark, where).filter("rule_id = 'latex_unmatched_braces'")
+    assert found.count() == 1
