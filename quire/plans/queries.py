@@ -241,8 +241,10 @@ def g8_canvas_boxes(spark, sf_dir):
 
 @query()
 def g8_layout_vectors(spark, sf_dir):
-    on = geometry.on_canvas(geometry.box("poly"), F.lit(0.0), F.lit(0.0))
-    return geometry.layout_grid(ann(spark, sf_dir).filter("poly_len = 8 AND NOT ignored").select("file", on.alias("box")))
+    x, y = geometry.xs("poly"), geometry.ys("poly")
+    corners = F.struct(F.array_min(x).alias("x1"), F.array_min(y).alias("y1"), F.array_max(x).alias("x2"), F.array_max(y).alias("y2"))
+    on = geometry.on_canvas(corners, F.lit(0.0), F.lit(0.0))
+    return geometry.layout_grid(ann(spark, sf_dir).filter("size(poly) >= 4 AND NOT ignored").select("file", on.alias("box")))
 
 
 @query("""SELECT file, pos, round(x1 + 20 * cos(atan2(y1, x1) + 0.85 * pi()), 4) AS ax, round(y1 + 20 * sin(atan2(y1, x1) - 0.85 * pi()), 4) AS ay FROM ann""", ann=ANN)
@@ -356,9 +358,6 @@ def _inside_sql(parent: str, children: str) -> str:
       AND greatest(0.0, least(p.x1 + p.w, c.x1 + c.w) - greatest(p.x1, c.x1)) * greatest(0.0, least(p.y1 + p.h, c.y1 + c.h) - greatest(p.y1, c.y1)) / (c.w * c.h) >= 0.9"""
 
 
-_EVEN = "poly_len <> 7"
-
-
 @query(
     rf"""SELECT file, category, anno_id, 'table_html_missing_spatial_ref' AS rule_id, 'ERROR' AS severity, child AS detail FROM ({_inside_sql("table", "'figure','chart','table'")}) x
   WHERE NOT EXISTS (SELECT 1 FROM (SELECT file, anno_id, CAST(CAST(unnest(regexp_extract_all(html, '(?i)anno_id(?:_|[^\d]*?)\s*(\d+)', 1)) AS INT) AS VARCHAR) AS ref FROM ann WHERE category = 'table') r
@@ -366,7 +365,7 @@ _EVEN = "poly_len <> 7"
     ann=ANN,
 )
 def v11_missing_table_references(spark, sf_dir):
-    return validate.missing_table_references(ann(spark, sf_dir).filter(_EVEN))
+    return validate.missing_table_references(ann(spark, sf_dir))
 
 
 _FIGURE = f"""SELECT file, category, anno_id, 'missing_figure_dependency' AS rule_id, 'ERROR' AS severity, child AS detail FROM ({_inside_sql("figure", "'text_block','table','chart'")}) x
@@ -376,7 +375,7 @@ _FIGURE = f"""SELECT file, category, anno_id, 'missing_figure_dependency' AS rul
 
 def _figures(spark, sf_dir):
     a = ann(spark, sf_dir)
-    return a.filter(_EVEN), rel(spark, sf_dir), surrogates.sub_regions(a)
+    return a, rel(spark, sf_dir), surrogates.sub_regions(a)
 
 
 @query(_FIGURE, ann=ANN, rel=REL)
@@ -387,7 +386,7 @@ def v12_missing_figure_dependencies(spark, sf_dir):
 @query()
 def v13_all_findings(spark, sf_dir):
     a, r = whole_ann(spark, sf_dir), rel(spark, sf_dir)
-    return validate.annotation_rules(a, rules.required_keys(spark)).unionByName(validate.page_rules(a.filter(_EVEN), r, surrogates.sub_regions(a)))
+    return validate.annotation_rules(a, rules.required_keys(spark)).unionByName(validate.page_rules(a, r, surrogates.sub_regions(a)))
 
 
 @query(f"SELECT file, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT detail, ',' ORDER BY detail) AS children FROM ({_FIGURE}) GROUP BY file", ann=ANN, rel=REL)

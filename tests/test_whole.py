@@ -29,3 +29,15 @@ def test_annotations_of_whole_texts(spark, small):
     assert changed["text"].startswith(text)
     found = queries.QUERIES["v13_all_findings"](spark, where).filter("rule_id = 'latex_unmatched_braces'")
     assert found.count() == 1
+
+
+def test_all_blocks_count(spark, small):
+    """Block 38 has seven polygon numbers."""
+    where = small([(i, "text") for i in range(30, 40)])
+    found = queries.QUERIES["v13_all_findings"](spark, where)
+    of_38 = found.filter("anno_id = '8' AND rule_id IN ('table_include_attr_relation_mismatch', 'table_html_invalid_anno_ref')")
+    assert of_38.count() > 0
+    alone = f"{where}/alone"
+    spark.createDataFrame([(38, "text")], "doc_id long, text string").write.parquet(f"{alone}/documents.parquet")
+    (vector,) = queries.QUERIES["g8_layout_vectors"](spark, alone).collect()
+    assert sum(vector["embedding"]) > 0
