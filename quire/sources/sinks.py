@@ -63,15 +63,23 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def _all_rows(df: DataFrame, limit: int) -> list:
+    """The rows of a report, which must not be more than *limit*."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows; write it as CSV or raise the limit")
+    return rows
+
+
 def markdown(title: str, rows: DataFrame, limit: int = 1000) -> str:
-    """A report's table, of at most *limit* rows, as Markdown."""
+    """A report's table as Markdown; fails beyond *limit* rows."""
     head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{' --- |' * len(rows.columns)}\n"
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    return head + "".join(f"| {' | '.join(map(cell, r))} |\n" for r in rows.limit(limit).collect())
+    return head + "".join(f"| {' | '.join(map(cell, r))} |\n" for r in _all_rows(rows, limit))
 
 
 def write_xlsx(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
-    """Report sheets as a workbook, where the writer library is installed."""
+    """Report sheets as a workbook, where the writer library is installed; fails beyond *limit* rows of a sheet."""
     try:
         from openpyxl import Workbook
     except ImportError as e:
@@ -81,7 +89,7 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) ->
     for name, df in sheets.items():
         sheet = book.create_sheet(name)
         sheet.append(df.columns)
-        for row in df.limit(limit).collect():
+        for row in _all_rows(df, limit):
             sheet.append([str(v) if isinstance(v, list | dict) else v for v in row])
     book.save(path)
 
