@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.staging import shared_dir, staged
+from quire.staging import scratch, shared_dir, staged
 
-__all__ = ["append_columns", "field", "shared_dir", "short_batches", "staged", "table"]
+__all__ = ["append_columns", "field", "scratch", "shared_dir", "short_batches", "staged", "table"]
 
 #: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
 ARROW_ROWS = "512"

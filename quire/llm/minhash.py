@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import short_batches, staged
+from quire.llm.common import scratch, short_batches, staged
 from quire.llm.decontaminate import words
 
 SHINGLE = 5
@@ -37,10 +38,13 @@ IDF_FLOOR = 0.5
 CHUNK = 2048
 #: Candidates for common shingles that are broadcast; more are counted by a shuffle.
 CANDIDATES = 2_000_000
-#: A bucket of so many texts or fewer has all its pairs compared.
+#: A bucket of so many texts or fewer has all its pairs compared; a larger one is joined by prefixes.
 SMALL_BUCKET = 12
-#: Rounds of comparison; in each, the texts of a bucket meet one more pivot.
-ROUNDS = 4
+#: Rows of one key from which, if they are also more than 1 / HOT_KEYS of all
+#: rows, they are not dealt by it.
+HOT_ROWS, HOT_KEYS = 500, 100_000
+#: Parts into which the pairs of one text are dealt.
+SALTS = 64
 #: Slots in which shingles are counted to order them; more slots, fewer pairs to compare.
 SLOTS = 1 << 20
 BROADCAST_IDS = 1_000_000
@@ -261,27 +265,45 @@ def common_shingles(docs: DataFrame, common: float = COMMON, candidates: int = C
     return hashes[order], np.array([idf_of(r["n"], documents, common) for r in rows], float)[order]
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """*docs* with one row for each doc_id that is not null: that of the least md5 of the text, of equal ones the least as JSON."""
+    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    n = twice.count()
+    if not n:
+        return docs
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.md5("text"), F.to_json(F.struct(*(c for c, name in zip(named, docs.columns, strict=True) if name != "text"))))
+    first = docs.join(_sent(twice, n), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*named), order).alias("__row"))
+    return docs.join(_sent(twice, n), "doc_id", "left_anti").select(*named).unionByName(first.select("__row.*"))
+
+
 def signatures(docs: DataFrame, hashes: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2 (digest of the words), weight (summed), bands of each document with words."""
+    """doc_id, k1, k2 (digest of the words), weight (summed), bands of each document with an id.
+
+    A document without words has null digests.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     sent = spark.sparkContext.broadcast((hashes, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, weights, found = [], [], [], []
-            for doc_id, (ws, ordered) in zip(batch.column(0).to_pylist(), shingle_lists(batch.column(1).to_pylist()), strict=True):
-                if not ws:
-                    continue
-                shingles, w = weighted(ordered, *sent.value)
-                ids.append(doc_id)
-                digests.append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
-                weights.append(float(w.sum()))
-                found.append(bands(signature(shingles, w)))
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            k1, k2, weights, found, ends = [], [], [], [], [0]
+            for ws, ordered in shingle_lists(batch.column(1).to_pylist()):
+                if ws:
+                    shingles, w = weighted(ordered, *sent.value)
+                    a, b = struct.unpack("<qq", hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
+                    weights.append(float(w.sum()))
+                    found.append(bands(signature(shingles, w)))
+                else:
+                    a = b = None
+                    weights.append(0.0)
+                k1.append(a)
+                k2.append(b)
+                ends.append(len(found) * BANDS)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(weights, pa.float64()), lists], ["doc_id", "k1", "k2", "weight", "bands"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(weights, pa.float64()), lists], ["doc_id", "k1", "k2", "weight", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, weight double, bands array<long>")
@@ -291,31 +313,33 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """*rows* (*total* of them) with the row of *table* that has their *keys*.
+
+    ``n`` of *table* says how many of *rows* have a key.  Rows of one that very
+    many have stay where they are: at most HOT_KEYS rows of *table* go to them.
+    """
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_KEYS)
+    large = F.broadcast(table.filter(hot))
+    rest = rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(table.filter(~hot), keys))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, hashes: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(rep, shingles, weights) of the documents in *wanted*, as bytes."""
+    """(rep, s, w): shingles and weights of the documents in *wanted*, as bytes."""
     sent = docs.sparkSession.sparkContext.broadcast((hashes, idf))
-    n = wanted.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sent(wanted, n), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sent(wanted, wanted.count()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, weights = [], [], []
-            for doc_id, (_, ordered) in zip(batch.column(0).to_pylist(), shingle_lists(batch.column(1).to_pylist()), strict=True):
+            sets, weights = [], []
+            for _, ordered in shingle_lists(batch.column(1).to_pylist()):
                 h, w = weighted(ordered, *sent.value)
-                ids.append(doc_id)
                 sets.append(h.tobytes())
                 weights.append(b"" if (w == 1.0).all() else w.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], ["rep", "s", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(weights, pa.binary())], ["rep", "s", "w"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, s binary, w binary").dropDuplicates(["rep"])
-
-
-def _more_sets(docs: DataFrame, sets: DataFrame | None, wanted: DataFrame, hashes: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """*sets* and those of the documents in *wanted* that it lacks."""
-    if sets is None:
-        return staged(_sets(docs, wanted, hashes, idf), "sets")
-    more = staged(wanted.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "wanted")
-    return sets.union(staged(_sets(docs, more, hashes, idf), "sets")) if more.limit(1).count() else sets
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, s binary, w binary")
 
 
 def _load(s: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -324,17 +348,23 @@ def _load(s: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of which the texts' weighted Jaccard similarity is *least* or more."""
+    """The pairs (a, b) of which the texts' weighted Jaccard similarity is *least* or more.
+
+    A text b that many others are compared with goes to SALTS places at most,
+    and each of the others to one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, *rest = (c.to_pylist() for c in batch.columns)
+            rest = (c.to_pylist() for c in batch.columns[2:])
             sims = [similarity(*_load(sa, wa), *_load(sb, wb)) for sa, wa, sb, wb in zip(*rest, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
     right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb")
+    places = dealt.select("b", "salt").distinct().join(right, "b")
+    both = dealt.join(left, "a").join(places, ["b", "salt"]).select("a", "b", "sa", "wa", "sb", "wb")
     return both.mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= least - 1e-9)
 
 
@@ -375,22 +405,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY, common: float = COMMON)
     Documents with the same words are one text; texts are linked if their
     weighted Jaccard similarity is *least* or more, and classes are connected
     components.  A document without words (null, empty, blank) is a class of its
-    own, as is a row with a null doc_id (its class_id is null).  Rows with the
-    same doc_id are one document.  Returns one row for each distinct doc_id.
+    own, as is a row with a null doc_id (its class_id is null).  Of rows with the
+    same doc_id one counts: see ``one_row_each``.  Ids are integers; others are
+    cast, which fails for those that are none.  Returns one row for each distinct
+    doc_id; columns of *docs* other than doc_id and text are not read, except to
+    choose among rows with the same doc_id.
     """
     short_batches(docs.sparkSession)
+    docs = one_row_each(docs)
     hashes, idf = common_shingles(docs, common)
     marked = staged(signatures(docs, hashes, idf), "signatures")
-    texts = staged(marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
-    own = marked.select("doc_id", "k1", "k2").join(texts.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    members = texts.select("rep", "weight", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = staged(members.join(sizes, "bucket"), "buckets")
-    links = _links(docs, buckets, hashes, idf, least)
-    same = own.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = staged(components(links.select("a", "b").union(same)), "classes")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(found, ids["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+    copies = marked.filter("k1 IS NOT NULL").groupBy("k1", "k2")
+    texts = staged(copies.agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "texts")
+    with scratch(docs.sparkSession):
+        labels = staged(_labels(docs, texts, hashes, idf, least), "labels", keep=True)
+    named = texts.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("class_id"))
+    with_words = _joined(marked.filter("k1 IS NOT NULL").select("doc_id", "k1", "k2"), named, ["k1", "k2"], marked.count())
+    without = marked.filter("k1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    no_id = docs.filter("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("class_id"))
+    return with_words.select("doc_id", "class_id").union(without).union(no_id)
 
 
 def _slot_counts(sets: DataFrame) -> np.ndarray:
@@ -440,67 +473,58 @@ def _prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
 
 
 def _all_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts in *sets* (rep, s, w, label) of different labels: all similar ones, and some more."""
+    """Pairs (a, b) of texts in *sets* (rep, s, w, label) of different labels: all similar ones, and some more.
+
+    The label that most texts with a shingle have meets only other labels
+    there (part 1 is all texts without it), so that texts of one large class are
+    not compared with each other.
+    """
     rows = staged(_prefixes(sets, _slot_counts(sets), least), "prefixes")
-    x = rows.filter("short").select("h", F.col("rep").alias("x"), F.col("label").alias("xl"), F.col("total").alias("xt"), F.col("rest").alias("xr"))
-    y = rows.select("h", F.col("rep").alias("y"), F.col("label").alias("yl"), F.col("total").alias("yt"), F.col("rest").alias("yr"))
+    by_label = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
+    shared = by_label.groupBy("h").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
+    met = staged(_joined(rows, shared, ["h"], rows.count()).withColumn("is_major", F.col("label") == F.col("major")), "shared-prefixes")
+    parts = F.when(F.col("is_major"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    x = met.filter("short").select("h", F.explode(parts).alias("part"), F.col("rep").alias("x"), F.col("label").alias("xl"), F.col("total").alias("xt"), F.col("rest").alias("xr"))
+    y = met.select("h", F.when(F.col("is_major"), 0).otherwise(1).alias("part"), F.col("rep").alias("y"), F.col("label").alias("yl"), F.col("total").alias("yt"), F.col("rest").alias("yr"))
     share = F.least("xr", "yr") >= (least / (1 + least) - 1e-6) * (F.col("xt") + F.col("yt"))
-    met = x.join(y, "h").filter(share & F.expr("xl <> yl AND (xt < yt OR xt = yt AND x < y)") & (F.col("xt") >= (least - 1e-6) * F.col("yt")))
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    fits = share & F.expr("xl <> yl AND (xt < yt OR xt = yt AND x < y)") & (F.col("xt") >= (least - 1e-6) * F.col("yt"))
+    return x.join(y, ["h", "part"]).filter(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, buckets: DataFrame, hashes: np.ndarray, idf: np.ndarray, least: float) -> DataFrame:
-    """Verified pairs whose components are those of all similar pairs that share a bucket.
+def _labels(docs: DataFrame, texts: DataFrame, hashes: np.ndarray, idf: np.ndarray, least: float) -> DataFrame:
+    """(node, label) of the linked *texts*: the components of all similar pairs that share a bucket.
 
-    In each round the texts of a bucket are compared with one pivot of it,
-    drawn anew, unless they are in its component already; in small buckets all
-    pairs that are not yet in one component are compared in the second round.
-    The texts of large buckets that have several components after the last
-    round are joined by their prefixes, which leaves out no similar pair.
+    First each text of a bucket is compared with the least one of it, which
+    links most of a group of copies.  Texts of one bucket that are still apart
+    are then compared pair by pair in a small bucket, and those of large ones
+    joined by prefixes, which leaves out no similar pair.
     """
-    fits = F.least("w1", "w2") >= (least - 1e-9) * F.greatest("w1", "w2")
-    labelled = buckets.select("bucket", "n", "rep", "weight", F.col("rep").alias("label"))
-    links: DataFrame | None = None
-    done: DataFrame | None = None
-    sets: DataFrame | None = None
-    for turn in range(ROUNDS):
-        large = labelled if turn == 0 else labelled.filter(F.col("n") > SMALL_BUCKET)
-        drawn = F.min_by(F.struct("rep", "weight", "label"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p")
-        pivots = large.groupBy("bucket").agg(drawn)
-        met = large.join(pivots, "bucket").filter("label <> p.label").select(
-            F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a"), F.col("weight").alias("w1"), F.col("p.weight").alias("w2")
-        )
-        if turn == 1:
-            few = labelled.filter(F.col("n") <= SMALL_BUCKET)
-            other = few.select("bucket", F.col("rep").alias("rep2"), F.col("weight").alias("w2"), F.col("label").alias("label2"))
-            met = met.union(few.join(other, "bucket").filter("rep < rep2 AND label <> label2").select(F.col("rep").alias("b"), F.col("rep2").alias("a"), F.col("weight").alias("w1"), "w2"))
-        pairs = met.filter(fits).select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            continue
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = _more_sets(docs, sets, wanted, hashes, idf)
-        new = staged(verify(pairs, sets, least).select("a", "b"), "links")
-        links = new if links is None else links.union(new)
-        done = pairs if done is None else done.union(pairs)
-        labels = staged(components(links), "labels")
-        kept = labelled.drop("label").join(labels, F.col("rep") == F.col("node"), "left")
-        renamed = kept.select("bucket", "n", "rep", "weight", F.coalesce("label", "rep").alias("label"))
-        open_ = renamed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("bucket")
-        labelled = staged(renamed.join(open_, "bucket"), "open-buckets")
-    left = staged(labelled.filter(F.col("n") > SMALL_BUCKET).select("rep", "label").distinct(), "left")
-    if left.limit(1).count():
-        sets = _more_sets(docs, sets, left.select(F.col("rep").alias("doc_id")), hashes, idf)
-        pairs = _all_pairs(sets.join(left, "rep"), least)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        new = staged(verify(staged(pairs, "pairs"), sets, least).select("a", "b"), "links")
-        links = new if links is None else links.union(new)
-    if links is None:
-        return buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    return links
+    members = texts.select("rep", "weight", F.explode("bands").alias("bucket"))
+    total = texts.count() * BANDS
+    heads = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "weight")).alias("p")).filter("n > 1")
+    heads = staged(heads.select("bucket", "n", F.col("p.rep").alias("pivot"), F.col("p.weight").alias("w2")), "heads")
+    buckets = staged(_joined(members, heads, ["bucket"], total), "buckets")
+    fits = lambda a, b: F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
+    both = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+
+    pairs = staged(buckets.filter((F.col("rep") != F.col("pivot")) & fits("weight", "w2")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    sets = staged(_sets(docs, both(pairs), hashes, idf), "sets")
+    found = staged(components(verify(pairs, sets, least).select("a", "b")), "labels")
+
+    labelled = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = staged(labelled.select("bucket", "n", "rep", "weight", "label"), "labelled")
+    few, many = labelled.filter(F.col("n") <= SMALL_BUCKET), labelled.filter(F.col("n") > SMALL_BUCKET)
+    other = few.select("bucket", F.col("rep").alias("rep2"), F.col("weight").alias("w2"), F.col("label").alias("label2"))
+    near = few.join(other, "bucket").filter(F.expr("rep > rep2 AND label <> label2") & fits("weight", "w2"))
+    near = staged(near.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), "near")
+    apart = many.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n")).filter("lo < hi").select("bucket", "n")
+    left = staged(_joined(many.select("bucket", "rep", "label"), staged(apart, "apart"), ["bucket"], total).select("rep", "label").distinct(), "left")
+
+    lacking = both(near).union(left.select("rep")).distinct().join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+    sets = sets.union(staged(_sets(docs, staged(lacking, "lacking"), hashes, idf), "sets"))
+    more = near.union(_all_pairs(sets.join(left, "rep"), least)).distinct().join(pairs, ["a", "b"], "left_anti")
+    links = verify(staged(more, "pairs"), sets, least).select("a", "b")
+    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
 
 
 def kept(docs: DataFrame, least: float = SIMILARITY, common: float = COMMON) -> DataFrame:
@@ -508,11 +532,7 @@ def kept(docs: DataFrame, least: float = SIMILARITY, common: float = COMMON) ->
 
     Rows with a null doc_id stay; of rows with the same doc_id one stays.
     """
-    found = staged(classes(docs, least, common), "kept")
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
-    n, ids, rows = gone.count(), found.filter("doc_id IS NOT NULL").count(), docs.filter("doc_id IS NOT NULL").count()
-    left = docs.join(_sent(gone, n), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if rows == ids:
-        return left
-    named = left.filter("doc_id IS NOT NULL")
-    return named.dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+    rows = one_row_each(docs)
+    with scratch(docs.sparkSession):
+        gone = staged(classes(rows, least, common).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "gone", keep=True)
+    return rows.join(_sent(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
