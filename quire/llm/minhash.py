@@ -373,6 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns; nothing but (node, node) rows
     moves, minima are taken where rows are read first, and each round is staged.
+    The edges of a node with very many stay where they are (``_joined``).
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
@@ -384,8 +385,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour is joined with the least of the neighbourhood
         sides = both(now)
-        least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sides.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _joined(sides.filter("b > a"), least, ["a"], 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each smaller neighbour, and the node itself, with the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
