@@ -7,11 +7,23 @@ them; an anti-join keeps the maximal conversations, and only those are rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: One rendered turn.
 TURN = ("<|im_start|>", "\n", "<|im_end|>\n")
+#: What stands for ``<|`` in a text or role, so that none holds a marker: one backslash
+#: more between the two.
+_OPENING = r"<(\\*)\|"
+
+
+def _plain(c: str) -> Column:
+    return F.regexp_replace(c, _OPENING, r"<\\$1|")
+
+
+def _role() -> Column:
+    """The role on one line."""
+    return F.replace(F.replace(_plain("role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
 
 
 def _clean(turns: DataFrame) -> DataFrame:
@@ -72,12 +84,16 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """The maximal conversations in chat markup: conv_id, n_turns, n_copies, rendered.
 
-    Nulls, ties, repeated rows and empty tables: see the functions above.
+    A text that holds ``<|`` gets a backslash between the two signs (one more
+    where it has some), a role's line ends and backslashes are escaped, so no
+    two conversations are rendered alike.  Nulls, ties, repeated rows and empty
+    tables: see the functions above.  Texts are rendered whole, however long; a
+    conversation is one row and must fit into one, as its turns meet there.
     Further columns of *turns* are ignored.
     """
     kept = maximal_conversations(turns).withColumnRenamed("conv_id", "kept_id")
     texts = _clean(turns).join(kept.select("kept_id"), F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    piece = F.concat(F.lit(TURN[0]), F.col("role"), F.lit(TURN[1]), F.col("text"), F.lit(TURN[2]))
+    piece = F.concat(F.lit(TURN[0]), _role(), F.lit(TURN[1]), _plain("text"), F.lit(TURN[2]))
     ordered = F.array_sort(
         F.collect_list(F.struct(F.col("turn").isNotNull().alias("k"), "turn", "role", F.md5("text").alias("m"), piece.alias("piece")))
     )
@@ -88,13 +104,14 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 #: The query on ``conversations``, for DuckDB.
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
 ), c AS (
   SELECT conv_id,
          list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, md5(text)) AS turns,
-         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), ''
+         string_agg('<|im_start|>' || replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') || chr(10)
+                    || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10), ''
                     ORDER BY turn NULLS FIRST, role, md5(text)) AS rendered
   FROM t GROUP BY conv_id
 ), u AS (
