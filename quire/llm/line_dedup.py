@@ -189,6 +189,15 @@ def _filters(hot: DataFrame, shards: int) -> DataFrame:
     return staged(hot.groupBy("shard").applyInArrow(make, "shard int, filter binary"), "line-filters")
 
 
+def _fitting(index: LineIndex) -> LineIndex:
+    """The index, dealt anew if its shards hold twice as many keys as they should or more."""
+    shards = max(4, -(-index.counts.count() // SHARD_KEYS))
+    if shards < 2 * index.shards:
+        return index
+    counts = index.counts.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+    return LineIndex(counts, _filters(counts.filter(F.col("n") >= index.least), shards), shards, index.least)
+
+
 def _changed(index: LineIndex, docs: DataFrame, sign: int, least_points: int) -> LineIndex:
     delta = key_counts(docs, least_points).select("k1", "k2", (F.col("n") * sign).alias("n"), F.pmod("k1", F.lit(index.shards)).cast("int").alias("shard"))
     marked = index.counts.select("shard", "k1", "k2", "n", F.col("n").alias("before")).unionByName(delta.select("shard", "k1", "k2", "n", F.lit(0).cast("long").alias("before")))
@@ -210,7 +219,7 @@ def _changed(index: LineIndex, docs: DataFrame, sign: int, least_points: int) ->
     counts = merged.filter("n > 0").select("k1", "k2", "n", "shard")
     if merged_filters.filter("filter IS NULL").limit(1).count():  # a filter ran over: make all anew
         merged_filters = _filters(counts.filter(F.col("n") >= least), index.shards)
-    return LineIndex(counts, merged_filters, index.shards, least)
+    return _fitting(LineIndex(counts, merged_filters, index.shards, least))
 
 
 def insert(index: LineIndex, docs: DataFrame, least_points: int = LEAST_POINTS) -> LineIndex:
@@ -233,7 +242,8 @@ def apply(index: LineIndex, docs: DataFrame, broadcast_keys: int = BROADCAST_KEY
     or more.  Filters screen the lines; the exact counts confirm those that
     pass.  A null or empty text has one line and becomes the empty text.
     Repeated rows count and stay as documents of their own; columns named
-    n_lines or n_dropped are replaced.
+    n_lines or n_dropped are replaced, and doc_id is not read.  More than
+    *broadcast_keys* dropped keys are joined with the lines, to the same result.
     """
     hot = index.counts.filter(F.col("n") >= index.least).select("shard", "k1", "k2")
     spark = docs.sparkSession
@@ -275,34 +285,50 @@ def _order(docs: DataFrame) -> list:
     return [*names, "n_lines", "n_dropped"]
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """*name*, with as many underscores as make it no column of *df*."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _apply_joined(hot: DataFrame, docs: DataFrame) -> DataFrame:
     """``apply`` where the dropped keys are too many to broadcast: lines are joined with them by key.
 
-    Rows that share doc_id and text share what is found for them.
+    What is found for a text holds for all rows with it, so rows are known by
+    the digest of their text.
     """
     short_batches(docs.sparkSession)
-    named = docs.withColumn("__h", F.xxhash64("text"))
+    mark, places = _free(docs, "text_digest"), _free(docs, "dropped_places")
+    named = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, places, digests = [], [], [], []
-            for doc_id, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            marks, at, digests = [], [], []
+            for m, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, key in enumerate(keys(text)):
                     if key:
-                        ids.append(doc_id), hashes.append(h), places.append(i), digests.append(digest(key))
+                        marks.append(m), at.append(i), digests.append(digest(key))
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "h", "place", "k1", "k2"]
-            )
-
-    lines = named.select(F.col("doc_id").cast("long"), "__h", "text").mapInArrow(run, "id long, h long, place int, k1 long, k2 long")
-    hits = lines.join(hot.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("id", "h").agg(F.collect_set("place").alias("__places"))
-    joined = named.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__h").eqNullSafe(F.col("h"))), "left")
-    lines_of = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    places = F.coalesce("__places", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(places, i)), "\n")
-    found = joined.withColumns({"n_lines": F.size(lines_of).cast("long"), "n_dropped": F.size(places).cast("long"), "__kept": kept})
-    return found.withColumn("text", F.col("__kept")).select(*_order(docs))
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), pa.array(at, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["m", "place", "k1", "k2"])
+
+    lines = named.select(F.col(mark).alias("m"), "text").mapInArrow(run, "m string, place int, k1 long, k2 long")
+    hits = lines.join(hot.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy(F.col("m").alias(mark)).agg(F.collect_set("place").alias(places))
+    joined = named.join(hits, mark, "left")
+
+    def make():
+        def compute(texts, dropped):
+            kept, n_lines, n_dropped = [], [], []
+            for text, gone in zip(texts, dropped, strict=True):
+                lines, gone = (text or "").split("\n"), set(gone or ())
+                kept.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
+                n_lines.append(len(lines))
+                n_dropped.append(len(gone))
+            return kept, n_lines, n_dropped
+
+        return compute
+
+    return append_columns(joined, ["text", places], make, _FIELDS).select(*_order(docs))
 
 
 #: The query on ``documents``, for DuckDB.

@@ -39,6 +39,31 @@ def test_defined_results_both_ways(nasty, nothing):
     assert ours(line_dedup.apply(line_dedup.build(nothing), nasty)) == brute(rows, 99)
 
 
+def test_joined_and_broadcast_results_are_equal(spark, monkeypatch):
+    """With string ids and columns that clash with what the operator might call its own."""
+    rows = [(f"d{i % 7}", f"line {i % 3}\nown {i}\n\nline {i % 2}" if i % 5 else None, i, f"h{i}", float(i), "m", [i], "k") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, id int, h string, __h double, m string, place array<int>, text_digest string").repartition(3)
+    docs = docs.withColumns({"n_lines": F.lit("clash"), "dropped_places": F.col("id"), "k1": F.lit(None).cast("int"), "n_dropped": F.lit(1)})
+    index = line_dedup.build(docs, least=4)
+    one, two = (line_dedup.apply(index, docs, broadcast_keys=n) for n in (1000, 0))
+    assert one.columns == two.columns and set(docs.columns) <= set(one.columns)
+    values = lambda df: sorted(map(str, df.collect()))
+    assert values(one) == values(two)
+    found = {r["id"]: r for r in two.collect()}
+    assert ours(two) == brute([(r[0], r[1]) for r in rows], 4)
+    assert all((found[i]["doc_id"], found[i]["h"], found[i]["__h"], found[i]["place"], found[i]["text_digest"]) == (r[0], r[3], r[4], r[6], r[7]) for i, r in enumerate(rows))
+
+
+def test_index_is_dealt_anew_as_it_grows(spark, documents, monkeypatch):
+    docs = documents.select("doc_id", "text")
+    few, rest = docs.filter("doc_id < 5"), docs.filter("doc_id >= 5")
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)
+    grown = line_dedup.insert(line_dedup.build(few, least=3), rest)
+    assert grown.shards == line_dedup.build(docs, least=3).shards > 2 * line_dedup.build(few, least=3).shards
+    assert grown.counts.filter(f"shard <> pmod(k1, {grown.shards})").count() == 0
+    assert ours(line_dedup.apply(grown, docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], 3)
+
+
 def test_insertions_and_deletions_undo_each_other(spark, documents):
     docs = documents.select("doc_id", "text")
     a, b = docs.filter("doc_id % 3 > 0"), docs.filter("doc_id % 3 = 0")
