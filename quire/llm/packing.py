@@ -40,7 +40,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = bpe.TOKEN
     """doc_id, piece, start, length, ids_crc32 of each piece (and its ``ids``).
 
     A null or empty text is its end id alone; a text longer than *capacity* is
-    cut.  Repeated rows give repeated pieces; further columns are left out.
+    cut.  Repeated rows give repeated pieces; further columns are left out.  Ids
+    are integers; others are cast, which fails for those that are none.
     """
     short_batches(docs.sparkSession)
     schema = _PIECES + (", ids array<int>" if with_ids else "")
@@ -100,15 +101,18 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
-    """*parts* with sequence_id and offset.
+    """*parts*, with sequence_id and offset.
 
-    Pieces are dealt by a hash to tasks of about *share* pieces, and each task
-    packs its own by decreasing length (then doc_id, piece), so a lost task is
-    redone alike.  An empty table gives no rows; equal rows are packed apart.
+    Pieces are staged and dealt by a hash of their row number to tasks of about
+    *share* pieces, and each task packs its own by decreasing length (then
+    doc_id, piece and row number), so a lost task is redone alike.  An empty
+    table gives no rows; equal rows, and those without an id, are packed apart.
     """
-    tasks = max(1, -(-parts.count() // share))
-    dealt = parts.repartition(tasks, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+    rows = staged(parts, "pieces")
+    tasks = max(1, -(-rows.count() // share))
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    dealt = numbered.repartition(tasks, F.xxhash64("__row")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "__row").select(*rows.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -124,4 +128,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Data
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its sequence and place."""
-    return pack(staged(pieces(docs, capacity), "pieces"), capacity)
+    return pack(pieces(docs, capacity), capacity)

@@ -74,6 +74,16 @@ def test_query(spark, sf_dir, texts):
     assert used <= least * 1.05 + 1
 
 
+def test_equal_and_null_ids_go_to_several_tasks(spark):
+    rows = [(None, "some words to pack")] * 40 + [(7, "the same row again")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = packing.pack(packing.pieces(docs), share=10).collect()
+    tasks = {(r["doc_id"], r["sequence_id"] >> packing.SEQUENCE_BITS) for r in found}
+    assert len(found) == 80 and len([t for t in tasks if t[0] is None]) > 4 and len([t for t in tasks if t[0] == 7]) > 4
+    places = {(r["sequence_id"], r["offset"]) for r in found}
+    assert len(places) == 80
+
+
 def test_defined_results(nasty, nothing):
     rows = packing.pack_documents(nasty).collect()
     check(rows, {r["doc_id"]: r["text"] for r in nasty.filter("doc_id IS NULL OR doc_id <> 6").collect()})
