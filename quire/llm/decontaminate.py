@@ -8,6 +8,7 @@ scanned once, and hits are mapped back to places in the original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 import ahocorasick
@@ -58,9 +59,21 @@ def build(items: Sequence[tuple], window: int = WINDOW) -> tuple[dict[bytes, int
     return number, automaton, ids
 
 
-def _scan(block: Sequence[tuple], window: int):
+_worker: dict = {}
+
+
+def _built(sent, window: int) -> tuple:
+    """What ``build`` makes of a broadcast block; a worker keeps the last one for its next tasks."""
+    key = (sent.value[0], window)
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = build(sent.value[1], window)
+    return _worker[key]
+
+
+def _scan(sent, window: int):
     """A function from texts and earlier blocks' findings to word counts, hit words, items and spans."""
-    number, automaton, ids = build(block, window)
+    number, automaton, ids = _built(sent, window)
     get = number.get
 
     def scan(texts, before_hits=None, before_items=None):
@@ -119,9 +132,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     out = docs
     for n in range(blocks):
         part = pairs if blocks == 1 else pairs.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part.collect()]))
         inputs = ["text"] if n == 0 else ["text", "hit_words", "item_ids"]
-        out = append_columns(out, inputs, lambda sent=sent: _scan(sent.value, window), _FIELDS)
+        out = append_columns(out, inputs, lambda sent=sent: _scan(sent, window), _FIELDS)
     return out
 
 
