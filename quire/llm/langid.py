@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +25,12 @@ from quire.llm.common import append_columns, field, short_batches
 
 MODEL = "piece_bpe_32k.model"
 UNDETERMINED = "und"
-#: Bounds of the fit: documents of a language (about, by a hash of doc_id) and
-#: its commonest distinct words.
+#: Bound of the fit: documents of a language (about, by a hash of doc_id).
 SAMPLE_DOCUMENTS = 3_000
-SAMPLE_WORDS = 30_000
 ROUNDS = 6
-#: Letters of a word that one forward pass takes; longer words are cut, each cut
-#: being a place where a piece ends.
-LONGEST_WORD = 32
-LONGEST_PIECE = 16
+#: Places of words (letters and ends, the longest word's for each) that one
+#: pass holds; a longer word has a pass of its own.
+PASS_PLACES = 60_000
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
 #: Probability of a letter that is no piece, alike in all languages.
@@ -59,7 +56,7 @@ def vocabulary(name: str = MODEL) -> dict[str, int]:
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     pieces = (library.id_to_piece(i) for i in range(library.vocab_size()) if not (library.is_control(i) or library.is_byte(i) or library.is_unknown(i)))
-    kept = sorted({p for p in pieces if len(p) <= LONGEST_PIECE and (p == "▁" or all(c.isalpha() for c in p.removeprefix("▁")))})
+    kept = sorted({p for p in pieces if p and (p == "▁" or all(c.isalpha() for c in p.removeprefix("▁")))})
     return {p: i for i, p in enumerate(kept)}
 
 
@@ -74,6 +71,7 @@ class Lattice:
 
     An arc is (word, begin, end, piece), where piece -1 is an unknown letter.
     Arcs are grouped by end and length, so that no group has a word twice.
+    Sums are kept as logarithms, so words may be of any length.
     """
 
     def __init__(self, found: Sequence[str], known: dict[str, int]):
@@ -98,21 +96,21 @@ class Lattice:
                 if alone:
                     arcs += (i, b, b + 1, -1)
         grid = np.array(arcs, np.int64).reshape(-1, 4)
-        grid = grid[np.argsort(grid[:, 2] * (LONGEST_PIECE + 1) + grid[:, 2] - grid[:, 1], kind="stable")]
-        self.word, self.begin, self.end, self.piece = (np.ascontiguousarray(c) for c in grid.T)
-        group = self.end * (LONGEST_PIECE + 1) + self.end - self.begin
-        self.bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        group = grid[:, 2] * self.size + grid[:, 2] - grid[:, 1]
+        order = np.argsort(group, kind="stable")
+        self.word, self.begin, self.end, self.piece = (np.ascontiguousarray(c) for c in grid[order].T)
+        self.bounds = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
 
-    def forward(self, table: np.ndarray) -> np.ndarray:
-        """Summed probability of all segmentations up to each place: [place, word, language].
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Logarithm of the summed probability of all segmentations up to each place: [place, word, language].
 
-        table: probabilities by piece and language, the last row for unknown letters.
+        logs: of the probabilities by piece and language, the last row for unknown letters.
         """
-        alpha = np.zeros((self.size, self.n, table.shape[1]))
-        alpha[0] = 1.0
+        alpha = np.full((self.size, self.n, logs.shape[1]), -np.inf)
+        alpha[0] = 0.0
         for a, b in zip(self.bounds, self.bounds[1:], strict=False):
-            w = self.word[a:b]
-            alpha[self.end[a], w] += alpha[self.begin[a], w] * table[self.piece[a:b]]
+            w, end = self.word[a:b], self.end[a]
+            alpha[end, w] = np.logaddexp(alpha[end, w], alpha[self.begin[a], w] + logs[self.piece[a:b]])
         return alpha
 
     def totals(self, alpha: np.ndarray) -> np.ndarray:
@@ -120,36 +118,43 @@ class Lattice:
 
     def expected(self, probabilities: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of words with such counts."""
-        table = np.append(probabilities, UNKNOWN)
-        alpha = self.forward(table[:, None])
+        logs = np.log(np.append(probabilities, UNKNOWN))
+        alpha = self.forward(logs[:, None])
         total, alpha = self.totals(alpha)[:, 0], alpha[:, :, 0]
-        beta = np.zeros((self.size, self.n))
-        beta[self.lengths, np.arange(self.n)] = 1.0
+        beta = np.full((self.size, self.n), -np.inf)
+        beta[self.lengths, np.arange(self.n)] = 0.0
         # groups from the last end back: all that leaves an end is done before what leads to it
         for a, b in zip(self.bounds[-2::-1], self.bounds[:0:-1], strict=True):
-            w = self.word[a:b]
-            beta[self.begin[a], w] += table[self.piece[a:b]] * beta[self.end[a], w]
+            w, begin = self.word[a:b], self.begin[a]
+            beta[begin, w] = np.logaddexp(beta[begin, w], logs[self.piece[a:b]] + beta[self.end[a], w])
         known = self.piece >= 0
         w, p = self.word[known], self.piece[known]
-        share = alpha[self.begin[known], w] * probabilities[p] * beta[self.end[known], w] / np.maximum(total[w], 1e-300)
+        share = np.exp(alpha[self.begin[known], w] + logs[p] + beta[self.end[known], w] - total[w])
         return np.bincount(p, share * counts[w], minlength=len(probabilities))
 
 
-def cut_long(found: Sequence[str]) -> list[str]:
-    return [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+def passes(found: Sequence[str]) -> Iterator[list[int]]:
+    """Places of *found*, from short to long words, in lists that a pass holds."""
+    some: list[int] = []
+    for i in sorted(range(len(found)), key=lambda i: len(found[i])):
+        if some and (len(some) + 1) * (len(found[i]) + 2) > PASS_PLACES:
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
 
 
 def fit_pieces(counts: dict[str, int], pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its words' counts, by expectation-maximisation."""
-    split: Counter = Counter()
-    for w, n in counts.items():
-        for part in cut_long([w]):
-            split[part] += n
-    found = sorted(split)
-    lattice, weight = Lattice(found, beginnings(pieces)), np.array([split[w] for w in found], float)
+    found, known = sorted(counts), beginnings(pieces)
+    parts = []
+    for some in passes(found):
+        words_here = [found[i] for i in some]
+        parts.append((Lattice(words_here, known), np.array([counts[w] for w in words_here], float)))
     p = np.full(len(pieces), 1 / max(1, len(pieces)))
     for _ in range(rounds):
-        expected = lattice.expected(p, weight) + SMOOTHING
+        expected = sum((lattice.expected(p, weight) for lattice, weight in parts), np.full(len(pieces), SMOOTHING))
         p = expected / expected.sum()
     return p
 
@@ -168,7 +173,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.table = np.vstack([model.table, np.full((1, max(1, len(model.languages))), UNKNOWN)]) if len(model.languages) else None
+        self.logs = np.log(np.vstack([model.table, np.full((1, len(model.languages)), UNKNOWN)]))
         self.known = beginnings(model.pieces)
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.languages)))
@@ -179,19 +184,12 @@ class Scorer:
         if len(self.place) + len(new) > CACHE_ENTRIES:
             self.place.clear()
             new = list({w for t in texts for w in t})
-        for i in range(0, len(new), 4096):
-            self._add(new[i : i + 4096])
+        for some in passes(new):
+            self._add([new[i] for i in some])
 
     def _add(self, new: list[str]) -> None:
-        parts, owner = [], []
-        for i, w in enumerate(new):
-            for part in cut_long([w]):
-                parts.append(part)
-                owner.append(i)
-        lattice = Lattice(parts, self.known)
-        logs = np.log(np.maximum(lattice.totals(lattice.forward(self.table)), 1e-300))
-        values = np.zeros((len(new), self.rows.shape[1]))
-        np.add.at(values, owner, logs)
+        lattice = Lattice(new, self.known)
+        values = lattice.totals(lattice.forward(self.logs))
         start = len(self.place)
         while start + len(new) > len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
@@ -219,12 +217,12 @@ class Scorer:
         return langs, scores
 
 
-def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, distinct_words: int = SAMPLE_WORDS, name: str = MODEL) -> Model:
+def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, name: str = MODEL) -> Model:
     """Fit each language of *docs* (doc_id, text, lang) that the caller lets it see.
 
     Rows with a null text or lang teach nothing; a language whose texts have no
-    letters is not learned.  Words are counted where the texts are read; each
-    language's commonest ones reach the driver.
+    letters is not learned.  At most about *documents* documents of a language
+    are read; words are counted there, and the driver fits their counts.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -245,10 +243,8 @@ def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, distinct_words: in
             )
 
     counted = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = counted.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= distinct_words).select("lang", "word", "n")
     by_lang: dict[str, dict[str, int]] = {}
-    for lang, word, n in common.toLocalIterator():
+    for lang, word, n in counted.toLocalIterator():
         by_lang.setdefault(lang, {})[word] = n
     pieces, languages = vocabulary(name), sorted(by_lang)
     table = np.column_stack([fit_pieces(by_lang[k], pieces) for k in languages]) if languages else np.zeros((len(pieces), 0))

@@ -1,4 +1,7 @@
 import math
+import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -25,8 +28,95 @@ def test_forward_sums_all_segmentations():
     p = np.array([0.1, 0.2, 0.1, 0.2, 0.1, 0.2, 0.1])
     words = ["a", "ab", "aba", "bab", "xq", "bbbbbbbb"]
     lattice = langid.Lattice(words, langid.beginnings(PIECES))
-    totals = lattice.totals(lattice.forward(np.append(p, langid.UNKNOWN)[:, None]))[:, 0]
-    assert np.allclose(totals, [forward(w, PIECES, p) for w in words])
+    totals = lattice.totals(lattice.forward(np.log(np.append(p, langid.UNKNOWN))[:, None]))[:, 0]
+    assert np.allclose(np.exp(totals), [forward(w, PIECES, p) for w in words])
+
+
+def exact_log(word, p):
+    """The same sum as an exact fraction, for words of any length."""
+    w = "▁" + word
+    q, unknown = [Fraction(x) for x in p], Fraction(langid.UNKNOWN)
+    total = [Fraction(1)]
+    for e in range(1, len(w) + 1):
+        some = Fraction(0)
+        for b in range(max(0, e - 3), e):
+            if w[b:e] in PIECES:
+                some += total[b] * q[PIECES[w[b:e]]]
+            elif e == b + 1:
+                some += total[b] * unknown
+        total.append(some)
+    n, d = total[-1].numerator, total[-1].denominator
+    bits = lambda x: x.bit_length() * math.log(2) + math.log(x / (1 << x.bit_length()))
+    return bits(n) - bits(d)
+
+
+def test_long_words_are_summed_whole():
+    """A word of 5,000 letters has all its segmentations summed, those across any place too."""
+    p = np.array([0.125, 0.25, 0.125, 0.0625, 0.125, 0.25, 0.0625])
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abq"), 5000, p=[0.5, 0.45, 0.05])), "ab" * 20, "a"]
+    scorer = langid.Scorer(langid.Model(["a", "b"], PIECES, np.column_stack([p, p])))
+    scorer.learn([words])
+    found = [scorer.rows[scorer.place[w], 0] for w in words]
+    assert np.allclose(found, [exact_log(w, p) for w in words], rtol=1e-9)
+
+
+def test_passes_hold_all_words_and_few_places():
+    words = ["a" * n for n in (1, 5, 2, 100_000, 3, 40_000, 40_000)] + ["b"] * 50_000
+    some = list(langid.passes(words))
+    assert sorted(i for s in some for i in s) == list(range(len(words)))
+    assert all(len(s) == 1 or len(s) * (max(len(words[i]) for i in s) + 2) <= langid.PASS_PLACES for s in some)
+
+
+def test_query_equals_a_plain_learner(spark, tmp_path):
+    """op2_language_id on a small table against a learner and scorer in plain Python."""
+    rng = np.random.default_rng(1)
+    vocabulary = {k: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(40)] for k, letters in (("xx", "abcde"), ("yy", "defgh"))}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], 12)), lang) for i, lang in enumerate(["xx", "yy"] * 15)]
+    rows += [(100, None, "xx"), (101, "12 34", "yy"), (102, rows[0][1], None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = langid.vocabulary()
+    longest = max(map(len, pieces))
+
+    def sums(w, p):
+        total = [1.0] + [0.0] * len(w)
+        for e in range(1, len(w) + 1):
+            for b in range(max(0, e - longest), e):
+                q = p[pieces[w[b:e]]] if w[b:e] in pieces else langid.UNKNOWN if e == b + 1 else 0.0
+                total[e] += total[b] * q
+        return total
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    models = {}
+    for lang in ("xx", "yy"):
+        counts = Counter(w for i, t, k in rows if k == lang and t and not held(i) for w in t.split() if w.isalpha())
+        p = np.full(len(pieces), 1 / len(pieces))
+        for _ in range(langid.ROUNDS):
+            expected = np.full(len(pieces), langid.SMOOTHING)
+            for word, n in counts.items():
+                w = "▁" + word
+                left, right = sums(w, p), [1.0 if e == len(w) else 0.0 for e in range(len(w) + 1)]
+                for b in range(len(w) - 1, -1, -1):
+                    for e in range(b + 1, min(len(w), b + longest) + 1):
+                        right[b] += (p[pieces[w[b:e]]] if w[b:e] in pieces else langid.UNKNOWN if e == b + 1 else 0.0) * right[e]
+                for b in range(len(w)):
+                    for e in range(b + 1, min(len(w), b + longest) + 1):
+                        if w[b:e] in pieces:
+                            k = pieces[w[b:e]]
+                            expected[k] += n * left[b] * p[k] * right[e] / left[-1]
+            p = expected / expected.sum()
+        models[lang] = p
+    for r in queries.op2_language_id(spark, str(tmp_path)).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        words = [w for w in (text or "").split() if w.isalpha()]
+        assert r["held_out"] == held(r["doc_id"])
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = {k: sum(math.log(sums("▁" + w, p)[-1]) for w in words) for k, p in models.items()}
+        best = max(logs, key=logs.get)
+        assert r["lang_pred"] == best
+        assert np.isclose(r["score"], 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
 
 
 def test_expected_counts_are_derivatives():
