@@ -3,23 +3,25 @@
 Texts are folded first: compatibility forms, case, look-alike letters and
 digits or signs that stand for letters inside words.  Lexicon entries are whole
 words or stems (word beginnings) whose weights, log odds by document, are
-learned from labelled rows; exception phrases cancel the entries they cover.
+learned from labelled rows; exception phrases, listed and learned, cancel the
+entries they cover.
 The summed weights, over a growing function of the length, give the score.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field as datafield
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +35,11 @@ STEM = (4, 10)
 #: of being in a toxic one are so many times those of being in another.
 LEAST_DOCUMENTS = 6
 LEAST_ODDS = 6.0
-ENTRIES = 20_000
+#: An entry and the word before or after it are an exception if so many clean
+#: documents of the sample hold them and the odds of a toxic one are so small a
+#: part of those of a clean one.
+EXCEPTION_DOCUMENTS = 6
+EXCEPTION_ODDS = 1 / 6
 
 #: Letters of other scripts by the Latin letter they look like.
 LOOK_ALIKES = {
@@ -43,7 +49,7 @@ LOOK_ALIKES = {
 }
 #: Digits and signs by the letter they stand for inside a word.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which entries are harmless; more can be given.
+#: Phrases in which entries are harmless, besides those that are learned; more can be given.
 EXCEPTIONS = ("trash can", "trash bin", "take out the trash", "clown fish", "class clown car", "pond scum")
 
 _ALIKE = str.maketrans(LOOK_ALIKES)
@@ -80,19 +86,12 @@ def stems(words: Iterable[str]) -> set[str]:
     return found
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, entries: int = ENTRIES) -> dict[str, float]:
-    """Weights of the entries kept, from the documents of each class that hold a candidate.
+def choose(found: Iterable[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of the entries kept, from candidates, the toxic documents that hold them and their odds.
 
     Of a candidate and its beginnings only the one that tells most is kept.
     """
-    gains: list[tuple[float, str, float]] = []
-    for k, t in toxic.items():
-        c = clean.get(k, 0)
-        if t < LEAST_DOCUMENTS:
-            continue
-        odds = ((t + 0.1) / (n_toxic + 0.2)) / ((c + 0.5) / (n_clean + 1))
-        if odds >= LEAST_ODDS:
-            gains.append((t * math.log(odds), k, math.log(odds)))
+    gains = [(t * math.log(odds), k, math.log(odds)) for k, t, odds in found]
     gains.sort(key=lambda g: (-g[0], len(g[1]), g[1]))
     kept: dict[str, float] = {}
     below: set[str] = set()  # beginnings of kept entries
@@ -101,8 +100,6 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
             continue
         kept[k] = weight
         below.update(k[:n] for n in range(STEM[0] + 1, len(k)))
-        if len(kept) >= entries:
-            break
     return kept
 
 
@@ -135,9 +132,29 @@ class Model:
         hits, excused = [], []
         for end, (n, w) in a.iter(f" {' '.join(words)} "):
             (excused if w is None else hits).append((end - n + 1, end, w))
-        if not excused:
-            return sum(h[2] for h in hits)
-        return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused))
+        total, first = 0.0, math.inf  # where the exceptions that end here or later begin
+        while hits:
+            a, b, w = hits.pop()
+            while excused and excused[-1][1] >= b:
+                first = min(first, excused.pop()[0])
+            total += w if a < first else 0.0
+        return total
+
+    def neighbours(self, words: list[str]) -> set[str]:
+        """Entries of the lexicon in a text with the word before, and with the word after, them."""
+        a = self.automaton()
+        found: set[str] = set()
+        if a is None or len(words) < 2:
+            return found
+        starts, at = [], 0
+        for word in words:
+            starts.append(at)
+            at += len(word) + 1
+        for end, (n, w) in a.iter(f" {' '.join(words)} "):
+            if w is not None:
+                i = bisect.bisect_right(starts, end - n + 1) - 1
+                found.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1)
+        return found
 
     def figures(self, words: list[str]) -> tuple[float, float]:
         """The weight by length, twice: less than in proportion, and in proportion."""
@@ -180,36 +197,48 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFram
     return found.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max("for_curve").alias("for_curve")), counts
 
 
-def _count_entries(texts: DataFrame, among=None) -> DataFrame:
-    """Documents by candidate entry; *among*: a broadcast set of those to count."""
+def _counted(texts: DataFrame, make: Callable[[], Callable[[list[str]], set[str]]]) -> DataFrame:
+    """entry, t and c: the toxic and the other documents that hold each entry that ``make()`` finds in folded words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        entries, seen = make(), (Counter(), Counter())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = stems(fold(text))
-                seen.update(found if among is None else found & among.value)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen[toxic].update(entries(fold(text)))
+        some = list(seen[0].keys() | seen[1].keys())
+        for i in range(0, len(some), 50_000):
+            part = some[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[k][e] for e in part], pa.int64()) for k in (1, 0))], ["entry", "t", "c"])
+
+    found = texts.select("text", F.col("toxic").cast("int")).mapInArrow(run, "entry string, t long, c long")
+    return found.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
 
-    return texts.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+def _odds(n_toxic: int, n_clean: int) -> Column:
+    """How much likelier a toxic document holds an entry than another does."""
+    return ((F.col("t") + 0.1) / (n_toxic + 0.2)) / ((F.col("c") + 0.5) / (n_clean + 1))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     """A model of the rows of *labels* (doc_id, toxic), whichever of them the caller lets it see.
 
     Rows with a null id, text or label teach nothing.  Without toxic rows the
-    lexicon is empty.
+    lexicon is empty.  Candidates are counted and sifted where the texts are, so
+    only entries of the lexicon, their beginnings and exceptions reach the
+    driver.  *exceptions* are kept besides those learned from clean rows.
     """
     short_batches(docs.sparkSession)
     spread, counts = _labelled(docs, labels, sample)
     texts = staged(spread, "toxic-sample")
     teach = texts.filter("NOT for_curve")
     sizes = {r["toxic"]: r["n"] for r in teach.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic = {r["entry"]: r["n"] for r in _count_entries(teach.filter("toxic = 1")).filter(F.col("n") >= LEAST_DOCUMENTS).collect()}
-    among = docs.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["entry"]: r["n"] for r in _count_entries(teach.filter("toxic = 0"), among).collect()}
-    model = Model(choose(toxic, clean, sizes.get(1, 0), sizes.get(0, 0)), tuple(exceptions))
+    odds = _odds(sizes.get(1, 0), sizes.get(0, 0)).alias("odds")
+    telling = _counted(teach, lambda: stems).select("entry", "t", odds).filter((F.col("t") >= LEAST_DOCUMENTS) & (F.col("odds") >= LEAST_ODDS))
+    lexicon = choose(tuple(r) for r in telling.collect())
+    bare = docs.sparkSession.sparkContext.broadcast(Model(lexicon, ()))
+    harmless = _counted(teach, lambda: bare.value.neighbours).filter((F.col("c") >= EXCEPTION_DOCUMENTS) & (odds <= EXCEPTION_ODDS))
+    learned = sorted(r["entry"] for r in harmless.select("entry").collect())
+    model = Model(lexicon, tuple(dict.fromkeys([*exceptions, *learned])))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
