@@ -25,16 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """*df*, written as Parquet into the shared folder and read back; its lineage ends there.
 
-    With *keep* the table outlives the innermost ``scratch``.
+    With *keep* the table outlives the innermost ``scratch``.  *compression*
+    ``none`` suits cells that are compressed already.
     """
     path = f"{shared_dir(df.sparkSession)}/quire/{name}-{uuid.uuid4().hex}"
     scopes = _SCOPES.get()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
