@@ -4,14 +4,16 @@ A shard holds the ids of consecutive documents.  Its ids are numbered by their
 rank among the shard's distinct ids; bit-planes of these numbers, from the
 highest, are stored with each level stably parted by its bit.  With counts of
 ones by block, access, counting and occurrence lookup need no decoding of the
-whole shard.
-
-Shard file, little-endian: ``QWM1``; uint32 header length; header as JSON with
-n_tokens, n_docs, levels, zeros (by level) and the byte length of each section;
-then the sections, each compressed by itself (zstd): alphabet (uint32), doc_ids
-(int64), doc_starts (int64, one more than documents; all before the shard not
-counted), then for each level the plane (bits, lowest first) and ranks (uint32,
-ones before each block of 512 bits).
+whole shard: sections are decompressed when a query touches them, planes block
+by block.
+
+Shard file, little-endian: ``QWM2``; uint32 header length; header as JSON with
+n_tokens, n_docs, levels, zeros (by level) and the byte length of each part of
+each section; then the sections: alphabet (uint32), doc_ids (int64), which of
+them are known (bits), doc_starts (int64, one more than documents; all before
+the shard not counted), then for each level the plane (bits, lowest first) and
+ranks (uint32, ones before each block of 512 bits).  A part is PART bytes of a
+section (the last one: the rest), compressed by itself (zstd).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from quire.llm import bpe
 from quire.llm.common import short_batches, staged
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 BLOCK = 512
+#: Bytes of a section that are compressed together; blocks lie within a part.
+PART = 1 << 14
 END_ID = 2
 #: A shard is closed once it has so many ids; documents are never split.
 SHARD_TOKENS = 1 << 20
@@ -92,7 +98,8 @@ class WaveletMatrix:
 
     def _select_bit(self, k: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) such bit of plane k."""
-        before = self.ranks[k] if bit else np.minimum(np.arange(len(self.ranks[k])) * BLOCK, self.n) - self.ranks[k]
+        ones = self.ranks[k][:]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         block = int(np.searchsorted(before, j, side="right")) - 1
         a = block * BLOCK // 8
         bits = np.unpackbits(self.planes[k][a : a + BLOCK // 8], bitorder="little")[: self.n - block * BLOCK]
@@ -119,7 +126,7 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for k in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(self.planes[k][:], count=self.n, bitorder="little").view(bool)
             out[self.zeros[k] :] |= kind(1 << (len(self.planes) - 1 - k))
             above = np.empty(self.n, kind)
             above[np.flatnonzero(~ones)] = out[: self.zeros[k]]
@@ -152,10 +159,42 @@ def write_shard(doc_ids: list, ids: list[bytes], dtype: np.dtype) -> bytes:
     for plane, ranks in zip(matrix.planes, matrix.ranks, strict=True):
         sections += [plane, ranks.astype("<u4")]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    packed = [squeeze(x.tobytes()) for x in sections]
-    head = {"n_tokens": len(tokens), "n_docs": len(doc_ids), "levels": levels, "zeros": matrix.zeros, "sections": [len(x) for x in packed]}
+    packed = []
+    for x in sections:
+        data = memoryview(x.tobytes())
+        packed.append([squeeze(data[i : i + PART]) for i in range(0, len(data), PART)])
+    head = {"n_tokens": len(tokens), "n_docs": len(doc_ids), "levels": levels, "zeros": matrix.zeros, "sections": [[len(p) for p in parts] for parts in packed]}
     header = json.dumps(head).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *packed])
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *(p for parts in packed for p in parts)])
+
+
+class _Section:
+    """A section's items; its parts are decompressed when they are read first, and kept."""
+
+    def __init__(self, data: memoryview, at: int, sizes: list[int], kind: str):
+        self.data, self.kind = data, np.dtype(kind)
+        self.bounds = [at, *(at + n for n in accumulate(sizes))]
+        self.parts: dict[int, np.ndarray] = {}
+        self.per_part = PART // self.kind.itemsize
+
+    def _part(self, j: int) -> np.ndarray:
+        found = self.parts.get(j)
+        if found is None:
+            packed = self.data[self.bounds[j] : self.bounds[j + 1]]
+            found = self.parts[j] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), self.kind)
+        return found
+
+    def __getitem__(self, key: int | slice) -> np.integer | np.ndarray:
+        if not isinstance(key, slice):
+            return self._part(key // self.per_part)[key % self.per_part]
+        last = len(self.bounds) - 1
+        stop = last * self.per_part if key.stop is None else key.stop
+        first = (key.start or 0) // self.per_part
+        found = [self._part(j) for j in range(first, min(last, -(-stop // self.per_part)))]
+        if not found:
+            return np.zeros(0, self.kind)
+        joined = found[0] if len(found) == 1 else np.concatenate(found)
+        return joined[(key.start or 0) - first * self.per_part : stop - first * self.per_part]
 
 
 class Shard:
@@ -166,17 +205,27 @@ class Shard:
             raise ValueError("not a shard file")
         (size,) = struct.unpack_from("<I", data, 4)
         head = json.loads(data[8 : 8 + size])
-        at, parts = 8 + size, []
-        expand = zstandard.ZstdDecompressor().decompress
-        for n in head["sections"]:
-            parts.append(expand(data[at : at + n]))
-            at += n
-        self.alphabet = np.frombuffer(parts[0], "<u4")
-        known = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=head["n_docs"]).astype(bool)
-        self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(parts[1], "<i8"), known, strict=True)]
-        self.doc_starts = np.frombuffer(parts[3], "<i8")
-        planes = [np.frombuffer(x, np.uint8) for x in parts[4::2]]
-        self.matrix = WaveletMatrix(head["n_tokens"], planes, head["zeros"], [np.frombuffer(x, "<u4") for x in parts[5::2]])
+        at, view = 8 + size, memoryview(data)
+        self.sections: list[_Section] = []
+        for i, sizes in enumerate(head["sections"]):
+            kind = ("<u4", "<i8", "u1", "<i8")[i] if i < 4 else ("u1", "<u4")[i % 2]
+            self.sections.append(_Section(view, at, sizes, kind))
+            at += sum(sizes)
+        self.n_docs = head["n_docs"]
+        self.matrix = WaveletMatrix(head["n_tokens"], self.sections[4::2], head["zeros"], self.sections[5::2])
+
+    @cached_property
+    def alphabet(self) -> np.ndarray:
+        return self.sections[0][:]
+
+    @cached_property
+    def doc_ids(self) -> list[int | None]:
+        known = np.unpackbits(self.sections[2][:], count=self.n_docs).astype(bool)
+        return [int(d) if k else None for d, k in zip(self.sections[1][:], known, strict=True)]
+
+    @cached_property
+    def doc_starts(self) -> np.ndarray:
+        return self.sections[3][:]
 
     def __len__(self) -> int:
         return self.matrix.n
@@ -186,7 +235,7 @@ class Shard:
         return i if i < len(self.alphabet) and self.alphabet[i] == token else None
 
     def token(self, i: int) -> int:
-        return int(self.alphabet[self.matrix.access(i)])
+        return int(self.sections[0][self.matrix.access(i)])
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         number = self._number(token)
@@ -208,7 +257,8 @@ def write_shards(docs: DataFrame, tokenizer: str = bpe.TOKENIZER, end_id: int =
     the file itself.  Files are rows of a Parquet table, so that any file system
     and any retried task will do.  A null or empty text is its end id alone;
     equal doc_ids are ordered by a hash of the text; an empty table has no
-    shards.  Further columns are left out.
+    shards.  Further columns are left out.  Ids are integers; others are cast,
+    which fails for those that are none.  The table is not compressed again.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
@@ -237,7 +287,7 @@ def write_shards(docs: DataFrame, tokenizer: str = bpe.TOKENIZER, end_id: int =
         if held:
             yield out()
 
-    return staged(placed.mapInArrow(run, "part int, shard int, n_tokens long, n_docs long, file binary"), "shards")
+    return staged(placed.mapInArrow(run, "part int, shard int, n_tokens long, n_docs long, file binary"), "shards", compression="none")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

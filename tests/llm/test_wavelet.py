@@ -21,6 +21,19 @@ def test_shard_round_trip_and_queries(n, top):
         shard.token(n)
 
 
+def test_queries_open_few_parts():
+    """A token is read from one part of each plane, and of each plane's ranks, and the alphabet's."""
+    ids = np.random.default_rng(0).integers(0, 40_000, 1 << 20).astype("<u2")
+    shard = wavelet.Shard(wavelet.write_shard([1], [ids.tobytes()], ids.dtype))
+    opened = lambda: sum(len(s.parts) for s in shard.sections)
+    whole = sum(len(s.bounds) - 1 for s in shard.sections)
+    assert opened() == 0 and shard.token(300_000) == ids[300_000]
+    assert 0 < opened() <= 2 * 16 + 1 < whole / 3
+    assert shard.count(int(ids[5]), 100, 9000) == int((ids[100:9000] == ids[5]).sum())
+    assert opened() < whole
+    assert shard.occurrences(int(ids[5])) == np.flatnonzero(ids == ids[5]).tolist() and shard.tokens().tolist() == ids.tolist()
+
+
 def test_encoder_equals_the_library(texts):
     enc = bpe.Encoder()
     odd = ["a  b", " a", "a ", "\n b", "a\n b  c\x1c d", "x <|endoftext|> y", "don't  \t you'll 've", "", " ", "日本 語 ２３ ²", "é a\x85 b 　 c", "ª º ¼ a²b", "\x00 a", "  \n  x"]
