@@ -16,10 +16,12 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 
+from quire.llm.common import of_worker
+
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of each half of a worker's caches; a full young half becomes the old
 #: one, from which entries that are used again come back.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 _CUT = re.compile(r" (?=\S)")
 #: The library's pre-tokens, where text has only characters for which Python's
@@ -33,17 +35,17 @@ class _Uncuttable(Exception):
 
 
 class _Halves(dict):
-    """A cache of f(key) in two halves, bounded by twice CACHE_ENTRIES; parts(key) where f gives None."""
+    """A cache of f(key) in two halves, bounded by twice CACHE_ENTRIES; f also says whether to hold a value."""
 
-    def __init__(self, f: Callable[[str], bytes | None], parts: Callable[[str], bytes] | None = None):
-        self.f, self.parts, self.old = f, parts, {}
+    def __init__(self, f: Callable[[str], tuple[bytes, bool]]):
+        self.f, self.old = f, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value = self.f(key)
-            if value is None:  # made of parts that are held themselves
-                return self.parts(key)
+            value, hold = self.f(key)
+            if not hold:
+                return value
         if len(self) >= CACHE_ENTRIES:
             self.old = self.copy()
             self.clear()
@@ -73,34 +75,40 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
-        self.known = _Halves(self._pretoken).__getitem__
-        self.lookup = _Halves(self._chunk, self._parts).__getitem__
+        self.known = _Halves(lambda piece: (self._pretoken(piece), True)).__getitem__
+        self.chunks = _Halves(self._chunk)
+        self.lookup = self.chunks.__getitem__
         self.letters = _byte_letters()
+        self.blank = self.letters[ord(" ")]
 
-    def _pretoken(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+    def _ids(self, letters: str) -> bytes:
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that follows a blank; None if it is letters with common marks at their end."""
+    def _pretoken(self, piece: str) -> bytes:
+        return self._ids(piece.encode("utf-8").decode("latin-1").translate(self.letters))
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bool]:
+        """Ids of a chunk that follows a blank.
+
+        Letters, full stops or commas, and what stands after a line's end are
+        each a pre-token or more of its own; such a chunk is held only if its
+        letters are known already.
+        """
         if chunk.isalpha():
-            return self._pretoken(" " + chunk)
+            return self._ids(chr(self.blank) + chunk) if chunk.isascii() else self._pretoken(" " + chunk), True
         if not chunk or chunk[0].isspace():
             raise _Uncuttable
-        if chunk.partition("\n")[0].rstrip(".,").isalpha():
-            return None
-        return self.pretokens(" " + chunk)
-
-    def _parts(self, chunk: str) -> bytes:
-        """Letters, full stops or commas, and what stands after a line's end: each a pre-token or more of its own."""
         line, end, rest = chunk.partition("\n")
         word = line.rstrip(".,")
+        if not word.isalpha():
+            return self.pretokens(" " + chunk), True
+        hold = not end and word in self.chunks
         ids = self.lookup(word)
         if len(word) < len(line):
             ids += self.known(line[len(word) :])
         if end:
             ids += self.known("\n") + self.known(rest) if rest.isalpha() else self.pretokens(end + rest)
-        return ids
+        return ids, hold
 
     def pretokens(self, text: str) -> bytes:
         if _PLAIN(text):
@@ -131,11 +139,6 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(name: str = TOKENIZER) -> Encoder:
     """This process's encoder; its caches outlive tasks."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return of_worker(("bpe", name), lambda: Encoder(name))

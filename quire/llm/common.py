@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.staging import scratch, shared_dir, staged
 
-__all__ = ["append_columns", "field", "scratch", "shared_dir", "short_batches", "staged", "table"]
+__all__ = ["append_columns", "field", "of_worker", "scratch", "shared_dir", "short_batches", "staged", "table"]
 
 #: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
 ARROW_ROWS = "512"
@@ -58,5 +58,20 @@ def append_columns(
     return wide.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def of_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make()`` gave for *key*, held by this worker for its next tasks.
+
+    Only the last key's is held, so that a worker that goes from operator to
+    operator does not gather the caches of all.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import append_columns, field
+from quire.llm.common import append_columns, field, of_worker
 
 WINDOW = 10
 #: Items' bytes in one automaton, which is broadcast; larger benchmarks are
@@ -59,21 +59,9 @@ def build(items: Sequence[tuple], window: int = WINDOW) -> tuple[dict[bytes, int
     return number, automaton, ids
 
 
-_worker: dict = {}
-
-
-def _built(sent, window: int) -> tuple:
-    """What ``build`` makes of a broadcast block; a worker keeps the last one for its next tasks."""
-    key = (sent.value[0], window)
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = build(sent.value[1], window)
-    return _worker[key]
-
-
 def _scan(sent, window: int):
     """A function from texts and earlier blocks' findings to word counts, hit words, items and spans."""
-    number, automaton, ids = _built(sent, window)
+    number, automaton, ids = of_worker(("items", sent.value[0], window), lambda: build(sent.value[1], window))
     get = number.get
 
     def scan(texts, before_hits=None, before_items=None):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import append_columns, field, short_batches
+from quire.llm.common import append_columns, field, of_worker, short_batches
 
 MODEL = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -251,9 +251,6 @@ def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, name: str = MODEL)
     return Model(languages, pieces, table)
 
 
-_worker: dict = {}
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """*docs* with lang_pred and lang_score, the posterior of equally likely languages.
 
@@ -263,13 +260,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     import uuid
 
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), ("langid", uuid.uuid4().hex)
 
     def make():
-        if key not in _worker:
-            _worker.clear()
-            _worker[key] = Scorer(sent.value)
-        return _worker[key].predict
+        return of_worker(key, lambda: Scorer(sent.value)).predict
 
     return append_columns(docs, ["text"], make, [field("lang_pred", T.StringType()), field("lang_score", T.DoubleType())])
 
