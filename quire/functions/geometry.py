@@ -177,16 +177,16 @@ def _edges(p: np.ndarray) -> np.ndarray:
 
 
 def _heights(edges: np.ndarray) -> list[float]:
-    found = set(edges[:, 1])
-    for i, (ax, ay, bx, by) in enumerate(edges):
-        for cx, cy, dx, dy in edges[i + 1 :]:
-            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if det:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det
-                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    found.add(ay + t * (by - ay))
-    return sorted(found)
+    """Heights of all vertices and of the places where two edges cross."""
+    i, j = np.triu_indices(len(edges), 1)
+    a, b = edges[i], edges[j]
+    along, other, gap = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2], b[:, :2] - a[:, :2]
+    cross = lambda p, q: p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
+    det = cross(along, other)
+    fine = det != 0
+    t, u = cross(gap, other)[fine] / det[fine], cross(gap, along)[fine] / det[fine]
+    met = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    return np.unique(np.concatenate([edges[:, 1], a[fine, 1][met] + t[met] * along[fine, 1][met]])).tolist()
 
 
 def _spans(edges: np.ndarray, y: float) -> list[tuple[float, float]]:
@@ -204,11 +204,9 @@ def with_overlap(pairs: DataFrame, parent: str, child: str, out: str = "ioa") ->
     """*pairs* with the share of the child polygon that the parent covers.
 
     Upright rectangles are computed in columns; only pairs of other shapes
-    whose boxes meet send their polygons to Python, the rest send nulls.
+    whose boxes meet go to Python, in a branch of their own.
     """
-    plain = is_rectangle(parent) & is_rectangle(child)
     by_box = box_overlap(box(parent), box(child))
-    marked = pairs.withColumns({"__plain": plain, "__box": by_box})
-    hard = ~F.col("__plain") & (F.col("__box") > 0)
-    exact = _overlap(F.when(hard, F.col(parent)), F.when(hard, F.col(child)))
-    return marked.withColumn("__exact", exact).withColumn(out, F.when(hard, F.col("__exact")).otherwise(F.col("__box"))).drop("__plain", "__box", "__exact")
+    hard = ~(is_rectangle(parent) & is_rectangle(child)) & (by_box > 0)
+    rest = pairs.filter(hard).withColumn(out, _overlap(parent, child))
+    return pairs.filter(~hard).withColumn(out, by_box).unionByName(rest)

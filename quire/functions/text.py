@@ -92,6 +92,17 @@ def ratio(a: str, b: str) -> float:
     return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def ratio_as_given(a: Column | str, b: Column | str) -> Column:
+    """The ratio of both texts with their outer white space; 0 without a first text."""
+    return _ratio(col_of(a), F.coalesce(col_of(b), F.lit("")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in batches:
+        yield pd.Series([ratio(a, b) if a else 0.0 for a, b in zip(left, right, strict=True)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
@@ -108,10 +119,43 @@ def band(score: Column | str) -> Column:
     return F.when(s >= 0.9, "Pass").when(s >= 0.5, "Warning").otherwise("Fail")
 
 
+def edits(a: str, b: str) -> int:
+    """Edit distance, by bit-parallel steps: the differences of a column's cells are the bits of two numbers."""
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for ch in b:
+        same = places.get(ch, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        rises, falls = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(rises & last) - bool(falls & last)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = falls | (full & ~(same | down | rises)), rises & (same | down)
+    return distance
+
+
+@F.pandas_udf(T.DoubleType())
+def _error_rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in batches:
+        pairs = (((a or "").replace(" ", ""), (b or "").replace(" ", "")) for a, b in zip(left, right, strict=True))
+        yield pd.Series([edits(a, b) / len(a) if a else float(bool(b)) for a, b in pairs], dtype=float)
+
+
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Edit distance over the reference's length, blanks left out; for an empty reference 0 or 1."""
-    ref, hyp = (F.replace(F.coalesce(col_of(c), F.lit("")), F.lit(" "), F.lit("")) for c in (reference, hypothesis))
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    """Edit distance over the reference's length, blanks left out; for an empty reference 0 or 1.
+
+    Texts may be long: the steps are the characters of one, each on all bits of
+    the other.
+    """
+    return _error_rate(col_of(reference), col_of(hypothesis))
 
 
 def flattened(c: Column | str) -> Column:

@@ -27,23 +27,35 @@ def is_empty(variant: str) -> Column:
 def unpivot(df: DataFrame, variant: str, keep: list[str], max_depth: int | None = None) -> DataFrame:
     """*keep*, key (dotted), value: every key of an object, also of objects inside it.
 
-    An object has a row of its own, then its keys follow, level by level.
+    An object has a row of its own, then its keys follow, level by level.  How
+    deep objects go is found in one pass; the levels are read in one more each.
     """
     spark = df.sparkSession
     level = df.select(*keep, F.lit("").alias("key"), F.col(variant).alias("value"))
-    found, depth = None, 0
-    while max_depth is None or depth < max_depth:
-        level.createOrReplaceTempView("__quire_level")
+    deepest = df.agg(F.max(object_depth(F.to_json(variant)))).first()[0] or 0
+    found = None
+    for _ in range(deepest if max_depth is None else min(deepest, max_depth)):
         names = ", ".join(f"l.`{k}`" for k in keep)
         level = spark.sql(
             f"""SELECT {names}{',' if keep else ''} concat(CASE WHEN l.key = '' THEN '' ELSE concat(l.key, '.') END, e.key) AS key, e.value AS value
-                FROM __quire_level l, LATERAL variant_explode(CASE WHEN schema_of_variant(l.value) LIKE 'OBJECT%' THEN l.value END) e"""
+                FROM {{level}} l, LATERAL variant_explode(CASE WHEN schema_of_variant(l.value) LIKE 'OBJECT%' THEN l.value END) e""",
+            level=level,
         )
-        if level.isEmpty():
-            break
         found = level if found is None else found.unionByName(level)
-        level, depth = level.filter("schema_of_variant(value) LIKE 'OBJECT%'"), depth + 1
-    return found if found is not None else df.select(*keep, F.lit("").alias("key"), F.col(variant).alias("value")).limit(0)
+        level = level.filter("schema_of_variant(value) LIKE 'OBJECT%'")
+    return found if found is not None else level.limit(0)
+
+
+def object_depth(json: Column) -> Column:
+    """How deep objects are nested in compact JSON, at most: lists count as a level, too."""
+    signs = F.split(F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(signs, start, step)["most"]
 
 
 def category_profile(blocks: DataFrame) -> DataFrame:
@@ -92,8 +104,7 @@ def values_at(df: DataFrame, variant: str, path: list[str], keep: list[str]) ->
     names = "".join(f"l.`{k}`, " for k in keep)
 
     def items(level: DataFrame) -> DataFrame:
-        level.createOrReplaceTempView("__quire_items")
-        listed = spark.sql(f"SELECT {names} e.value AS value FROM __quire_items l, LATERAL variant_explode(CASE WHEN schema_of_variant(l.value) LIKE 'ARRAY%' THEN l.value END) e")
+        listed = spark.sql(f"SELECT {names} e.value AS value FROM {{level}} l, LATERAL variant_explode(CASE WHEN schema_of_variant(l.value) LIKE 'ARRAY%' THEN l.value END) e", level=level)
         return level.filter("schema_of_variant(value) NOT LIKE 'ARRAY%'").unionByName(listed)
 
     for key in path:

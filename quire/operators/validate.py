@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry, latex
 from quire.functions.text import is_blank
 from quire.plans import rules
+from quire.staging import staged
 
 COLUMNS = ("file", "category", "anno_id", "rule_id", "severity", "detail")
 #: Categories of findings about a whole page, by rule.
@@ -167,6 +168,11 @@ def page_rules(ann: DataFrame, rel: DataFrame, sub: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def findings(ann: DataFrame, rel: DataFrame, sub: DataFrame) -> DataFrame:
+    """All findings about blocks and about pages of them."""
+    return annotation_rules(ann, rules.required_keys(ann.sparkSession)).unionByName(page_rules(ann, rel, sub))
+
+
 def load_errors(pages: DataFrame) -> DataFrame:
     return _found(pages.filter("page IS NULL"), "file_load_error", category=F.lit("file"), anno_id=F.lit("N/A"))
 
@@ -176,8 +182,7 @@ def validate(pages: DataFrame) -> DataFrame:
     from quire.sources import pages as source
 
     ann, rel = source.annotations(pages), source.relations(pages)
-    found = annotation_rules(ann, rules.required_keys(pages.sparkSession))
-    return found.unionByName(page_rules(ann, rel, source.sub_regions(ann))).unionByName(load_errors(pages))
+    return findings(ann, rel, source.sub_regions(ann)).unionByName(load_errors(pages))
 
 
 def facets(found: DataFrame, severities: list[str], categories: list[str] = (), rule_ids: list[str] = (), files: list[str] = ()) -> DataFrame:
@@ -205,16 +210,16 @@ def findings_of(found: DataFrame, file: str, anno_id: str) -> DataFrame:
     return found.filter((F.col("file") == file) & ((F.col("anno_id") == anno_id) | (F.col("detail") == anno_id)))
 
 
-def summary(found: DataFrame, top: int = 10) -> dict[str, DataFrame]:
-    """Totals by severity; errors by category and by rule; the files with most findings."""
-    errors = found.filter("severity = 'ERROR'")
-    count = F.count(F.lit(1)).alias("n")
-    return {
-        "severity": found.groupBy("severity").agg(count),
-        "category": errors.groupBy("category").agg(count),
-        "rule": errors.groupBy("rule_id").agg(count),
-        "files": found.groupBy("file").agg(count).orderBy(F.desc("n"), "file").limit(top),
-    }
+def summary(found: DataFrame, top: int = 10) -> DataFrame:
+    """kind, value, n: totals by severity; errors by category and by rule; the files with most findings.
+
+    Findings are counted in one pass, and the counts staged.
+    """
+    error = F.col("severity") == "ERROR"
+    kind = lambda name, value: F.struct(F.lit(name).alias("kind"), F.col(value).alias("value"))
+    kinds = F.array_compact(F.array(kind("severity", "severity"), F.when(error, kind("category", "category")), F.when(error, kind("rule", "rule_id")), kind("files", "file")))
+    counted = staged(found.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("n")), "summary")
+    return counted.filter("kind <> 'files'").unionByName(counted.filter("kind = 'files'").orderBy(F.desc("n"), "value").limit(top))
 
 
 def figure_check(ann: DataFrame, rel: DataFrame, sub: DataFrame) -> DataFrame:

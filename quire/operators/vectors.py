@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.numbering import dense_ids
@@ -15,6 +15,8 @@ from quire.staging import staged
 #: Vectors of one block of the blocked product, and pivots at most.
 BLOCK = 1000
 PIVOTS = 256
+#: Query vectors that are sent to all tasks at once.
+HELD_QUERIES = 20_000
 
 
 def cosine(vector: Column | str, query: list[float]) -> Column:
@@ -37,11 +39,71 @@ def region_label(regions: list[tuple[str, list[float]]], wanted: str | None) ->
     return next((r for r in regions if r[0] == wanted), regions[0] if regions else None)
 
 
-def search(collections: dict[int, DataFrame], stage: int, query: list[float], top: int = 5, label: str | None = None) -> DataFrame:
-    """Search of a stage's collection; stage 3 by label with ten hits; an unknown stage has no hits."""
-    if stage not in collections:
-        return next(iter(collections.values())).withColumn("score", F.lit(0.0)).limit(0)
-    return top_k(collections[stage], query, 10 if stage == 3 else top, label if stage == 3 else None)
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 5, label: str | None = None, id_col: str = "vec_id", held: int = HELD_QUERIES) -> DataFrame:
+    """query, *id_col*, score: the *k* vectors most like each query vector (of one label if given).
+
+    Queries go to the vectors in blocks of about *held*.  A task multiplies
+    batches of vectors with parts of a block and keeps each query's best, so k
+    rows for a query and task are shuffled.
+    """
+    spark = vectors.sparkSession
+    some = vectors if label is None else vectors.filter(F.col("label") == label)
+    rows = some.select(F.col(id_col).cast("long").alias(id_col), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = max(1, -(-asked.count() // held))
+    found = None
+    for n in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect()
+        sent = spark.sparkContext.broadcast((np.array([r["query"] for r in block], np.int64), _exact_unit([r["embedding"] for r in block])))
+        best = rows.mapInArrow(_best_of_task(sent, id_col, k), f"query long, `{id_col}` long, score double")
+        found = best if found is None else found.unionByName(best)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), id_col)
+    return found.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k).drop("__r")
+
+
+def _best_of_task(sent, id_col: str, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, matrix = sent.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * -(-len(asked) // BLOCK)
+        for batch in batches:
+            ids, unit = batch.column(0).to_numpy(), _exact_unit(batch.column(1).to_pylist())
+            for part in range(len(best)):
+                at = part * BLOCK
+                score = matrix[at : at + BLOCK] @ unit.T if len(unit) else np.zeros((0, 0))
+                if score.shape[1] > k:  # the k-th best of the batch, and ties with it
+                    i, j = np.nonzero(score >= np.partition(score, -k, axis=1)[:, -k, None])
+                else:
+                    i, j = np.indices(score.shape).reshape(2, -1)
+                q, v, s = (np.concatenate(x) for x in zip(best[part], (i + at, ids[j], score[i, j]), strict=True))
+                order = np.lexsort((v, -s, q))
+                q, v, s = q[order], v[order], s[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                best[part] = q[rank < k], v[rank < k], s[rank < k]
+        for q, v, s in best:
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(v), pa.array(s)], ["query", id_col, "score"])
+
+    return run
+
+
+def _exact_unit(lists: list) -> np.ndarray:
+    """Rows of length 1; those of zeros stay."""
+    if not lists:
+        return np.zeros((0, 0))
+    m = np.array(lists, float).reshape(len(lists), -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def search(collections: dict[int, DataFrame], stage: int, query: list[float] | DataFrame, top: int = 5, label: str | None = None) -> DataFrame | None:
+    """Search of a stage's collection for one vector or a frame of them; stage 3 by label with ten hits.
+
+    An unknown stage has no hits, which is None where there is no collection at all.
+    """
+    if not collections:
+        return None
+    known = collections.get(stage, next(iter(collections.values())).limit(0))
+    k, of = (10, label) if stage == 3 else (top, None)
+    return top_k_each(known, query, k, of) if isinstance(query, DataFrame) else top_k(known, query, k, of)
 
 
 def first_per_document(vectors: DataFrame, doc: str = "doc_id", order: str = "id") -> DataFrame:

@@ -14,6 +14,8 @@ from quire.plans import rules, surrogates
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: SQL without the common tables before it.
+BODIES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, **ctes: str) -> Callable[[Query], Query]:
@@ -22,6 +24,7 @@ def query(sql: str | None = None, **ctes: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
+            BODIES[f.__name__] = sql
             head = ", ".join(f"{k} AS ({v})" for k, v in ctes.items())
             SQL[f.__name__] = f"WITH {head} {sql}" if head else sql
         return f
@@ -40,10 +43,6 @@ def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.annotations(spark, table(spark, sf_dir, "documents"))
 
 
-def whole_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.annotations(spark, table(spark, sf_dir, "documents"), whole=True)
-
-
 def rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.relations(spark, table(spark, sf_dir, "documents"))
 
@@ -70,29 +69,6 @@ _EMPTY_TEXT = """SELECT file, category, anno_id, 'empty_text' AS rule_id, CASE W
   FROM ann WHERE trim(text) = '' AND category IN ('text_block','title','header','footer','list_item','table_caption','figure_caption','page_footnote')"""
 _INVALID_POLY = """SELECT file, category, anno_id, 'invalid_poly' AS rule_id, 'ERROR' AS severity,
   CASE WHEN poly_len < 6 THEN 'fewer than three points' ELSE 'odd number of values' END AS detail FROM ann WHERE poly_len < 6 OR poly_len % 2 = 1"""
-_SMALL_UNION = f"({_EMPTY_TEXT}) UNION ALL ({_INVALID_POLY})"
-
-
-def _small_union(spark, sf_dir):
-    a = ann(spark, sf_dir)
-    return validate.empty_texts(a).unionByName(validate.invalid_polys(a))
-
-
-@query(f"SELECT * FROM ({_SMALL_UNION}) WHERE severity IN ('ERROR') AND category IN ('title', 'header')", ann=ANN)
-def p4_facets(spark, sf_dir):
-    return validate.facets(_small_union(spark, sf_dir), ["ERROR"], ["title", "header"])
-
-
-@query(f"SELECT DISTINCT category FROM ({_SMALL_UNION})", ann=ANN)
-def p5_facet_values(spark, sf_dir):
-    return validate.facet_values(_small_union(spark, sf_dir), "category")
-
-
-@query(f"""SELECT a.file, a.pos, a.anno_id FROM ann a WHERE category = 'title' AND (a.file, a.anno_id) IN (SELECT (file, anno_id) FROM ({_SMALL_UNION}))""", ann=ANN)
-def p6_flagged_annotations(spark, sf_dir):
-    return validate.flagged_annotations(ann(spark, sf_dir), _small_union(spark, sf_dir), "title").select("file", "pos", "anno_id")
-
-
 @query("""SELECT category, CAST(count(*) AS BIGINT) AS n FROM ann WHERE category IN ('text_block','title','list','list_item','header','footer','page_number','figure_caption','table_caption','page_footnote') GROUP BY category""", ann=ANN)
 def p7_text_categories(spark, sf_dir):
     return profile.category_counts(ann(spark, sf_dir))
@@ -181,62 +157,70 @@ def p18_issues(spark, sf_dir):
 # Geometry
 
 
-@query("SELECT file, pos, w AS width, h AS height, w * h AS area, CASE WHEN h > 0 THEN w / h ELSE 0.0 END AS aspect FROM ann WHERE poly_len = 8", ann=ANN)
+#: Blocks with the sides of their vertices' extent (eh) and their box: four numbers are a line, an odd polygon has no box.
+_GEO = """SELECT *, CASE WHEN poly_len = 4 THEN 0.0 ELSE h END AS eh, CASE WHEN poly_len = 7 THEN 0.0 ELSE x1 END AS bx1, CASE WHEN poly_len = 7 THEN 0.0 ELSE y1 END AS by1,
+  CASE WHEN poly_len = 7 THEN 0.0 ELSE x1 + w END AS bx2, CASE WHEN poly_len = 7 THEN 0.0 WHEN poly_len = 4 THEN y1 ELSE y1 + h END AS by2 FROM ann"""
+
+
+@query("SELECT file, pos, w AS width, eh AS height, w * eh AS area, CASE WHEN eh > 0 THEN w / eh ELSE 0.0 END AS aspect FROM geo", ann=ANN, geo=_GEO)
 def g1_extents(spark, sf_dir):
-    return ann(spark, sf_dir).filter("poly_len = 8").withColumn("e", geometry.extent("poly")).select("file", "pos", "e.width", "e.height", "e.area", "e.aspect")
+    return ann(spark, sf_dir).withColumn("e", geometry.extent("poly")).select("file", "pos", "e.width", "e.height", "e.area", "e.aspect")
 
 
-@query("""SELECT file, pos, CASE WHEN poly_len = 7 THEN 0.0 ELSE x1 END AS x1, CASE WHEN poly_len = 7 THEN 0.0 ELSE y1 END AS y1,
-  CASE WHEN poly_len = 7 THEN 0.0 ELSE x1 + w END AS x2, CASE WHEN poly_len = 7 THEN 0.0 WHEN poly_len = 4 THEN y1 ELSE y1 + h END AS y2 FROM ann""", ann=ANN)
+@query("SELECT file, pos, bx1 AS x1, by1 AS y1, bx2 AS x2, by2 AS y2 FROM geo", ann=ANN, geo=_GEO)
 def g2_boxes(spark, sf_dir):
     return ann(spark, sf_dir).withColumn("b", geometry.box("poly")).select("file", "pos", "b.*")
 
 
-@query("SELECT file, pos, x1 + w / 2 AS x, y1 + h / 2 AS y FROM ann WHERE poly_len = 8", ann=ANN)
+_CENTRE = "CASE WHEN {0}poly_len <> 7 THEN ({0}b{1}1 + {0}b{1}2) / 2 END"
+
+
+@query(f"SELECT file, pos, {_CENTRE.format('', 'x')} AS x, {_CENTRE.format('', 'y')} AS y FROM geo", ann=ANN, geo=_GEO)
 def g3_centres(spark, sf_dir):
-    return ann(spark, sf_dir).filter("poly_len = 8").withColumn("c", geometry.centre("poly")).select("file", "pos", "c.x", "c.y")
+    return ann(spark, sf_dir).withColumn("c", geometry.centre("poly")).select("file", "pos", "c.x", "c.y")
 
 
 _PAIRS = """SELECT p.file, p.pos AS p_pos, c.pos AS c_pos,
-  CASE WHEN c.w * c.h > 0 THEN greatest(0.0, least(p.x1 + p.w, c.x1 + c.w) - greatest(p.x1, c.x1)) * greatest(0.0, least(p.y1 + p.h, c.y1 + c.h) - greatest(p.y1, c.y1)) / (c.w * c.h) ELSE 0.0 END AS ioa
-  FROM ann p JOIN ann c ON p.file = c.file AND p.category = 'figure' AND c.category = 'chart' WHERE p.poly_len = 8 AND c.poly_len = 8"""
+  CASE WHEN p.poly_len = 8 AND c.poly_len = 8 AND c.w * c.h > 0 THEN greatest(0.0, least(p.x1 + p.w, c.x1 + c.w) - greatest(p.x1, c.x1)) * greatest(0.0, least(p.y1 + p.h, c.y1 + c.h) - greatest(p.y1, c.y1)) / (c.w * c.h) ELSE 0.0 END AS ioa
+  FROM ann p JOIN ann c ON p.file = c.file AND p.category = 'figure' AND c.category = 'chart'"""
 
 
 @query(f"SELECT file, p_pos, c_pos, round(ioa, 6) AS ioa FROM ({_PAIRS})", ann=ANN)
 def g4_overlap(spark, sf_dir):
-    a = ann(spark, sf_dir).filter("poly_len = 8")
+    a = ann(spark, sf_dir)
     p = a.filter("category = 'figure'").select("file", F.col("pos").alias("p_pos"), F.col("poly").alias("pp"))
     c = a.filter("category = 'chart'").select("file", F.col("pos").alias("c_pos"), F.col("poly").alias("cp"))
     return geometry.with_overlap(p.join(c, "file"), "pp", "cp").select("file", "p_pos", "c_pos", F.round("ioa", 6).alias("ioa"))
 
 
-@query("""SELECT file, max(pos) AS pos FROM ann WHERE poly_len = 8 AND 200.5 > x1 AND 200.5 < x1 + w AND 300.5 > y1 AND 300.5 < y1 + h GROUP BY file""", ann=ANN)
+@query("""SELECT file, max(pos) AS pos FROM ann WHERE poly_len > 4 AND 200.5 > x1 AND 200.5 < x1 + w AND 300.5 > y1 AND 300.5 < y1 + h
+  AND (poly_len = 8 OR (200.5 - x1) * h > (300.5 - y1) * w) GROUP BY file""", ann=ANN)
 def g5_topmost_at_point(spark, sf_dir):
-    hit = ann(spark, sf_dir).filter(geometry.has_point("poly", F.lit(200.5), F.lit(300.5)) & (F.col("poly_len") == 8))
+    hit = ann(spark, sf_dir).filter(geometry.has_point("poly", F.lit(200.5), F.lit(300.5)))
     return hit.groupBy("file").agg(F.max("pos").alias("pos"))
 
 
-@query("""SELECT p.file, c.pos, p.x1 <= c.x1 AND p.y1 <= c.y1 AND p.x1 + p.w >= c.x1 + c.w AND p.y1 + p.h >= c.y1 + c.h AS inside,
-  round(sqrt(power(p.x1 + p.w / 2 - c.x1 - c.w / 2, 2) + power(p.y1 + p.h / 2 - c.y1 - c.h / 2, 2)), 6) AS distance
-  FROM ann p JOIN ann c ON p.file = c.file WHERE p.category = 'figure' AND c.category = 'chart' AND p.poly_len = 8 AND c.poly_len = 8""", ann=ANN)
+@query(f"""SELECT p.file, c.pos, p.bx1 <= c.bx1 AND p.by1 <= c.by1 AND p.bx2 >= c.bx2 AND p.by2 >= c.by2 AS inside,
+  round(sqrt(power({_CENTRE.format('p.', 'x')} - {_CENTRE.format('c.', 'x')}, 2) + power({_CENTRE.format('p.', 'y')} - {_CENTRE.format('c.', 'y')}, 2)), 6) AS distance
+  FROM geo p JOIN geo c ON p.file = c.file WHERE p.category = 'figure' AND c.category = 'chart'""", ann=ANN, geo=_GEO)
 def g6_containment(spark, sf_dir):
-    a = ann(spark, sf_dir).filter("poly_len = 8").withColumns({"b": geometry.box("poly"), "m": geometry.centre("poly")})
+    a = ann(spark, sf_dir).withColumns({"b": geometry.box("poly"), "m": geometry.centre("poly")})
     p = a.filter("category = 'figure'").select("file", F.col("b").alias("pb"), F.col("m").alias("pm"))
     both = p.join(a.filter("category = 'chart'"), "file")
     return both.select("file", "pos", geometry.contains_box(F.col("pb"), F.col("b")).alias("inside"), F.round(geometry.distance(F.col("pm"), F.col("m")), 6).alias("distance"))
 
 
-@query("""SELECT file, pos, greatest(0.0, x1 - 50) AS x1, greatest(0.0, y1 - 50) AS y1, least(600.0, x1 + w + 50) AS x2, least(800.0, y1 + h + 50) AS y2 FROM ann WHERE poly_len = 8""", ann=ANN)
+@query("SELECT file, pos, greatest(0.0, bx1 - 50) AS x1, greatest(0.0, by1 - 50) AS y1, least(600.0, bx2 + 50) AS x2, least(800.0, by2 + 50) AS y2 FROM geo", ann=ANN, geo=_GEO)
 def g7_crops(spark, sf_dir):
     cut = geometry.crop(geometry.box("poly"), 50.0, F.lit(600.0), F.lit(800.0))
-    return ann(spark, sf_dir).filter("poly_len = 8").withColumn("c", cut).select("file", "pos", "c.*")
+    return ann(spark, sf_dir).withColumn("c", cut).select("file", "pos", "c.*")
 
 
-@query("""SELECT file, pos, CAST(floor(x1 / 1000.0 * 512) AS INT) AS x1, CAST(floor(y1 / 1400.0 * 512) AS INT) AS y1, CAST(floor((x1 + w) / 1000.0 * 512) AS INT) AS x2,
-  CAST(floor((y1 + h) / 1400.0 * 512) AS INT) AS y2 FROM ann WHERE poly_len = 8""", ann=ANN)
+@query("""SELECT file, pos, CAST(floor(bx1 / 1000.0 * 512) AS INT) AS x1, CAST(floor(by1 / 1400.0 * 512) AS INT) AS y1, CAST(floor(bx2 / 1000.0 * 512) AS INT) AS x2,
+  CAST(floor(by2 / 1400.0 * 512) AS INT) AS y2 FROM geo""", ann=ANN, geo=_GEO)
 def g8_canvas_boxes(spark, sf_dir):
     on = geometry.on_canvas(geometry.box("poly"), F.lit(0.0), F.lit(None).cast("double"))
-    return ann(spark, sf_dir).filter("poly_len = 8").withColumn("c", on).select("file", "pos", "c.*")
+    return ann(spark, sf_dir).withColumn("c", on).select("file", "pos", "c.*")
 
 
 @query()
@@ -289,7 +273,7 @@ def v4_empty_html(spark, sf_dir):
     return validate.empty_html(ann(spark, sf_dir))
 
 
-_FORMULAS = """SELECT file, category, anno_id, f FROM (SELECT *, unnest(list_concat(CASE WHEN latex IS NULL THEN [] ELSE [latex] END, regexp_extract_all(coalesce(text, ''), '\\$(.+?)\\$', 1))) AS f FROM ann)"""
+_FORMULAS = """SELECT file, category, anno_id, f FROM (SELECT *, unnest(list_concat(list_concat(CASE WHEN latex IS NULL THEN [] ELSE [latex] END, regexp_extract_all(coalesce(text, ''), '(?s)\\$\\$(.+?)\\$\\$', 1)), regexp_extract_all(coalesce(text, ''), '\\$(.+?)\\$', 1))) AS f FROM ann)"""
 
 
 @query(
@@ -383,10 +367,36 @@ def v12_missing_figure_dependencies(spark, sf_dir):
     return validate.missing_figure_dependencies(*_figures(spark, sf_dir))
 
 
-@query()
+_DUPLICATES = "SELECT file, 'document' AS category, anno_id, 'duplicate_anno_id' AS rule_id, 'ERROR' AS severity, CAST(count(*) AS VARCHAR) AS detail FROM ann GROUP BY file, anno_id HAVING count(*) > 1"
+_ONE_RULE = (
+    "v1_missing_keys", "v2_invalid_polys", "v3_empty_texts", "v4_empty_html", "v5_formula_findings", "v6_missing_inline_markup",
+    "v8_self_references", "v9_include_mismatches", "v10_dangling_references", "v11_missing_table_references", "v12_missing_figure_dependencies",
+)
+_FINDINGS = " UNION ALL ".join(f"SELECT file, category, anno_id, rule_id, severity, detail FROM ({q})" for q in (_DUPLICATES, *(BODIES[name] for name in _ONE_RULE)))
+
+
+def _findings(spark, sf_dir):
+    return validate.findings(*_figures(spark, sf_dir))
+
+
+@query(_FINDINGS, ann=ANN, rel=REL)
 def v13_all_findings(spark, sf_dir):
-    a, r = whole_ann(spark, sf_dir), rel(spark, sf_dir)
-    return validate.annotation_rules(a, rules.required_keys(spark)).unionByName(validate.page_rules(a, r, surrogates.sub_regions(a)))
+    return _findings(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_FINDINGS}) WHERE severity IN ('ERROR') AND category IN ('title', 'header')", ann=ANN, rel=REL)
+def p4_facets(spark, sf_dir):
+    return validate.facets(_findings(spark, sf_dir), ["ERROR"], ["title", "header"])
+
+
+@query(f"SELECT DISTINCT category FROM ({_FINDINGS})", ann=ANN, rel=REL)
+def p5_facet_values(spark, sf_dir):
+    return validate.facet_values(_findings(spark, sf_dir), "category")
+
+
+@query("""SELECT a.file, a.pos, a.anno_id FROM ann a WHERE category = 'title' AND (a.file, a.anno_id) IN (SELECT (file, anno_id) FROM found UNION ALL SELECT (file, detail) FROM found WHERE rule_id IN ('table_html_missing_spatial_ref', 'missing_figure_dependency'))""", ann=ANN, rel=REL, found=_FINDINGS)
+def p6_flagged_annotations(spark, sf_dir):
+    return validate.flagged_annotations(ann(spark, sf_dir), _findings(spark, sf_dir), "title").select("file", "pos", "anno_id")
 
 
 @query(f"SELECT file, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT detail, ',' ORDER BY detail) AS children FROM ({_FIGURE}) GROUP BY file", ann=ANN, rel=REL)
@@ -394,9 +404,9 @@ def v14_figure_check(spark, sf_dir):
     return validate.figure_check(*_figures(spark, sf_dir)).withColumn("children", F.array_join("children", ","))
 
 
-@query(f"SELECT * FROM ({_SMALL_UNION}) WHERE file = 'PP_0.json' AND (anno_id = '1' OR detail = '1')", ann=ANN)
+@query(f"SELECT * FROM ({_FINDINGS}) WHERE file = 'PP_0.json' AND (anno_id = '1' OR detail = '1')", ann=ANN, rel=REL)
 def v15_findings_of_block(spark, sf_dir):
-    return validate.findings_of(_small_union(spark, sf_dir), "PP_0.json", "1")
+    return validate.findings_of(_findings(spark, sf_dir), "PP_0.json", "1")
 
 
 @query(f"SELECT file, CAST(count(*) AS BIGINT) AS n FROM ({_EMPTY_TEXT}) GROUP BY file", ann=ANN)
@@ -404,7 +414,7 @@ def v16_empty_text_files(spark, sf_dir):
     return validate.empty_texts(ann(spark, sf_dir)).groupBy("file").agg(count())
 
 
-@query(r"SELECT file, pos, array_to_string(regexp_extract_all(text, '\$(.+?)\$', 1), '|') AS formulas FROM ann WHERE contains(text, '$')", ann=ANN)
+@query(r"SELECT file, pos, array_to_string(list_concat(regexp_extract_all(text, '(?s)\$\$(.+?)\$\$', 1), regexp_extract_all(text, '\$(.+?)\$', 1)), '|') AS formulas FROM ann WHERE contains(text, '$')", ann=ANN)
 def l1_formulas(spark, sf_dir):
     return ann(spark, sf_dir).filter("contains(text, '$')").select("file", "pos", F.array_join(latex.formulas("text"), "|").alias("formulas"))
 
@@ -435,11 +445,11 @@ def o1_text_outliers(spark, sf_dir):
     return outliers.text_lengths(docs, rules.text_length_rules(spark, _LENGTHS)).select("doc_id", "doc_type", "category", "length", "issue")
 
 
-@query("""SELECT file, pos, category, round(w * h / 1400000.0 * 100, 6) AS area_percent FROM ann a
+@query("""SELECT file, pos, category, round(w * eh / 1400000.0 * 100, 6) AS area_percent FROM geo a
   JOIN (VALUES ('title',0.01,0.2,2.0,15.0),('text_block',0.01,0.6,0.3,5.0),('figure',0.05,0.7,0.3,3.0),('table',0.05,0.8,0.3,5.0),('chart',0.05,0.7,0.5,3.0)) r(c, lo, hi, alo, ahi) ON r.c = a.category
-  WHERE poly_len = 8 AND (w * h / 1400000.0 < lo OR w * h / 1400000.0 > hi OR CASE WHEN h > 0 THEN w / h ELSE 0 END < alo OR CASE WHEN h > 0 THEN w / h ELSE 0 END > ahi)""", ann=ANN)
+  WHERE w * eh / 1400000.0 < lo OR w * eh / 1400000.0 > hi OR CASE WHEN eh > 0 THEN w / eh ELSE 0 END < alo OR CASE WHEN eh > 0 THEN w / eh ELSE 0 END > ahi""", ann=ANN, geo=_GEO)
 def o2_box_outliers(spark, sf_dir):
-    pages = ann(spark, sf_dir).filter("poly_len = 8").withColumns(
+    pages = ann(spark, sf_dir).withColumns(
         {"doc_type": text.type_by_first_token("file", [*rules.DOC_TYPES]), "page_width": F.lit(1000.0), "page_height": F.lit(1400.0)}
     )
     found = outliers.box_sizes(pages, rules.bbox_size_rules(spark))
@@ -523,10 +533,13 @@ def a8_share_by_group(spark, sf_dir):
     return profile.share_by_group(table(spark, sf_dir, "conversations"), "role", "conv_id", F.contains("text", F.lit("thro"))).select("role", "n", "percent")
 
 
-@query("SELECT lang AS layout, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lang <> '' GROUP BY lang")
+@query("""SELECT layout, CAST(max(c) AS BIGINT) AS n, string_agg(concat(file, ': ', CASE WHEN length(html) > 500 THEN concat(substr(html, 1, 500), '...') ELSE html END), chr(10) ORDER BY file) AS examples FROM (
+  SELECT lang AS layout, CAST(doc_id AS VARCHAR) AS file, text AS html, count(*) OVER (PARTITION BY lang) AS c, row_number() OVER (PARTITION BY lang ORDER BY CAST(doc_id AS VARCHAR)) AS r
+  FROM documents WHERE lang <> '') WHERE r <= 3 GROUP BY layout""")
 def a9_table_layouts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("lang").alias("layout"), F.col("text").alias("html"))
-    return profile.table_layouts(docs).select("layout", "n")
+    shown = F.transform("examples", lambda e: F.concat(e["file"], F.lit(": "), e["html"]))
+    return profile.table_layouts(docs).select("layout", "n", F.array_join(shown, "\n").alias("examples"))
 
 
 @query("SELECT category, CAST(count(*) AS BIGINT) AS n FROM ann WHERE order_no IS NULL GROUP BY category", ann=ANN)
@@ -534,17 +547,12 @@ def a10_null_orders(spark, sf_dir):
     return profile.null_orders(ann(spark, sf_dir))
 
 
-@query(f"""SELECT 'severity' AS kind, severity AS value, CAST(count(*) AS BIGINT) AS n FROM ({_SMALL_UNION}) GROUP BY severity
-  UNION ALL SELECT 'category', category, count(*) FROM ({_SMALL_UNION}) WHERE severity = 'ERROR' GROUP BY category
-  UNION ALL SELECT 'rule', rule_id, count(*) FROM ({_SMALL_UNION}) WHERE severity = 'ERROR' GROUP BY rule_id
-  UNION ALL (SELECT 'files', file, count(*) AS n FROM ({_SMALL_UNION}) GROUP BY file ORDER BY n DESC, file LIMIT 10)""", ann=ANN)
+@query("""SELECT 'severity' AS kind, severity AS value, CAST(count(*) AS BIGINT) AS n FROM found GROUP BY severity
+  UNION ALL SELECT 'category', category, count(*) FROM found WHERE severity = 'ERROR' GROUP BY category
+  UNION ALL SELECT 'rule', rule_id, count(*) FROM found WHERE severity = 'ERROR' GROUP BY rule_id
+  UNION ALL (SELECT 'files', file, count(*) AS n FROM found GROUP BY file ORDER BY n DESC, file LIMIT 10)""", ann=ANN, rel=REL, found=_FINDINGS)
 def a11_validation_summary(spark, sf_dir):
-    parts = validate.summary(_small_union(spark, sf_dir))
-    out = None
-    for kind, df in parts.items():
-        one = df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("value"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return validate.summary(_findings(spark, sf_dir))
 
 
 @query("SELECT ch, n, ascii_ok FROM (SELECT ch, CAST(count(*) AS BIGINT) AS n, ch NOT BETWEEN ' ' AND '~' AND ch NOT IN ('·','’','“','”','‘','•','…','–','—','°','±','×','÷') AS ascii_ok FROM (SELECT unnest(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch)".replace("ascii_ok", "missing"))
@@ -580,16 +588,15 @@ def a23_html_references(spark, sf_dir):
 # Text
 
 
-def _text_pairs(spark, sf_dir, n: int):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, n).alias("a"))
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return docs.join(other, "doc_id")
+def _text_pairs(spark, sf_dir, a: str = "a", b: str = "b"):
+    """Each document's text with that of the next."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(a))
+    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col(a).alias(b)), "doc_id")
 
 
 @query()
 def t1_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("gt_text"))
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("gt_text").alias("ocr_text")), "doc_id")
+    pairs = _text_pairs(spark, sf_dir, "gt_text", "ocr_text")
     return evaluate.compare(pairs).select("doc_id", F.round("similarity", 6).alias("similarity"), "band")
 
 
@@ -599,22 +606,27 @@ def t3_bands(spark, sf_dir):
     return scored.groupBy("lang", "band").agg(count())
 
 
-@query("""SELECT doc_id, round(CASE WHEN replace(a, ' ', '') = '' THEN CASE WHEN replace(b, ' ', '') = '' THEN 0.0 ELSE 1.0 END ELSE levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) / length(replace(a, ' ', '')) END, 6) AS cer
-  FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE substr(regexp_replace(d.text, '[^ -~]', '', 'g'), 1, 100) END AS a, substr(regexp_replace(e.text, '[^ -~]', '', 'g'), 1, 100) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)""")
+@query()
+def t2_similarity_as_given(spark, sf_dir):
+    pairs = _text_pairs(spark, sf_dir).withColumn("b", F.concat(F.col("b"), F.lit(" \n")))
+    return pairs.select("doc_id", F.round(text.ratio_as_given("a", "b"), 6).alias("similarity"))
+
+
+@query()
 def t4_character_errors(spark, sf_dir):
-    pairs = _text_pairs(spark, sf_dir, 100).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("a")).alias("a"), "b")
+    pairs = _text_pairs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("a")).alias("a"), "b")
     return pairs.select("doc_id", F.round(text.character_error_rate("a", "b"), 6).alias("cer"))
 
 
-@query("SELECT round(avg(CASE WHEN replace(a, ' ', '') = '' THEN 1.0 ELSE levenshtein(replace(a, ' ', ''), replace(b, ' ', '')) / length(replace(a, ' ', '')) END), 6) AS mean_cer, round(avg(CAST(a = b AS INT)), 6) AS exact_match, CAST(count(*) AS BIGINT) AS n FROM (SELECT substr(regexp_replace(d.text, '[^ -~]', '', 'g'), 1, 100) AS a, substr(regexp_replace(e.text, '[^ -~]', '', 'g'), 1, 100) AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)")
+@query()
 def a21_accuracy(spark, sf_dir):
-    found = evaluate.accuracy(_text_pairs(spark, sf_dir, 100), "a", "b")
+    found = evaluate.accuracy(_text_pairs(spark, sf_dir), "a", "b")
     return found.select(F.round("mean_cer", 6).alias("mean_cer"), F.round("exact_match", 6).alias("exact_match"), "n")
 
 
 @query()
 def t8_rewrite_changes(spark, sf_dir):
-    return rewrite.changes(whole_ann(spark, sf_dir), ["file", "pos"], ["text", "html"])
+    return rewrite.changes(ann(spark, sf_dir), ["file", "pos"], ["text", "html"])
 
 
 @query("""SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '$abc$' WHEN 1 THEN '$A$의' WHEN 2 THEN '점 $...$' ELSE '' END AS found FROM documents""")
@@ -629,10 +641,13 @@ def t10_badge_preview(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.badge_preview(html).alias("shown"))
 
 
-@query("SELECT doc_id, trim(replace(concat(' $$', substr(text, 1, 20), '$$ '), '$$', '')) AS shown FROM documents WHERE NOT regexp_matches(substr(text, 1, 20), '^\\s|\\s$')")
+#: White space of any script, at both ends.
+_OUTER = r"^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(replace(concat(' $$', text, '$$ '), '$$', ''), '{_OUTER}', ''), '{_OUTER[1:]}$', '') AS shown FROM documents")
 def t11_without_dollars(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.substring("text", 1, 20).rlike(r"^\s|\s$"))
-    return docs.select("doc_id", text.without_dollars(F.concat(F.lit(" $$"), F.substring("text", 1, 20), F.lit("$$ "))).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.without_dollars(F.concat(F.lit(" $$"), "text", F.lit("$$ "))).alias("shown"))
 
 
 @query("SELECT doc_id, regexp_replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '^\\s+|\\s+$', '', 'g') AS line FROM documents")
@@ -646,10 +661,10 @@ def t13_joined_tokens(spark, sf_dir):
     return rows.select("conv_id", F.array_join("r.text", " ").alias("joined"))
 
 
-@query("SELECT DISTINCT substr(text, 1, 1) AS ch, concat('U+', upper(lpad(to_hex(unicode(substr(text, 1, 1))), 4, '0'))) AS label FROM documents")
+@query("SELECT ch, concat('U+', upper(lpad(to_hex(unicode(ch)), 4, '0'))) AS label FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''")
 def t14_code_labels(spark, sf_dir):
-    firsts = table(spark, sf_dir, "documents").select(F.substring("text", 1, 1).alias("ch")).distinct()
-    return firsts.select("ch", text.code_label("ch").alias("label"))
+    chars = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").distinct()
+    return chars.select("ch", text.code_label("ch").alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(substr(replace(text, chr(10), ' '), 1, 100), '...') ELSE replace(text, chr(10), ' ') END AS shown FROM documents")
@@ -668,19 +683,25 @@ _CLUSTERS = f"""edges AS ({_EDGES}), both_ways AS (SELECT a, b FROM edges UNION
             FROM (SELECT CAST(id AS BIGINT) AS id, CAST(min(far) AS BIGINT) AS cluster_id FROM reach GROUP BY id))"""
 
 
-def _query_vector(spark, sf_dir) -> list[float]:
-    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0")
+
+
+def _best(k: int, of: str = "true") -> str:
+    """The k best vectors of every fiftieth one."""
+    return f"""SELECT query, vec_id, round(score, 6) AS score FROM (SELECT b.vec_id AS query, a.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS r
+      FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b WHERE {of}) WHERE r <= {k}"""
 
 
-@query(f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) b ORDER BY {_COS} DESC, a.vec_id LIMIT 5")
+@query(_best(5))
 def d5_top_k(spark, sf_dir):
-    return vectors.top_k(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.top_k_each(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) b WHERE a.label = 3 ORDER BY {_COS} DESC, a.vec_id LIMIT 10")
+@query(_best(10, "a.label = 3"))
 def d7_top_k_of_label(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return vectors.search({1: v, 3: v}, 3, _query_vector(spark, sf_dir), label=3).select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.search({1: v, 3: v}, 3, _asked(spark, sf_dir), label=3).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT a, b FROM ({_EDGES})")

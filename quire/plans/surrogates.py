@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 _FILE = "concat(substr('PPPRIRSKXX', CAST(1 + 2 * (CAST(floor(doc_id / 10.0) AS BIGINT) % 5) AS INT), 2), '_', CAST(CAST(floor(doc_id / 10.0) AS BIGINT) AS STRING), '.json')"
 
-_PART = "substr(replace(text, '$', ''), 1, CAST(3 + (doc_id * 31) % 600 AS INT))"
-
 ANNOTATIONS = f"""
 SELECT doc_id, {_FILE} AS file, CAST(doc_id % 10 AS INT) AS pos,
        CAST(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE doc_id % 10 END AS STRING) AS anno_id,
        CASE CAST(doc_id % 10 AS INT) WHEN 0 THEN 'title' WHEN 1 THEN 'text_block' WHEN 2 THEN 'table' WHEN 3 THEN 'figure' WHEN 4 THEN 'chart'
             WHEN 5 THEN 'text_block' WHEN 6 THEN 'header' WHEN 7 THEN 'table_caption' WHEN 8 THEN 'table' ELSE 'list_item' END AS category,
        CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN NULL
-            ELSE concat({_PART},
+            ELSE concat(text,
                  CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN ' x^2' WHEN 1 THEN ' 3 x 4' WHEN 2 THEN concat(' $a + ', chr(123), 'b$')
                       WHEN 3 THEN concat(' ', chr(92), 'alpha') WHEN 4 THEN ' $x]$ and $y$' WHEN 5 THEN ' a/b'
                       WHEN 6 THEN concat(' $ $ and $', chr(92), 'foo ', chr(92), 'frac$') ELSE '' END) END AS text,
@@ -38,9 +36,6 @@ SELECT doc_id, {_FILE} AS file, CAST(doc_id % 10 AS INT) AS pos,
 FROM {{documents}}
 """
 
-#: ANNOTATIONS with whole texts and their own formulas, for queries without SQL.
-WHOLE_ANNOTATIONS = ANNOTATIONS.replace(_PART, "text")
-
 RELATIONS = f"""
 SELECT {_FILE} AS file, CAST(doc_id % 10 AS INT) AS rel_pos, CAST(doc_id % 10 AS STRING) AS src,
        CAST(CASE WHEN doc_id % 30 = 2 THEN doc_id % 10 ELSE (doc_id + 1 + doc_id % 3) % 10 END AS STRING) AS tgt,
@@ -54,12 +49,9 @@ def sql_of(text: str) -> str:
     return text.replace("{documents}", "documents")
 
 
-def annotations(spark: SparkSession, documents: DataFrame, whole: bool = False) -> DataFrame:
-    """The canonical annotation columns; polygons are upright rectangles cut or grown to ``poly_len`` numbers.
-
-    A text is the part of its document that ANNOTATIONS takes, or all of it if *whole*.
-    """
-    base = spark.sql(WHOLE_ANNOTATIONS if whole else ANNOTATIONS, documents=documents)
+def annotations(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """The canonical annotation columns; polygons are upright rectangles cut to ``poly_len`` numbers."""
+    base = spark.sql(ANNOTATIONS, documents=documents)
     x2, y2 = F.col("x1") + F.col("w"), F.col("y1") + F.col("h")
     eight = F.array("x1", "y1", x2, "y1", x2, y2, "x1", y2)
     keys = F.array_compact(F.array(F.lit("anno_id"), F.lit("category_type"), F.lit("poly"), F.lit("ignore"), F.when(F.col("html").isNotNull(), F.lit("html")), F.when(F.col("latex").isNotNull(), F.lit("latex"))))
@@ -86,16 +78,14 @@ def sub_regions(ann: DataFrame) -> DataFrame:
 #: A block as JSON text with optional keys of several types; {documents} as above.
 BLOCKS_JSON = """
 SELECT doc_id, concat('f', CAST(doc_id % 50 AS STRING)) AS file, lang AS category,
-       concat('{"category_type":"', lang, '","anno_id":', CAST(doc_id AS STRING),
-              CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN ',"attribute":{"line":"a","n":1}' WHEN 1 THEN ',"attribute":{"line":"","n":"x"},"tags":["p","q"]'
-                   ELSE ',"attribute":null,"tags":[]' END, '}') AS j
-FROM documents
+       concat('{{"category_type":"', lang, '","anno_id":', CAST(doc_id AS STRING),
+              CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN ',"attribute":{{"line":"a","n":1}}' WHEN 1 THEN ',"attribute":{{"line":"","n":"x"}},"tags":["p","q"]'
+                   ELSE ',"attribute":null,"tags":[]' END, '}}') AS j
+FROM {documents}
 """
 
 
 def blocks_json(documents: DataFrame) -> DataFrame:
     """doc_id, file, category, ann (VARIANT) of BLOCKS_JSON."""
-    view = "__quire_documents"
-    documents.createOrReplaceTempView(view)
-    base = documents.sparkSession.sql(BLOCKS_JSON.replace("FROM documents", f"FROM {view}"))
+    base = documents.sparkSession.sql(BLOCKS_JSON, documents=documents)
     return base.select("doc_id", "file", "category", F.parse_json("j").alias("ann"))

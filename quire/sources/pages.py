@@ -24,19 +24,19 @@ def read_pages(spark: SparkSession, *paths: str, recursive: bool = True) -> Data
 
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """path, file, stem of image files, for batches without JSON."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(list(paths))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}").load(list(paths))
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("file"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length")
 
 
 def split_arrays(pages: DataFrame) -> DataFrame:
     """One row for each document of files that hold one document or an array of them, with its place."""
-    pages.createOrReplaceTempView("__quire_pages")
     return pages.sparkSession.sql(
         """SELECT p.path, p.file, CASE WHEN schema_of_variant(p.page) LIKE 'ARRAY%' THEN e.pos ELSE 0 END AS doc_pos,
                   CASE WHEN schema_of_variant(p.page) LIKE 'ARRAY%' THEN e.value ELSE p.page END AS page
-           FROM __quire_pages p, LATERAL variant_explode_outer(
-                  CASE WHEN schema_of_variant(p.page) LIKE 'ARRAY%' THEN p.page END) e"""
+           FROM {pages} p, LATERAL variant_explode_outer(
+                  CASE WHEN schema_of_variant(p.page) LIKE 'ARRAY%' THEN p.page END) e""",
+        pages=pages,
     )
 
 
