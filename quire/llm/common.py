@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.staging import scratch, shared_dir, staged
 
-__all__ = ["append_columns", "field", "of_worker", "scratch", "shared_dir", "short_batches", "staged", "table"]
+__all__ = ["append_columns", "field", "keeping_columns", "of_worker", "scratch", "shared_dir", "short_batches", "staged", "table"]
 
 #: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
 ARROW_ROWS = "512"
@@ -58,6 +58,19 @@ def append_columns(
     return wide.mapInArrow(run, schema)
 
 
+def keeping_columns(docs: DataFrame, made: Iterable[str], operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operate(docs)`` with the columns of *docs* alone; those named as what it makes (*made*) keep their values."""
+    taken, names = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in {m.lower() for m in made}:
+            names[c] = f"own_{c}"
+            while names[c].lower() in taken:
+                names[c] += "_"
+            taken.add(names[c].lower())
+    found = operate(docs.withColumnsRenamed(names))
+    return found.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 _held: dict = {}
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import append_columns, field, of_worker
+from quire.llm.common import append_columns, field, keeping_columns, of_worker
 
 WINDOW = 10
 #: Items' bytes in one automaton, which is broadcast; larger benchmarks are
@@ -140,6 +140,32 @@ def digest(found: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with the columns of *docs*."""
-    new = {f.name for f in _FIELDS}
-    plain = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    return find_contamination(plain, benchmark, window).filter(F.size("hit_words") == 0).select(*plain.columns)
+    return keeping_columns(docs, [f.name for f in _FIELDS], lambda rows: find_contamination(rows, benchmark, window).filter(F.size("hit_words") == 0))
+
+
+#: The query on ``documents`` and ``benchmark``, for DuckDB.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS phrase
+  FROM b, generate_series(1, greatest(1, len(ws) - 9)) AS s(i) WHERE len(ws) > 0
+), p AS (
+  SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+  FROM d, (SELECT DISTINCT n FROM w) AS sizes, generate_series(1, len(ws) - n + 1) AS s(i)
+), f AS (
+  SELECT rid, i, p.n, item FROM p JOIN w ON w.n = p.n AND w.phrase = p.phrase
+), h AS (
+  SELECT rid, count(DISTINCT k) AS n_hit FROM f, generate_series(i, i + n - 1) AS s(k) GROUP BY rid
+), t AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM f) GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import append_columns, field, of_worker, short_batches
+from quire.llm.common import append_columns, field, keeping_columns, of_worker, short_batches
 
 MODEL = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -269,7 +269,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents of a determined language whose score is *least* or more, with their columns."""
-    plain = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")])
-    found = identify(plain, model)
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*plain.columns)
+    """The documents of a determined language whose score is *least* or more, with their columns; lang, if it is one, becomes that found."""
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        found = identify(rows, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least))
+        return found.withColumn("lang", F.col("lang_pred"))
+
+    return keeping_columns(docs, ("lang_pred", "lang_score"), chosen)

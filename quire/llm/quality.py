@@ -188,3 +188,53 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     posterior = _posterior([F.col(v) for v in votes], F.lit(prior), [F.lit(x) for x in good], [F.lit(x) for x in bad])
     judged = voted.withColumn("base_failed", base_failed()).withColumn("posterior", posterior)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+#: The query on ``documents``, for DuckDB.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT rid, i, array_to_string(ws[i:i + 2], ' ') AS phrase FROM d, generate_series(1, len(ws) - 2) AS s(i)
+), rep AS (
+  SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, phrase) AS c FROM win) AS x, generate_series(i, i + 2) AS s(k) WHERE c > 1 GROUP BY rid
+), f AS (
+  SELECT doc_id, d.rid, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda w: regexp_matches(w, '\p{L}'))) AS n_letter_words, len(list_filter(ws, lambda w: regexp_matches(w, '[#*$%&|<>]$'))) AS n_symbol_ends
+  FROM d LEFT JOIN rep ON rep.rid = d.rid
+), g AS (
+  SELECT *, CAST(greatest(n_words, 1) AS DOUBLE) AS n, CAST(greatest(n_lines, 1) AS DOUBLE) AS l FROM f
+), v AS (
+  SELECT *, [
+    CASE WHEN n_words < 50 THEN -1 WHEN n >= 80 THEN 1 ELSE 0 END,
+    CASE WHEN word_chars / n < 3 OR word_chars / n > 10 THEN -1 WHEN word_chars / n >= 3.5 AND word_chars / n <= 7 THEN 1 ELSE 0 END,
+    CASE WHEN n_symbols / n > 0.1 THEN -1 WHEN n_symbols / n <= 0.02 THEN 1 ELSE 0 END,
+    CASE WHEN n_symbol_ends / n > 0.1 THEN -1 WHEN n_symbol_ends / n <= 0.01 THEN 1 ELSE 0 END,
+    CASE WHEN n_letter_words / n < 0.8 THEN -1 WHEN n_letter_words / n >= 0.95 THEN 1 ELSE 0 END,
+    CASE WHEN n_repeat_words / n > 0.5 THEN -1 WHEN n_repeat_words / n <= 0.2 THEN 1 ELSE 0 END,
+    CASE WHEN n_dup_lines / l > 0.3 THEN -1 WHEN n_dup_lines / l <= 0.1 THEN 1 ELSE 0 END,
+    CASE WHEN n / l < 3 THEN -1 WHEN n / l >= 8 THEN 1 ELSE 0 END] AS votes FROM g
+), ps AS (
+  SELECT list({'v': votes, 'n': c}) AS ps FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS c FROM v GROUP BY votes)
+), em(k, prior, good, bad) AS (
+  SELECT 0, CAST(0.9 AS DOUBLE), list_transform(range(1, 9), lambda j: CAST(0.9 AS DOUBLE)), list_transform(range(1, 9), lambda j: CAST(0.6 AS DOUBLE))
+  UNION ALL
+  SELECT k + 1, prior2, good2, list_transform(range(1, 9), lambda j: greatest(bad2[j], 1.01 - good2[j])) FROM (
+    SELECT k, least(0.99, greatest(0.05, (list_sum(list_transform(qs, lambda p: p.n * p.g)) + 2 * 0.9) / (list_sum(list_transform(qs, lambda p: p.n)) + 2))) AS prior2,
+           list_transform(range(1, 9), lambda j: least(0.9999, greatest(0.55, (list_sum(list_transform(qs, lambda p: CASE WHEN p.v[j] = 1 THEN p.n * p.g ELSE 0.0 END)) + 2 * 0.9)
+             / (list_sum(list_transform(qs, lambda p: CASE WHEN p.v[j] <> 0 THEN p.n * p.g ELSE 0.0 END)) + 2)))) AS good2,
+           list_transform(range(1, 9), lambda j: least(0.98, greatest(0.02, (list_sum(list_transform(qs, lambda p: CASE WHEN p.v[j] = -1 THEN p.n * (1 - p.g) ELSE 0.0 END)) + 2 * 0.6)
+             / (list_sum(list_transform(qs, lambda p: CASE WHEN p.v[j] <> 0 THEN p.n * (1 - p.g) ELSE 0.0 END)) + 2)))) AS bad2
+    FROM (SELECT k, list_transform(ps, lambda p: {'v': p.v, 'n': p.n, 'g': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j: 
+            CASE p.v[j] WHEN 1 THEN ln(good[j] / (1 - bad[j])) WHEN -1 THEN ln((1 - good[j]) / bad[j]) ELSE 0.0 END)))))}) AS qs FROM em, ps WHERE k < 25) AS scored) AS next
+), m AS (
+  SELECT * FROM em WHERE k = 25
+), j AS (
+  SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda i: 
+    CASE votes[i] WHEN 1 THEN ln(good[i] / (1 - bad[i])) WHEN -1 THEN ln((1 - good[i]) / bad[i]) ELSE 0.0 END))))) AS posterior FROM v, m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 6) AS posterior FROM j
+"""

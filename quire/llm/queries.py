@@ -55,7 +55,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_chat_format": chat.ORACLE_SQL,
+        "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_quality_rules": quality.ORACLE_SQL,
+        "op10_decontaminate": decontaminate.ORACLE_SQL,
+    }

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from quire.llm import decontaminate, queries
+from tests.oracle import both
 
 EDGE = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -48,10 +49,16 @@ def test_defined_results_and_blocks(spark, nasty, nothing):
     assert ours(decontaminate.find_contamination(nasty, bench, block_bytes=40)) == brute(rows, items)
     assert ours(decontaminate.find_contamination(nasty, bench.limit(0))) == brute(rows, [])
     assert ours(decontaminate.find_contamination(nothing, bench)) == []
-    clean = decontaminate.decontaminated(nasty.drop("n_words", "hit_words", "item_ids", "spans"), bench)
+    clean = decontaminate.decontaminated(nasty, bench)
+    assert clean.columns == nasty.columns and {r["spans"] for r in clean.collect()} == {"clash"}
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(r[0]) for r in brute(rows, items) if not r[-1])
 
 
+def test_sql(spark, sf_dir):
+    a, b = both(spark, sf_dir, queries.op10_decontaminate, decontaminate.ORACLE_SQL)
+    assert a == b and any("True" in r for r in a)
+
+
 def test_spans_are_places_in_the_text(spark):
     docs = spark.createDataFrame([(1, "Say: The--Quick, brown FOX! again")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")

@@ -154,7 +154,8 @@ def test_defined_results(spark, nasty, nothing):
     assert langid.identify(nothing, model).count() == 0
     empty = langid.learn(nothing)
     assert {r["lang_pred"] for r in langid.identify(nasty, empty).collect()} == {"und"}
-    assert set(langid.accepted(nasty, model).columns) == set(nasty.columns) - {"lang_pred", "lang_score"}
+    chosen = langid.accepted(nasty, model)
+    assert chosen.columns == nasty.columns and {r["lang_pred"] for r in chosen.collect()} == {"clash"}
 
 
 def test_long_words_do_not_underflow(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import quality, queries
+from tests.oracle import both
 
 
 def base(text):
@@ -30,6 +31,12 @@ def test_figures(spark, sf_dir, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_sql(spark, sf_dir):
+    """All columns, also those of the estimated accuracies: posterior and kept."""
+    a, b = both(spark, sf_dir, queries.op8_quality_rules, quality.ORACLE_SQL)
+    assert a == b and len({r[2] for r in a}) == 2
+
+
 def test_defined_results(nasty, nothing):
     rows = quality.judge(nasty).collect()
     texts = sorted((base(r["text"]) for r in nasty.collect()))
