@@ -495,20 +495,26 @@ def _all_pairs(sets: DataFrame, least: float) -> DataFrame:
 def _labels(docs: DataFrame, texts: DataFrame, hashes: np.ndarray, idf: np.ndarray, least: float) -> DataFrame:
     """(node, label) of the linked *texts*: the components of all similar pairs that share a bucket.
 
-    First each text of a bucket is compared with the least one of it, which
-    links most of a group of copies.  Texts of one bucket that are still apart
+    First each text of a bucket is compared with its most central one, that
+    whose buckets hold most texts: the text that others are copies of shares
+    buckets with more of them than they do, so this links most of a group.
+    Texts of one bucket that are still apart
     are then compared pair by pair in a small bucket, and those of large ones
     joined by prefixes, which leaves out no similar pair.
     """
     members = texts.select("rep", "weight", F.explode("bands").alias("bucket"))
     total = texts.count() * BANDS
-    heads = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "weight")).alias("p")).filter("n > 1")
-    heads = staged(heads.select("bucket", "n", F.col("p.rep").alias("pivot"), F.col("p.weight").alias("w2")), "heads")
-    buckets = staged(_joined(members, heads, ["bucket"], total), "buckets")
+    sizes = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    buckets = staged(_joined(members, sizes, ["bucket"], total), "buckets")
+    central = buckets.groupBy("rep").agg(F.sum("n").alias("met"))
+    chosen = F.max(F.struct("met", (-F.col("rep")).alias("r"), "weight")).alias("p")
+    heads = buckets.join(central, "rep").groupBy("bucket").agg(F.first("n").alias("n"), chosen)
+    heads = staged(heads.select("bucket", "n", (-F.col("p.r")).alias("pivot"), F.col("p.weight").alias("w2")), "heads")
     fits = lambda a, b: F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
     both = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
 
-    pairs = staged(buckets.filter((F.col("rep") != F.col("pivot")) & fits("weight", "w2")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    met = _joined(buckets.drop("n"), heads, ["bucket"], total).filter((F.col("rep") != F.col("pivot")) & fits("weight", "w2"))
+    pairs = staged(met.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     sets = staged(_sets(docs, both(pairs), hashes, idf), "sets")
     found = staged(components(verify(pairs, sets, least).select("a", "b")), "labels")
 
@@ -523,7 +529,8 @@ def _labels(docs: DataFrame, texts: DataFrame, hashes: np.ndarray, idf: np.ndarr
 
     lacking = both(near).union(left.select("rep")).distinct().join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     sets = sets.union(staged(_sets(docs, staged(lacking, "lacking"), hashes, idf), "sets"))
-    more = near.union(_all_pairs(sets.join(left, "rep"), least)).distinct().join(pairs, ["a", "b"], "left_anti")
+    done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = near.union(_all_pairs(sets.join(left, "rep"), least)).distinct().join(done, ["a", "b"], "left_anti")
     links = verify(staged(more, "pairs"), sets, least).select("a", "b")
     return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
 
