@@ -92,9 +92,10 @@ INLINE_PATTERNS = (
 
 # Macros that formulas may use.
 KNOWN_MACROS = (
-    "frac sqrt sum int lim sin cos tan log ln exp alpha beta gamma delta epsilon theta phi psi omega "
-    "mathrm mathbf mathit text left right begin end label ref cdot times leq geq le ge neq pm mp"
-).split()
+    "frac", "sqrt", "sum", "int", "lim", "sin", "cos", "tan", "log", "ln", "exp", "alpha", "beta", "gamma", "delta", "epsilon", "theta", "phi",
+    "psi", "omega", "mathrm", "mathbf", "mathit", "text", "left", "right", "begin", "end", "label", "ref", "cdot", "times", "leq", "geq", "le",
+    "ge", "neq", "pm", "mp",
+)
 
 # Flags of tables by the category of the child that each promises.
 INCLUDE_FLAGS = {"include_photo": "figure", "include_chart": "chart", "include_table": "table"}
