@@ -133,6 +133,43 @@ def layout_grid(boxes: DataFrame, cells: int = 16) -> DataFrame:
     )
 
 
+# Greys and colours of categories on the canvas, and that of all others.
+CANVAS_COLORS = {
+    "text": (220, 220, 220),
+    "title": (100, 100, 100),
+    "table": (173, 216, 230),
+    "figure": (144, 238, 144),
+    "image": (144, 238, 144),
+    "list": (200, 200, 200),
+}
+CANVAS_OTHER = (200, 200, 200)
+
+
+def layout_canvas(ann: DataFrame, width: Column, height: Column) -> DataFrame:
+    """file, pixels: a page's boxes as filled rectangles on a white canvas, later ones over earlier ones.
+
+    Blocks (file, pos, category, poly, ignored) that are ignored or have under
+    four numbers are left out.  pixels: CANVAS rows of CANVAS red, green and
+    blue bytes.  A page's boxes, not texts, meet in one row.
+    """
+    x, y = xs("poly"), ys("poly")
+    corners = F.struct(F.array_min(x).alias("x1"), F.array_min(y).alias("y1"), F.array_max(x).alias("x2"), F.array_max(y).alias("y2"))
+    kept = ann.filter(F.size("poly") >= 4).filter(~F.col("ignored"))
+    placed = kept.select("file", F.struct("pos", F.lower("category").alias("category"), on_canvas(corners, width, height).alias("box")).alias("b"))
+    return placed.groupBy("file").agg(F.array_sort(F.collect_list("b")).alias("b")).select("file", _filled("b.category", "b.box").alias("pixels"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _filled(categories: pd.Series, boxes: pd.Series) -> pd.Series:
+    def one(names, corners) -> bytes:
+        canvas = np.full((CANVAS, CANVAS, 3), 255, np.uint8)
+        for name, b in zip(names, corners, strict=True):
+            canvas[max(0, b["y1"]) : max(0, b["y2"] + 1), max(0, b["x1"]) : max(0, b["x2"] + 1)] = CANVAS_COLORS.get(name, CANVAS_OTHER)
+        return canvas.tobytes()
+
+    return pd.Series([one(*x) for x in zip(categories, boxes, strict=True)], dtype=object)
+
+
 #: An arrow head's length and the angle of its sides.
 ARROW_LENGTH, ARROW_ANGLE = 20.0, 0.85
 

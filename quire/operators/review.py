@@ -77,3 +77,41 @@ def with_relations(rel: DataFrame, added: DataFrame) -> DataFrame:
     keys = ["file", "src", "tgt", "relation_type"]
     new = added.select(*keys).distinct().join(rel.select(*keys), keys, "left_anti")
     return rel.unionByName(new, allowMissingColumns=True)
+
+
+#: What may be wrong with a formula that a reviewer has looked at.
+FORMULA_ISSUES = (
+    "수식 렌더링 오류 (깨진 기호)",
+    "구분자 불일치 ($ 짝이 맞지 않음)",
+    "중괄호/괄호 불일치",
+    "LaTeX 명령어 오타",
+    "수식 의미 불명확",
+    "레이아웃/위치 이상",
+    "기타",
+)
+
+
+def result_of(results: DataFrame, file: str) -> DataFrame:
+    """One row: a file's result, or the default entry."""
+    asked = results.sparkSession.range(1).select(F.lit(file).alias("file"))
+    return with_results(asked, results.filter(F.col("file") == file))
+
+
+def formula_reviews(ann: DataFrame, log: DataFrame) -> DataFrame:
+    """Each block's last review of its formulas by eye: file, anno_id, verified, issues, notes, reviewer, ts.
+
+    log: those columns, a row for each review; blocks never reviewed have the
+    defaults, and so have issues and notes of reviews that verify nothing.
+    """
+    last = log.groupBy("file", "anno_id").agg(F.max_by(F.struct("verified", "issues", "notes", "reviewer", "ts"), F.struct("ts", "reviewer", "notes")).alias("r"))
+    joined = ann.select("file", "anno_id").distinct().join(last, ["file", "anno_id"], "left")
+    done = F.coalesce("r.verified", F.lit(False))
+    return joined.select(
+        "file",
+        "anno_id",
+        done.alias("verified"),
+        F.when(done, F.coalesce("r.issues", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("issues"),
+        F.when(done, F.coalesce("r.notes", F.lit(""))).otherwise("").alias("notes"),
+        F.coalesce("r.reviewer", F.lit("")).alias("reviewer"),
+        F.col("r.ts").alias("ts"),
+    )

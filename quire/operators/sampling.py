@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.numbering import hash_ranks
 from quire.plans import rules
+from quire.staging import staged
 
 
 def sample_size(total: Column, rate: float, min_per_type: int) -> Column:
@@ -50,6 +53,21 @@ def diverse(files: DataFrame, clusters: DataFrame | None, stratum: str, key: str
     return stratified(kept, stratum, key, rate, min_per_type, seed)
 
 
+def diverse_or_plain(
+    files: DataFrame, find_clusters: Callable[[], DataFrame], stratum: str, key: str, rate: float, min_per_type: int = 1, seed: int = 42
+) -> tuple[DataFrame, str | None]:
+    """A diverse sample, or a plain one where the clusters cannot be found, and then why.
+
+    The clusters are staged here, so that their failure shows before the sample
+    is used.  A wrong rate or minimum raises ValueError either way.
+    """
+    try:
+        clusters, why = staged(find_clusters().select("id", "size", "is_rep"), "clusters"), None
+    except Exception as e:  # whatever the search for clusters raises, the sample goes on without them
+        clusters, why = None, f"{type(e).__name__}: {e}"
+    return diverse(files, clusters, stratum, key, rate, min_per_type, seed), why
+
+
 def train_split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """*rows* with split: exactly floor(n * share) are ``train``, in an order fixed by the seed."""
     ranked = hash_ranks(rows, [], _order(seed, key), key)

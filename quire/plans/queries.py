@@ -231,6 +231,12 @@ def g8_layout_vectors(spark, sf_dir):
     return geometry.layout_grid(ann(spark, sf_dir).filter("size(poly) >= 4 AND NOT ignored").select("file", on.alias("box")))
 
 
+@query()
+def g8_layout_canvases(spark, sf_dir):
+    drawn = geometry.layout_canvas(ann(spark, sf_dir), F.lit(None).cast("double"), F.lit(0.0))
+    return drawn.select("file", F.octet_length("pixels").alias("n_bytes"), F.sha2("pixels", 256).alias("sha256"))
+
+
 @query("""SELECT file, pos, round(x1 + 20 * cos(atan2(y1, x1) + 0.85 * pi()), 4) AS ax, round(y1 + 20 * sin(atan2(y1, x1) - 0.85 * pi()), 4) AS ay FROM ann""", ann=ANN)
 def g10_arrow_heads(spark, sf_dir):
     start, end = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
@@ -566,7 +572,13 @@ def u4_significant_missing(spark, sf_dir):
     return profile.missing_characters(chars).filter("significant").select("ch", "n")
 
 
-@query()
+#: White space of any script, at both ends.
+_OUTER = r"^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPECIAL = "regexp_extract_all(' !\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~·’“”‘•…–—°±×÷0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '.')"
+
+
+@query(f"""SELECT unnest({_SPECIAL}) AS ch UNION SELECT chr(CAST(i AS INT)) FROM generate_series(44032, 55203) AS s(i)
+  UNION SELECT ch FROM (SELECT unnest(string_split(regexp_replace(text, '{_OUTER}|{_OUTER[1:]}$', '', 'g'), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch HAVING count(*) >= 5""")
 def k10_extended_charset(spark, sf_dir):
     chars = profile.characters(table(spark, sf_dir, "documents"))
     return profile.extended_charset(chars, profile.base_charset(chars))
@@ -641,10 +653,6 @@ def t10_badge_preview(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.badge_preview(html).alias("shown"))
 
 
-#: White space of any script, at both ends.
-_OUTER = r"^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(replace(concat(' $$', text, '$$ '), '$$', ''), '{_OUTER}', ''), '{_OUTER[1:]}$', '') AS shown FROM documents")
 def t11_without_dollars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.without_dollars(F.concat(F.lit(" $$"), "text", F.lit("$$ "))).alias("shown"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
+from quire.sources import workbook
 
 
 def write_files(df: DataFrame, target: str, name: str = "name", content: str = "content") -> None:
@@ -78,20 +79,61 @@ def markdown(title: str, rows: DataFrame, limit: int = 1000) -> str:
     return head + "".join(f"| {' | '.join(map(cell, r))} |\n" for r in _all_rows(rows, limit))
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
-    """Report sheets as a workbook, where the writer library is installed; fails beyond *limit* rows of a sheet."""
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """One small file, such as a report, at a path of any file system that the session knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     try:
-        from openpyxl import Workbook
-    except ImportError as e:
-        raise RuntimeError("openpyxl is not installed; write the sheets as CSV") from e
-    book = Workbook()
-    book.remove(book.active)
-    for name, df in sheets.items():
-        sheet = book.create_sheet(name)
-        sheet.append(df.columns)
-        for row in _all_rows(df, limit):
-            sheet.append([str(v) if isinstance(v, list | dict) else v for v in row])
-    book.save(path)
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def table_sheet(name: str, df: DataFrame, limit: int = 100_000) -> workbook.Sheet:
+    """A sheet of a frame's rows under its column names; fails beyond *limit* rows."""
+    cell = lambda v: str(v) if isinstance(v, list | dict) else v
+    return workbook.Sheet(name, [df.columns, *([cell(v) for v in row] for row in _all_rows(df, limit))], heads={0})
+
+
+def write_xlsx(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
+    """Report sheets as a workbook; fails beyond *limit* rows of a sheet."""
+    spark = next(iter(sheets.values())).sparkSession
+    write_bytes(spark, workbook.to_bytes([table_sheet(name, df, limit) for name, df in sheets.items()]), path)
+
+
+def validation_sheets(found: DataFrame, files: int, limit: int = 100_000) -> list[workbook.Sheet]:
+    """Findings, and a sheet of totals: all, errors, warnings, files read."""
+    totals = found.agg(F.count(F.lit(1)), F.count_if(F.col("severity") == "ERROR"), F.count_if(F.col("severity") == "WARNING")).first()
+    names = ("총 이슈", "오류 (ERROR)", "경고 (WARNING)", "스캔한 파일")
+    return [table_sheet("검증 결과", found, limit), workbook.Sheet("요약", [("항목", "값"), *zip(names, (*totals, files), strict=True)], heads={0})]
+
+
+def review_sheets(session: dict, summary: DataFrame, details: DataFrame, limit: int = 100_000) -> list[workbook.Sheet]:
+    """The review's two sheets: totals of the session and by type, and each sampled file with its result.
+
+    session: label and value of each line at the top.  summary: doc_type, name,
+    total, sampled, errors, error_rate, its last row that of all types (ALL).
+    details: no, file, doc_type, name, is_error, error_types, memo, reviewed.
+    Rows are filled by whether there are errors.
+    """
+    fill = {True: workbook.ERROR_FILL, False: workbook.OK_FILL}
+    top = workbook.Sheet("요약", [*session.items()], bold=set(range(len(session))), widths=(10, 24, 14, 10, 10, 12))
+    top.rows += [(), ("문서 유형", "유형명", "전체 페이지", "샘플 수", "오류 수", "오류율(%)")]
+    top.heads.add(len(top.rows) - 1)
+    rows = _all_rows(summary.select("doc_type", "name", "total", "sampled", "errors", "error_rate"), limit)
+    for r in sorted(rows, key=lambda r: (r["doc_type"] == "ALL", r["doc_type"])):
+        if r["doc_type"] == "ALL":
+            top.bold.add(len(top.rows))
+            top.rows.append(("합계", None, None, r["sampled"], r["errors"], r["error_rate"]))
+        else:
+            top.fills[len(top.rows)] = fill[r["error_rate"] > 0]
+            top.rows.append((r["doc_type"], r["name"] or r["doc_type"], *r[2:]))
+    listed = workbook.Sheet("검수결과", [("번호", "파일명", "문서 유형", "유형명", "오류 여부", "오류 유형", "검수자 메모", "검수 완료")], heads={0}, widths=(6, 60, 10, 18, 10, 30, 30, 10))
+    for r in sorted(_all_rows(details.select("no", "file", "doc_type", "name", "is_error", "error_types", "memo", "reviewed"), limit), key=lambda r: r["no"]):
+        if r["is_error"] or r["reviewed"]:
+            listed.fills[len(listed.rows)] = fill[r["is_error"]]
+        listed.rows.append((r["no"], r["file"], r["doc_type"], r["name"] or r["doc_type"], "오류" if r["is_error"] else "정상", r["error_types"], r["memo"], "✅" if r["reviewed"] else "⬜"))
+    return [top, listed]
 
 
 def append_vectors(vectors: DataFrame, path: str, stored: DataFrame | None = None, key: str = "doc_id") -> None:
@@ -126,6 +168,12 @@ def copy_manifest(files: DataFrame, group: Column, source: Column, target_dir: s
     return files.select(source.alias("src"), F.concat_ws("/", F.lit(target_dir), safe_name(group), F.element_at(F.split(source, "/"), -1)).alias("dst")).distinct()
 
 
+def group_counts(manifest: DataFrame) -> DataFrame:
+    """Files of a manifest by the folder of their group."""
+    folder = F.element_at(F.split("dst", "/"), -2)
+    return manifest.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def copy_files(manifest: DataFrame) -> None:
     """Do what a manifest says, on the executors."""
     from pyarrow import fs
@@ -154,6 +202,27 @@ def draw_list(ann: DataFrame, rel: DataFrame, colors: DataFrame) -> DataFrame:
     return outlines.unionByName(arrows)
 
 
+def page_pictures(shapes: DataFrame, info: DataFrame) -> DataFrame:
+    """name and content of a picture (SVG) for each page of *info* (file, width, height, image_path) from its ``draw_list``.
+
+    The page's image, if it has one, lies below the outlines and arrows.
+    """
+    escaped = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    at = lambda i: F.get("points", F.lit(i)).cast("string")
+    points = F.array_join(F.transform("points", lambda p: p.cast("string")), " ")
+    label = escaped(F.coalesce("label", F.lit("")))
+    outline = F.concat(F.lit('<polygon fill="none" stroke-width="2" stroke="'), "color", F.lit('" points="'), points, F.lit('"/><text fill="'), "color", F.lit('" x="'), at(0), F.lit('" y="'), at(1), F.lit('">'), label, F.lit("</text>"))
+    path = F.concat(F.lit("M"), at(0), F.lit(" "), at(1), F.lit(" L"), at(2), F.lit(" "), at(3), F.lit(" M"), at(4), F.lit(" "), at(5), F.lit(" L"), at(2), F.lit(" "), at(3), F.lit(" L"), at(6), F.lit(" "), at(7))
+    arrow = F.concat(F.lit('<path fill="none" stroke-width="2" stroke="'), "color", F.lit('" d="'), path, F.lit('"><title>'), label, F.lit("</title></path>"))
+    drawn = shapes.filter(F.size("points") >= 2).select("file", F.when(F.col("shape") == "arrow", F.struct(F.lit(1).alias("z"), arrow.alias("e"))).otherwise(F.struct(F.lit(0).alias("z"), outline.alias("e"))).alias("s"))
+    body = drawn.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["e"]), "").alias("body"))
+    size = lambda c, default: F.coalesce(c, F.lit(default)).cast("string")
+    box = F.concat_ws(" ", F.lit("0 0"), size("width", geometry.PAGE_WIDTH), size("height", geometry.PAGE_HEIGHT))
+    image = F.coalesce(F.concat(F.lit('<image href="'), escaped(F.col("image_path")), F.lit('"/>')), F.lit(""))
+    content = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="'), box, F.lit('">'), image, F.coalesce("body", F.lit("")), F.lit("</svg>"))
+    return info.join(body, "file", "left").select(F.concat(F.regexp_replace("file", r"\.json$", ""), F.lit(".svg")).alias("name"), content.alias("content"))
+
+
 def write_charset(chars: DataFrame, path: str) -> None:
     """Characters in code point order, one line of them; a charset is bounded by Unicode."""
     chars.select("ch").coalesce(1).write.mode("overwrite").text(path)

@@ -33,6 +33,16 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def session_exists(spark: SparkSession, folder: str, session: str) -> bool:
+    return (session, False) in _list(spark, folder)
+
+
+def delete_session(spark: SparkSession, folder: str, session: str) -> bool:
+    """Delete a session's file; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{session}")
+    return session_exists(spark, folder, session) and path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def session_results(sessions: DataFrame) -> DataFrame:
     """session, file, is_error, error_types, memo, reviewed of the stored review results."""
     result = "map<string, struct<is_error: boolean, error_types: array<string>, memo: string, reviewed: boolean>>"
