@@ -19,9 +19,11 @@ import public_tokenizers
 from quire.llm.common import of_worker
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of each half of a worker's caches; a full young half becomes the old
-#: one, from which entries that are used again come back.
-CACHE_ENTRIES = 400_000
+#: Entries of each half of a worker's caches, of chunks between blanks and of
+#: other pre-tokens; a full young half becomes the old one, from which entries
+#: that are used again come back.
+CACHE_ENTRIES = 350_000
+PRETOKEN_ENTRIES = 80_000
 
 _CUT = re.compile(r" (?=\S)")
 #: The library's pre-tokens, where text has only characters for which Python's
@@ -35,10 +37,10 @@ class _Uncuttable(Exception):
 
 
 class _Halves(dict):
-    """A cache of f(key) in two halves, bounded by twice CACHE_ENTRIES; f also says whether to hold a value."""
+    """A cache of f(key) in two halves of *entries*; f also says whether to hold a value."""
 
-    def __init__(self, f: Callable[[str], tuple[bytes, bool]]):
-        self.f, self.old = f, {}
+    def __init__(self, f: Callable[[str], tuple[bytes, bool]], entries: int):
+        self.f, self.entries, self.old = f, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -46,7 +48,7 @@ class _Halves(dict):
             value, hold = self.f(key)
             if not hold:
                 return value
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = self.copy()
             self.clear()
         self[key] = value
@@ -75,8 +77,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
-        self.known = _Halves(lambda piece: (self._pretoken(piece), True)).__getitem__
-        self.chunks = _Halves(self._chunk)
+        self.known = _Halves(lambda piece: (self._pretoken(piece), True), PRETOKEN_ENTRIES).__getitem__
+        self.chunks = _Halves(self._chunk, CACHE_ENTRIES)
         self.lookup = self.chunks.__getitem__
         self.letters = _byte_letters()
         self.blank = self.letters[ord(" ")]

@@ -35,7 +35,7 @@ PASS_PLACES = 60_000
 SMOOTHING = 0.05
 #: Probability of a letter that is no piece, alike in all languages.
 UNKNOWN = 1e-9
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 

@@ -48,7 +48,7 @@ SALTS = 64
 #: Slots in which shingles are counted to order them; more slots, fewer pairs to compare.
 SLOTS = 1 << 20
 BROADCAST_IDS = 1_000_000
-WORD_CACHE = 200_000
+WORD_CACHE = 150_000
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
