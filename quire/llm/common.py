@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -77,14 +80,25 @@ _held: dict = {}
 def of_worker(key: tuple, make: Callable[[], object]) -> object:
     """What ``make()`` gave for *key*, held by this worker for its next tasks.
 
-    Only the last key's is held, so that a worker that goes from operator to
-    operator does not gather the caches of all.
+    Only the last key's is held, and the memory of the one before goes back to
+    the system, so that a worker that goes from operator to operator does not
+    gather the caches of all.
     """
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Memory that this process has freed goes to the system: what cycles held, Arrow's pool, the allocator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)

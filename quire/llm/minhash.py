@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, short_batches, staged
+from quire.llm.common import of_worker, scratch, short_batches, staged
 from quire.llm.decontaminate import words
 
 SHINGLE = 5
@@ -62,9 +62,6 @@ class _WordHashes(dict):
         return h
 
 
-_word_hash = _WordHashes().__getitem__
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -87,7 +84,8 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
 def _hashed(lists: list[list[bytes]]) -> Iterator[np.ndarray]:
     """``shingle_hashes`` of several word lists, computed over all their words at once."""
     lengths = [len(x) for x in lists]
-    flat = np.fromiter(map(_word_hash, chain.from_iterable(lists)), np.uint64, sum(lengths))
+    word_hash = of_worker(("word hashes",), _WordHashes).__getitem__
+    flat = np.fromiter(map(word_hash, chain.from_iterable(lists)), np.uint64, sum(lengths))
     whole = _windows(flat, SHINGLE) if len(flat) >= SHINGLE else None
     at = 0
     for n in lengths:
