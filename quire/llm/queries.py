@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, langid, line_dedup, minhash, packing, quality, token_counts, toxicity, wavelet
+from quire.llm import chat, decontaminate, divergence, langid, line_dedup, merkle, minhash, packing, prefix_tree, quality, token_counts, toxicity, wavelet
 from quire.llm.common import table
 
 
@@ -67,8 +67,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_chat_format,
+    op2_language_id,
+    op3_wavelet_shards,
+    op4_token_counts,
+    op5_line_dedup,
+    op6_toxicity,
+    op7_pack,
+    op8_quality_rules,
+    op9_near_duplicates,
+    op10_decontaminate,
+    op11_source_divergence,
+    op12_ngram_join,
+    op13_merkle_manifest,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_wavelet_shards, op4_token_counts, op5_line_dedup, op6_toxicity, op7_pack, op8_quality_rules, op9_near_duplicates, op10_decontaminate)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_quality_rules": quality.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
+        "op12_ngram_join": prefix_tree.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
