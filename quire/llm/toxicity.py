@@ -56,12 +56,34 @@ _ALIKE = str.maketrans(LOOK_ALIKES)
 _STAND = str.maketrans(STANDS_FOR)
 _ANY_ALIKE = re.compile("[" + "".join(LOOK_ALIKES) + "]").search
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
-#: A word with a digit or sign next to a letter.
-_MIXED = re.compile(r"[0-9@$!]*[^\W\d_][^\W_@$!]*(?:[0-9@$!]+[^\W_]+)+|[0-9@$]+[^\W\d_]+")
+#: A run of letters, digits and signs that has a digit or sign; tried at its start only, and once.
+_RUN = re.compile(r"(?<![^\W_])(?<![@$!])[^\W0-9_]*+[0-9@$!](?:[^\W_]|[@$!])*+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile(r"[0-9@$!]")
 _HAS_SIGN = re.compile(r"[0-9@$!][^\W\d_]").search
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
+def _unmasked(m: re.Match) -> str:
+    """A run with its digits and signs read as letters.
+
+    That is from the digits and signs before its first letter to its last letter
+    or digit, if one of them is inside, else only those before and the letters.
+    """
+    run = m[0]
+    letters = _LETTERS.search(run)
+    if not letters:
+        return run
+    first, end = letters.start(), len(run.rstrip("@$!"))
+    if _SIGN.search(run, first + 1, end - 1):
+        start = len(run[:first].rstrip("0123456789@$!"))
+    else:
+        start, end = len(run[:first].rstrip("0123456789@$")), letters.end()
+        if start == first:
+            return run
+    return run[:start] + run[start:end].translate(_STAND) + run[end:]
+
+
 def fold(text: str | None) -> list[str]:
     """The folded words of a text; a null text has none."""
     if not text:
@@ -72,7 +94,7 @@ def fold(text: str | None) -> list[str]:
     if not text.isascii() and _ANY_ALIKE(text):
         text = text.translate(_ALIKE)
     if _HAS_SIGN(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_STAND), text)
+        text = _RUN.sub(_unmasked, text)
     return _WORDS(text)
 
 

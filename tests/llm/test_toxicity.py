@@ -1,5 +1,8 @@
 import math
 import random
+import re
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -102,3 +105,17 @@ def test_defined_results(spark, nasty, nothing):
     assert len(rows) == nasty.count() and all(0 <= r["toxic_score"] <= 1 for r in rows)
     none = toxicity.learn(nothing, labels.limit(0))
     assert none.lexicon == {} and toxicity.score(nothing, none).count() == 0
+
+
+def test_folding_of_random_runs_and_long_ones():
+    """Equal to one pattern that is tried from every place; a million signs, digits and letters take a moment."""
+    mixed = re.compile(r"[0-9@$!]*[^\W\d_][^\W_@$!]*(?:[0-9@$!]+[^\W_]+)+|[0-9@$]+[^\W\d_]+")
+    rng = random.Random(0)
+    for _ in range(20_000):
+        text = "b4d " + "".join(rng.choice("aZé١²1405@$!_ -.") for _ in range(rng.randrange(14)))
+        folded = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
+        assert toxicity.fold(text) == re.findall(r"[^\W_]+", mixed.sub(lambda m: m[0].translate(toxicity._STAND), folded))
+    started = time.perf_counter()
+    for long in ("a" * 500_000 + "!" * 500_000, "1" * 1_000_000, "!" * 1_000_000, "a" * 1_000_000, "a1!" * 300_000, "1a_" * 300_000):
+        toxicity.fold("b4d " + long)
+    assert time.perf_counter() - started < 20
