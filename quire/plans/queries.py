@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, latex, rewrite, text
-from quire.operators import evaluate, outliers, profile, relations, review, sampling, validate, vectors
+from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, validate, vectors
 from quire.plans import rules, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,6 +237,50 @@ def g8_layout_canvases(spark, sf_dir):
     return drawn.select("file", F.octet_length("pixels").alias("n_bytes"), F.sha2("pixels", 256).alias("sha256"))
 
 
+#: Upright polygons as given and rectangles turned by a slope of 4 to 3, from any corner on.
+_TURNED = """SELECT file, pos, false AS turned, poly_len, x1, y1, w, h, 0.0 AS a, 0.0 AS b FROM ann
+  UNION ALL SELECT file, pos, true, 8, x1, y1, w, h, floor(w / 10) + 1, floor(h / 20) + 1 FROM ann"""
+_QUADS = """SELECT file, pos, turned,
+  CASE WHEN turned OR poly_len = 8 AND w * h * w * h > 9 * (w * w + h * h) THEN 'quad' WHEN poly_len = 8 THEN 'box' END AS kind,
+  CASE WHEN turned THEN x1 - 4 * b ELSE x1 END AS left_x, CASE WHEN turned THEN y1 + 3 * b ELSE y1 END AS top_y,
+  CASE WHEN turned THEN 5 * b ELSE w END AS qw, CASE WHEN turned THEN 5 * a ELSE h END AS qh,
+  CASE WHEN turned THEN 0.8 ELSE 1.0 END AS c, CASE WHEN turned THEN 0.6 ELSE 0.0 END AS s FROM turned"""
+
+
+@query(
+    """SELECT file, pos, turned, kind, left_x AS x, top_y AS y, CAST(CASE kind WHEN 'quad' THEN qw ELSE qw + 1 END AS INT) AS width, CAST(CASE kind WHEN 'quad' THEN qh ELSE qh + 1 END AS INT) AS height,
+  round(c * kx, 6) + 0.0 AS m0, round(-s * kx, 6) + 0.0 AS m1, round((s * top_y - c * left_x) * kx, 6) + 0.0 AS m2,
+  round(s * ky, 6) + 0.0 AS m3, round(c * ky, 6) + 0.0 AS m4, round(-(s * left_x + c * top_y) * ky, 6) + 0.0 AS m5,
+  CASE kind WHEN 'quad' THEN CAST(0 AS DOUBLE) END AS m6, CASE kind WHEN 'quad' THEN CAST(0 AS DOUBLE) END AS m7
+  FROM (SELECT *, CASE kind WHEN 'quad' THEN (qw - 1) / qw END AS kx, CASE kind WHEN 'quad' THEN (qh - 1) / qh END AS ky FROM quads) WHERE kind IS NOT NULL""",
+    ann=ANN,
+    turned=_TURNED,
+    quads=_QUADS,
+)
+def g9_quads(spark, sf_dir):
+    a = ann(spark, sf_dir).select("file", "pos", "poly", "x1", "y1", (F.floor(F.col("w") / 10) + 1).alias("a"), (F.floor(F.col("h") / 20) + 1).alias("b"))
+    x, y, p, q = F.col("x1"), F.col("y1"), F.col("a"), F.col("b")
+    ring = F.array(*(v.cast("double") for v in (x, y, x + 3 * p, y + 4 * p, x + 3 * p - 4 * q, y + 4 * p + 3 * q, x - 4 * q, y + 3 * q)))
+    first = 2 * F.pmod(F.col("pos"), F.lit(4))
+    turned = F.concat(F.slice(ring, first + 1, 8 - first), F.slice(ring, F.lit(1), first))
+    both = a.select("file", "pos", F.lit(False).alias("turned"), "poly").unionByName(a.select("file", "pos", F.lit(True).alias("turned"), turned.alias("poly")))
+    found = both.withColumn("q", crops.quad("poly")).filter("q.kind IS NOT NULL")
+    numbers = [(F.round(F.get("q.m", F.lit(i)), 6) + 0.0).alias(f"m{i}") for i in range(8)]
+    return found.select("file", "pos", "turned", "q.kind", F.get("q.corners", F.lit(0)).alias("x"), F.get("q.corners", F.lit(1)).alias("y"), "q.width", "q.height", *numbers)
+
+
+@query()
+def g9_crops(spark, sf_dir):
+    """Each block cut out of its page's drawn canvas, turned as in ``g9_quads``."""
+    a = ann(spark, sf_dir)
+    drawn = geometry.layout_canvas(a, F.lit(None).cast("double"), F.lit(0.0)).select("file", F.col("pixels").alias("content"))
+    x, y = F.col("x1"), F.col("y1")
+    ring = F.array(x, y, x + 60, y + 80, x - 20, y + 140, x - 80, y + 60).cast("array<double>")
+    regions = a.select("file", "pos", F.when(F.col("pos") % 2 == 0, F.col("poly")).otherwise(ring).alias("poly"))
+    found = crops.crops(drawn, regions, crops.canvas_pixels, as_png=False)
+    return found.select("file", "pos", "width", "height", F.sha2("content", 256).alias("sha256"), "error")
+
+
 @query("""SELECT file, pos, round(x1 + 20 * cos(atan2(y1, x1) + 0.85 * pi()), 4) AS ax, round(y1 + 20 * sin(atan2(y1, x1) - 0.85 * pi()), 4) AS ay FROM ann""", ann=ANN)
 def g10_arrow_heads(spark, sf_dir):
     start, end = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))

@@ -28,7 +28,7 @@ def write_files(df: DataFrame, target: str, name: str = "name", content: str = "
             path = f"{root}/{row[0]}"
             place.create_dir(path.rpartition("/")[0], recursive=True)
             with place.open_output_stream(f"{path}.writing") as f:
-                f.write(row[1].encode("utf-8"))
+                f.write(row[1].encode("utf-8") if isinstance(row[1], str) else bytes(row[1]))
             place.move(f"{path}.writing", path)
 
     rows.foreachPartition(put)
