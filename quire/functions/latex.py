@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import formula_parser
 from quire.functions.text import col_of, is_blank
 from quire.plans.rules import INLINE_PATTERNS, KNOWN_MACROS
 
@@ -66,6 +67,22 @@ def unknown_macros(formula: Column | str) -> Column:
     return F.array_sort(F.array_except(found, F.array(*map(F.lit, dict.fromkeys(KNOWN_MACROS)))))
 
 
+@F.pandas_udf(T.StringType())
+def _fault(formulas_: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in formulas_:
+        found = [formula_parser.fault(f) if f else None for f in batch]
+        yield pd.Series([f and f"{f[1]} at {f[0]}" for f in found], dtype=object)
+
+
+def parse_fault(formula: Column | str) -> Column:
+    """What a formula does not parse for, and its place in it; null if it parses.
+
+    Only formulas with a brace or macro can fail, so only those leave the JVM.
+    """
+    f = col_of(formula)
+    return _fault(F.when(f.rlike(r"[{}\\]"), f))
+
+
 def needs_check(category: Column, latex: Column, text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return (category == "equation_isolated") | (F.length(F.coalesce(latex, F.lit(""))) > 0) | F.contains(t, F.lit("$")) | F.contains(t, F.lit("\\"))
@@ -75,9 +92,11 @@ def violations(formulas_of: DataFrame, formula: str = "formula") -> DataFrame:
     """*formulas_of* with rule_id, severity and detail of each finding, one row each.
 
     An empty formula has that finding alone.  Each unmatched closing sign is a
-    finding, all opening ones left open are one.  Macros are found wherever they
-    stand, also inside arguments.
+    finding, all opening ones left open are one.  A formula that does not parse
+    is an error that states the fault; in others unknown macros are a warning,
+    wherever they stand, also inside arguments.
     """
+    formulas_of = formulas_of.withColumn("__fault", parse_fault(formula))
     f = F.col(formula)
     braces, brackets = unmatched(f, "{", "}"), unmatched(f, "[", "]")
     mixed = F.contains(f, F.lit("$$")) & F.contains(F.replace(f, F.lit("$$"), F.lit("")), F.lit("$"))
@@ -93,10 +112,11 @@ def violations(formulas_of: DataFrame, formula: str = "formula") -> DataFrame:
         one("latex_mixed_delimiters", "ERROR", mixed),
         many("latex_unmatched_braces", braces["closers"] + (braces["openers"] > 0).cast("int")),
         many("latex_unmatched_brackets", brackets["closers"] + (brackets["openers"] > 0).cast("int")),
-        one("latex_invalid_command", "WARNING", F.length(unknown) > 0, unknown),
+        one("latex_invalid_command", "ERROR", F.col("__fault").isNotNull(), F.col("__fault")),
+        one("latex_invalid_command", "WARNING", F.col("__fault").isNull() & (F.length(unknown) > 0), unknown),
     )
     found = F.when(is_blank(f), F.array(_finding("latex_empty_formula", "ERROR"))).otherwise(checks)
-    return formulas_of.withColumn("__f", F.explode(found)).select(*formulas_of.columns, "__f.rule_id", "__f.severity", "__f.detail")
+    return formulas_of.withColumn("__f", F.explode(found)).drop("__fault").select(*[c for c in formulas_of.columns if c != "__fault"], "__f.rule_id", "__f.severity", "__f.detail")
 
 
 _FINDINGS = "array<struct<rule_id: string, severity: string, detail: string>>"

@@ -326,12 +326,24 @@ def v4_empty_html(spark, sf_dir):
 _FORMULAS = """SELECT file, category, anno_id, f FROM (SELECT *, unnest(list_concat(list_concat(CASE WHEN latex IS NULL THEN [] ELSE [latex] END, regexp_extract_all(coalesce(text, ''), '(?s)\\$\\$(.+?)\\$\\$', 1)), regexp_extract_all(coalesce(text, ''), '\\$(.+?)\\$', 1))) AS f FROM ann)"""
 
 
+#: What the planted formulas do not parse for, and where.
+_FAULT = (
+    "CASE WHEN contains(f, '+ ' || chr(123)) THEN concat(chr(123), ' is not closed at ', strpos(f, chr(123)) - 1) "
+    + " ".join(
+        f"WHEN contains(f, chr(92) || '{sign}') THEN concat(chr(92), '{what}', ' at ', strpos(f, chr(92) || '{sign}') - 1)".replace("<", "' || chr(123) || '").replace(">", "' || chr(125) || '").replace("^", "' || chr(92) || '")
+        for sign, what in (("frac", "frac lacks an argument"), ("begin", "begin<a> is not closed"), ("left(", "left is not closed"), ("right)", "right without ^left"), ("end", "end<a> without ^begin<a>"))
+    )
+    + " END"
+)
+
+
 @query(
     f"""SELECT file, category, anno_id, rule_id, severity, detail FROM (
   SELECT *, 'latex_empty_formula' AS rule_id, 'ERROR' AS severity, CAST(NULL AS VARCHAR) AS detail FROM ({_FORMULAS}) WHERE trim(f) = ''
-  UNION ALL SELECT *, 'latex_unmatched_braces', 'ERROR', NULL FROM ({_FORMULAS}) WHERE contains(f, chr(123))
-  UNION ALL SELECT *, 'latex_unmatched_brackets', 'ERROR', NULL FROM ({_FORMULAS}) WHERE contains(f, ']')
-  UNION ALL SELECT *, 'latex_invalid_command', 'WARNING', 'foo' FROM ({_FORMULAS}) WHERE contains(f, chr(92) || 'foo'))""",
+  UNION ALL SELECT *, 'latex_unmatched_braces', 'ERROR', NULL FROM ({_FORMULAS}) WHERE contains(f, '+ ' || chr(123))
+  UNION ALL SELECT *, 'latex_unmatched_brackets', 'ERROR', NULL FROM ({_FORMULAS}) WHERE contains(f, 'x]')
+  UNION ALL SELECT *, 'latex_invalid_command', 'ERROR', {_FAULT} FROM ({_FORMULAS}) WHERE {_FAULT} IS NOT NULL
+  UNION ALL SELECT *, 'latex_invalid_command', 'WARNING', 'foo' FROM ({_FORMULAS}) WHERE contains(f, chr(92) || 'foo') AND {_FAULT} IS NULL)""",
     ann=ANN,
 )
 def v5_formula_findings(spark, sf_dir):
@@ -469,8 +481,10 @@ def l1_formulas(spark, sf_dir):
     return ann(spark, sf_dir).filter("contains(text, '$')").select("file", "pos", F.array_join(latex.formulas("text"), "|").alias("formulas"))
 
 
-@query(f"""SELECT file, anno_id, CASE WHEN max(CASE WHEN contains(f, chr(123)) OR contains(f, ']') OR trim(f) = '' THEN 2 WHEN contains(f, chr(92) || 'foo') THEN 1 ELSE 0 END) = 2 THEN 'red'
-  ELSE 'yellow' END AS badge FROM ({_FORMULAS}) WHERE contains(f, chr(123)) OR contains(f, ']') OR trim(f) = '' OR contains(f, chr(92) || 'foo') GROUP BY file, anno_id""", ann=ANN)
+_WORST = f"CASE WHEN contains(f, 'x]') OR trim(f) = '' OR {_FAULT} IS NOT NULL THEN 2 WHEN contains(f, chr(92) || 'foo') THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT file, anno_id, CASE max(w) WHEN 2 THEN 'red' ELSE 'yellow' END AS badge FROM (SELECT *, {_WORST} AS w FROM ({_FORMULAS})) WHERE w > 0 GROUP BY file, anno_id", ann=ANN)
 def l7_badges(spark, sf_dir):
     return latex.badge(validate.formula_findings(ann(spark, sf_dir)), ["file", "anno_id"])
 

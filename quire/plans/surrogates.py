@@ -19,7 +19,10 @@ SELECT doc_id, {_FILE} AS file, CAST(doc_id % 10 AS INT) AS pos,
             ELSE concat(text,
                  CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN ' x^2' WHEN 1 THEN ' 3 x 4' WHEN 2 THEN concat(' $a + ', chr(123), 'b$')
                       WHEN 3 THEN concat(' ', chr(92), 'alpha') WHEN 4 THEN ' $x]$ and $y$' WHEN 5 THEN ' a/b'
-                      WHEN 6 THEN concat(' $ $ and $', chr(92), 'foo ', chr(92), 'frac$') ELSE '' END) END AS text,
+                      WHEN 6 THEN concat(' $ $ and $', chr(92), 'foo ', chr(92), 'frac$')
+                      ELSE CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN concat(' $', chr(92), 'begin', chr(123), 'a', chr(125), ' x$') WHEN 1 THEN concat(' $', chr(92), 'left( x$')
+                           WHEN 2 THEN concat(' $x ', chr(92), 'right)$') WHEN 3 THEN concat(' $', chr(92), 'sqrt[3]', chr(123), 'x', chr(125), ' ', chr(92), 'foo$')
+                           WHEN 4 THEN concat(' $', chr(92), 'end', chr(123), 'a', chr(125), '$') ELSE '' END END) END AS text,
        CASE CAST(doc_id % 10 AS INT)
             WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat('<table><img src="anno_id_', CAST(doc_id % 14 AS STRING), '"></table> $$figure_', CAST(doc_id % 12 AS STRING), '$$') END
             WHEN 8 THEN concat('<img src="ANNO_ID 0', CAST(doc_id % 9 AS STRING), '">')
