@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import metric
 from quire.operators.numbering import dense_ids
 from quire.staging import staged
 
-#: Vectors of one block of the blocked product, and pivots at most.
+#: Query vectors of one product.
 BLOCK = 1000
-PIVOTS = 256
 #: Query vectors that are sent to all tasks at once.
 HELD_QUERIES = 20_000
 
@@ -112,67 +112,26 @@ def first_per_document(vectors: DataFrame, doc: str = "doc_id", order: str = "id
     return first.select(doc, "__v.*").select(*vectors.columns)
 
 
-def _unit(lists) -> np.ndarray:
-    m = np.array(lists, float)
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+def similar_classes(vectors: DataFrame, threshold: float, id_col: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+    """(a, b, score) of all pairs of different vectors over *threshold*, by their least ids, and (id, rep) of all vectors.
+
+    Equal vectors are one, so n copies give n rows of the second frame and none
+    of the first.
+    """
+    found = staged(metric.distinct(vectors, threshold, id_col), "distinct-vectors")
+    return metric.pairs(found.filter("id = rep").select("id", "v"), threshold), found.select("id", "rep")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id") -> DataFrame:
-    """(a, b, score) of all pairs a < b with a cosine over *threshold*, exactly.
+    """(a, b, score) of all pairs a < b with a cosine over *threshold*, exactly; copies are written out.
 
-    Vectors go to the nearest of a few pivots.  Angles obey the triangle
-    inequality, so two pivots' groups are compared only if the angle between
-    them is at most both groups' radii and the threshold's angle.  Groups are
-    cut into blocks, and a task multiplies two blocks; only hits come out.
+    Where vectors have many copies, ``similar_classes`` says the same with fewer rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding")
-    n = rows.count()
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, n // BLOCK))).collect()
-    if not drawn:
-        return spark.createDataFrame([], "a long, b long, score double")
-    pivots = _unit([r["embedding"] for r in drawn])
-    sent = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = _unit(batch.column(1).to_pylist())
-            cos = np.clip(unit @ sent.value.T, -1, 1)
-            g = cos.argmax(1)
-            angle = np.arccos(cos[np.arange(len(g)), g])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(g.astype(np.int32)), pa.array(angle), pa.array([v.tobytes() for v in unit], pa.binary())], ["id", "g", "angle", "v"]
-            )
-
-    parts = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()) if n > BLOCK else 1
-    placed = staged(rows.repartition(parts, "id").mapInArrow(assign, "id long, g int, angle double, v binary"), "vectors")
-    sizes = {r["g"]: (r["n"], r["radius"]) for r in placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
-    reach, between = float(np.arccos(np.clip(threshold, -1, 1))), np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    near = [(i, j) for i in sizes for j in sizes if i <= j and between[i, j] <= sizes[i][1] + sizes[j][1] + reach + 1e-6]
-    blocks_of = F.broadcast(spark.createDataFrame([(g, -(-c // BLOCK)) for g, (c, _) in sizes.items()], "g int, n_blocks int"))
-    numbered = placed.join(blocks_of, "g").withColumn("b", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
-    blocks = staged(numbered.groupBy("g", "b").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "blocks")
-    keys = blocks.select("g", "b")
-    one = keys.select(F.col("g").alias("g1"), F.col("b").alias("b1"))
-    two = keys.select(F.col("g").alias("g2"), F.col("b").alias("b2"))
-    work = F.broadcast(spark.createDataFrame(near, "g1 int, g2 int")).join(one, "g1").join(two, "g2").filter("g1 < g2 OR b1 <= b2")
-    left = blocks.select(F.col("g").alias("g1"), F.col("b").alias("b1"), F.col("rows").alias("l"))
-    right = blocks.select(F.col("g").alias("g2"), F.col("b").alias("b2"), F.col("rows").alias("r"))
-    joined = work.join(left, ["g1", "b1"]).join(right, ["g2", "b2"]).select((F.struct("g1", "b1") == F.struct("g2", "b2")).alias("same"), "l", "r")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for same, l, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = [np.array([x["id"] for x in side], np.int64) for side in (l, r)]
-                m = [np.frombuffer(b"".join(x["v"] for x in side)).reshape(len(side), -1) for side in (l, r)]
-                score = m[0] @ m[1].T
-                i, j = np.nonzero(score > threshold)
-                a, b, s = ids[0][i], ids[1][j], score[i, j]
-                keep = a < b if same else a != b
-                a, b, s = a[keep], b[keep], s[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "score"])
-
-    return joined.mapInArrow(multiply, "a long, b long, score double")
+    pairs, members = similar_classes(vectors, threshold, id_col)
+    one, two = (members.select(F.col("id").alias(f"id_{c}"), F.col("rep").alias(c)) for c in "ab")
+    apart = pairs.join(one, "a").join(two, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "score")
+    copies = one.join(two.withColumnRenamed("b", "a"), "a").filter("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(1.0).alias("score"))
+    return apart.unionByName(copies)
 
 
 def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -200,8 +159,10 @@ def clusters(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id"
 
     A cluster's id and representative is its least id, that inserted first.
     """
-    nodes = vectors.select(F.col(id_col).cast("long").alias("id")).distinct()
-    found = labels(nodes, similar_pairs(vectors, threshold, id_col))
+    members = staged(metric.distinct(vectors, threshold, id_col), "distinct-vectors")
+    reps = members.filter("id = rep").select("id", "v")
+    of_reps = labels(reps, metric.edges(reps, threshold)).withColumnRenamed("id", "rep")
+    found = members.select("id", "rep").distinct().join(of_reps, "rep").select("id", "label")
     placed = dense_ids(found, ["label", "id"], "__n")
     groups = placed.groupBy("label").agg(F.min("__n").alias("__first"), F.count(F.lit(1)).alias("size"))
     return placed.join(groups, "label").select(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, latex, rewrite, text
-from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, validate, vectors
+from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, validate, vector_index, vectors
 from quire.plans import rules, surrogates
+from quire.staging import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,6 +766,13 @@ def d5_top_k(spark, sf_dir):
     return vectors.top_k_each(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def d10_index_search(spark, sf_dir):
+    """The ten vectors most like every fiftieth one, by an index of all vectors written for it."""
+    index = vector_index.build(table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/quire/index-{uuid.uuid4().hex}")
+    return vector_index.search(index, _asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 @query(_best(10, "a.label = 3"))
 def d7_top_k_of_label(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
