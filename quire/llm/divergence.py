@@ -1,8 +1,8 @@
 """Audit of how sources of a language differ in the terms they use.
 
-Terms are counted once over all texts.  Counts are then put in order by language
-and term over ranges, and each range is encoded with integer dictionaries: a
-chunk holds a sorted array of kept terms, ids are places in it, and counts of a
+Terms are counted once over all texts.  Counts of kept terms are then put in
+order by language and term over ranges, and each range is encoded with integer
+dictionaries: a chunk holds a sorted array of kept terms, ids are places in it, and counts of a
 group are a bincount over ids.  Ids keep the order of terms, so chunks become
 dense vectors of all groups, and of equal values the smaller id comes first.
 """
@@ -30,6 +30,8 @@ SCALE = 1_000_000_000
 HELD_TERMS = 500_000
 #: Terms of a chunk at most, and cells of its dense vectors.
 CHUNK_TERMS, CHUNK_CELLS = 4096, 1 << 20
+#: Shares of a group's best terms that are ranked apart.
+SHARES = 32
 #: Rows of one Arrow batch that a task gives.
 ROWS = 50_000
 #: Groups whose totals are sent to all tasks at once; more are joined.
@@ -73,8 +75,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _encoded(least: int, width: int):
-    """Chunks of *width* kept terms from rows (lang, term, source, n, df) in order.
+def _encoded(width: int):
+    """Chunks of *width* kept terms from rows (lang, term, source, n) in order.
 
     For each chunk a row with its terms, and one for each source that has some:
     ids and counts.
@@ -97,15 +99,12 @@ def _encoded(least: int, width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["lang", "part", "seq", "source", "terms", "ids", "counts"])
 
         for (of, term), group in groupby(_rows(batches), lambda r: r[:2]):
-            found = [r[2:] for r in group]
-            if sum(df for _, _, df in found) < least:
-                continue
             if kept and (of != lang or len(kept) >= width):
                 yield from flush()
                 kept, rows, seq = [], {}, seq + 1
             lang = of
             kept.append(term)
-            for source, n, _ in found:
+            for _, _, source, n in group:
                 ids, counts = rows.setdefault(source, ([], []))
                 ids.append(term.encode())
                 counts.append(n)
@@ -200,10 +199,13 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -
     widest = sizes.agg(F.max("n")).first()[0] or 1
     width = max(1, min(CHUNK_TERMS, CHUNK_CELLS // widest))
 
-    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, df long")
-    counted = staged(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "term-counts")
-    ordered = counted.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").select("lang", "term", "source", "n", "df")
-    chunks = staged(ordered.mapInArrow(_encoded(least, width), "lang string, part int, seq int, source string, terms array<string>, ids array<int>, counts array<long>"), "chunks")
+    # one shuffle by (lang, term) serves the sums of sources and of languages; rare terms end there
+    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, df long").repartition("lang", "term")
+    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    in_lang = F.sum("df").over(Window.partitionBy("lang", "term"))
+    kept = staged(counted.withColumn("df", in_lang).filter(F.col("df") >= least).select("lang", "term", "source", "n"), "kept-counts")
+    ordered = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    chunks = staged(ordered.mapInArrow(_encoded(width), "lang string, part int, seq int, source string, terms array<string>, ids array<int>, counts array<long>"), "chunks")
 
     of_groups = chunks.filter("source IS NOT NULL").groupBy("lang", "source").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("total"))
     vocabulary = chunks.groupBy("lang").agg(F.sum(F.when(F.col("terms").isNotNull(), F.size("terms")).otherwise(0)).alias("vocabulary"))
@@ -220,8 +222,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -
     found = dealt.mapInArrow(_compared(top), "lang string, source string, part string, item string, value long")
 
     summed = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return summed.withColumn("rank", rank).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", "source", "part", *by).orderBy(F.desc("value"), "item"))
+    best = (F.col("part") == "pair") | (F.col("rank") <= top)
+    # a group's terms are ranked in shares first, so that those of many chunks do not meet in one task
+    few = summed.withColumn("rank", rank(F.pmod(F.xxhash64("item"), F.lit(SHARES)))).filter(best)
+    return few.withColumn("rank", rank()).filter(best)
 
 
 #: The query on ``documents``, for DuckDB.

@@ -212,7 +212,9 @@ def audit(docs: DataFrame) -> DataFrame:
     """
     fields = [F.col(f"`{c}`") for c in FIELDS]
     changed = [*fields[:-1], tampered(F.col("doc_id"), F.col("text"))]
-    m = build(docs.select("doc_id", "source", leaf(fields).alias("leaf"), leaf(changed).alias("found")))
+    # staged, as texts would else be read again to find the ranges in which leaves are put in order
+    leaves = staged(docs.select("doc_id", "source", leaf(fields).alias("leaf"), leaf(changed).alias("found")), "merkle-digests")
+    m = build(leaves)
     rows = proofs(m).select(
         "doc_id", "leaf", "subroot", "root", F.sha2(siblings("path"), 256).alias("proof_sha256"), folded("found", "path").alias("folded_root")
     )
