@@ -15,6 +15,7 @@ of a group of near copies, then only sets of different components meet.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from itertools import groupby
@@ -146,7 +147,7 @@ def _meetings(rows: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2"), F.sum("rest").alias("rest")
     )
     first = alike.groupBy("n", "x1", "x2").agg(F.max_by("h", "rest").alias("h")).select("h", "n")
-    return staged(_joined(met.drop("n"), staged(first, "first"), ["h"], met.count()), "meetings")
+    return staged(_joined(met.drop("n"), staged(first, "first"), ["h"], met.count()), "meetings", keep=True)
 
 
 class Tree:
@@ -268,9 +269,19 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
     A group's sets are cut into tries of TREE_SETS and its walks into parts of
     WALKS, and each part walks down each trie; *pos* is where a set begins.
     """
-    size = lambda df, name: df.groupBy("g", "kind").agg(F.count(F.lit(1)).alias(name))
-    sizes = size(trees, "n_trees").join(size(walks, "n_walks"), ["g", "kind"])
-    grid = sizes.select("g", "kind", F.ceil(F.col("n_trees") / TREE_SETS).alias("blocks"), F.ceil(F.col("n_walks") / WALKS).alias("parts"), (F.col("n_trees") + F.col("n_walks")).alias("n"))
+    def size(df: DataFrame, of: str) -> DataFrame:
+        found = df.groupBy("g", "kind").agg(
+            F.count(F.lit(1)).alias(f"n_{of}"), F.min("label").alias(f"lo_{of}"), F.max("label").alias(f"hi_{of}"),
+            F.bit_xor(F.xxhash64("rep")).alias(f"x_{of}"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias(f"y_{of}"), F.sum("pos").alias(f"pos_{of}"),
+        )
+        return found
+
+    sizes = size(trees, "trees").join(size(walks, "walks"), ["g", "kind"])
+    several = F.least("lo_trees", "lo_walks") < F.greatest("hi_trees", "hi_walks")
+    # of groups with the same sets the one that begins first has them whole from what any two of them share
+    alike = [f"{what}_{of}" for of in ("trees", "walks") for what in ("n", "x", "y")]
+    first = sizes.filter(several).groupBy(*alike).agg(F.min_by(F.struct("g", "kind"), F.struct(F.col("pos_trees") + F.col("pos_walks"), "g", "kind")).alias("of"))
+    grid = first.select("of.*", F.ceil(F.col("n_trees") / TREE_SETS).alias("blocks"), F.ceil(F.col("n_walks") / WALKS).alias("parts"), (F.col("n_trees") + F.col("n_walks")).alias("n"))
     grid = staged(grid, "grid")
     # salted, so that equal ids in several groups do not fall into the same places
     place = lambda of: F.pmod(F.xxhash64("rep", "g"), F.col(of)).cast("int")
@@ -279,7 +290,8 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
     left = _joined(trees, grid, ["g", "kind"], trees.count()).select("g", "kind", place("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("side"), *rest)
     right = _joined(walks, grid, ["g", "kind"], walks.count()).select("g", "kind", every("blocks").alias("block"), place("parts").alias("part"), F.lit(1).alias("side"), *rest)
     keys = ["g", "kind", "block", "part"]
-    dealt = left.unionByName(right).join(sets, "rep").select(*keys, "side", "rep", "label", "total", F.expr("substring(s, 8 * pos + 1)").alias("s"))
+    places = staged(left.unionByName(right), "places")
+    dealt = _sent(places, places.count()).join(sets, "rep").select(*keys, "side", "rep", "label", "total", F.expr("substring(s, 8 * pos + 1)").alias("s"))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side")
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     return dealt.mapInArrow(_walked(sent, percent), "a long, b long")
@@ -287,8 +299,8 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
 
 def _labels(docs: DataFrame, reps: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """(node, label) of the sets in *reps* (doc_id) that are linked with others."""
-    rows = staged(_prefixes(docs, reps, counts, percent), "prefixes")
-    met = _meetings(rows)
+    with scratch(docs.sparkSession):
+        met = _meetings(staged(_prefixes(docs, reps, counts, percent), "prefixes"))
     sets = staged(_sets(docs, staged(met.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), counts), "sets")
 
     # every set with the most met one at each of its shingles
@@ -312,10 +324,17 @@ def _labels(docs: DataFrame, reps: DataFrame, counts: np.ndarray, percent: int)
     apart = staged(apart.filter("labels > 1 AND any").select("h", "major", "n"), "apart")
     apart = staged(_joined(named, apart, ["h"], named.count()).withColumn("is_major", F.col("label") == F.col("major")), "apart-members")
     columns = (F.col("h").alias("g"), F.col("kind"), "rep", "label", "total", "pos")
-    # kind 0: the smaller set of a pair, if not of the largest component there, meets all; kind 1: other sets meet that component's smaller ones
-    trees = apart.withColumn("kind", F.explode(F.when(F.col("is_major") & F.col("short"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(*columns)
-    walks = apart.filter("NOT is_major").withColumn("kind", F.when(F.col("short"), 0).otherwise(1)).select(*columns)
-    walks = walks.unionByName(apart.filter("NOT is_major AND short").withColumn("kind", F.lit(1)).select(*columns))
+    # sets whose sizes differ by more than the threshold do not meet: kinds are bands of sizes, two for each
+    size = F.log("total") / max(math.log(100 / percent), 0.01)
+    band = lambda of: F.floor(of).cast("int")
+    bands = lambda lo, hi: F.sequence(band(lo - 1e-9), band(hi + 1e-9))
+    # even: the smaller set of a pair, if not of the largest component there, meets all; odd: other sets meet that component's smaller ones
+    even, odd = lambda b: 2 * b, lambda b: 2 * b + 1
+    short_of_major = F.col("is_major") & F.col("short")
+    trees = apart.withColumn("kind", F.explode(F.when(short_of_major, F.array(even(band(size)), odd(band(size)))).otherwise(F.array(even(band(size)))))).select(*columns)
+    others = apart.filter("NOT is_major")
+    walks = others.filter("short").withColumn("kind", F.explode(F.transform(bands(size, size + 1), even))).select(*columns)
+    walks = walks.unionByName(others.withColumn("kind", F.explode(F.transform(bands(size - 1, size), odd))).select(*columns))
     links = staged(_join(trees, walks, sets, counts, percent), "links")
     return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
 
