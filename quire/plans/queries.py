@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, latex, rewrite, text
-from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, validate, vector_index, vectors
+from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, text_index, validate, vector_index, vectors
 from quire.plans import rules, surrogates
 from quire.staging import shared_dir
 
@@ -62,6 +62,16 @@ def p1_text_search(spark, sf_dir):
     return text.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "License")
 
 
+@query("""SELECT p.doc_id AS phrase_id, d.doc_id AS id FROM documents d
+  JOIN (SELECT doc_id, lower(substr(text, CAST(floor(length(text) / 2) AS BIGINT) + 1, 20)) AS phrase FROM documents WHERE doc_id % 50 = 0) p ON length(phrase) > 0 AND contains(lower(d.text), phrase)""")
+def p1_index_search(spark, sf_dir):
+    """A phrase from the middle of every fiftieth document, in all documents, by an index written for it."""
+    docs = table(spark, sf_dir, "documents")
+    index = text_index.build(docs, f"{shared_dir(spark)}/quire/texts-{uuid.uuid4().hex}")
+    middle = F.floor(F.length("text") / 2).cast("int") + 1
+    return text_index.search(index, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("phrase_id"), F.substring("text", middle, F.lit(20)).alias("phrase")))
+
+
 @query("SELECT DISTINCT file FROM ann WHERE contains(lower(file), 'pp_1')", ann=ANN)
 def p2_file_search(spark, sf_dir):
     return ann(spark, sf_dir).select("file").distinct().filter(text.contains_ci("file", "PP_1"))
