@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,8 +77,70 @@ def _base(file: Column | str) -> Column:
     return F.element_at(F.split(col_of(file), "/"), -1)
 
 
+def _run(a: str, b: str, i: int, j: int) -> int:
+    """How many letters from a[i] and b[j] on agree: strides double while they do, then halve."""
+    start, step = i, 8
+    while (part := a[i : i + step]) and part == b[j : j + step]:
+        i, j, step = i + len(part), j + len(part), 2 * step
+    while step > 1:
+        step //= 2
+        if (part := a[i : i + step]) and part == b[j : j + step]:
+            i, j = i + len(part), j + len(part)
+    return i - start
+
+
+def _differences(a: str, b: str, most: int, replacing: bool) -> int | None:
+    """Letters to insert, delete and (if *replacing*) replace to make *b* of *a*; None if there are more than *most*.
+
+    For each number of differences the furthest place that each diagonal (place
+    in a less place in b) can reach is kept, so the cost grows with the
+    differences, not with the letters.
+    """
+    goal = len(a) - len(b)
+    if abs(goal) > most:
+        return None
+    reach = {0: _run(a, b, 0, 0)}
+    for n in range(most + 1):
+        if reach.get(goal, -1) >= len(a):
+            return n
+        after: dict[int, int] = {}
+        left = most - n - 1
+        for k in range(max(-n - 1, goal - left), min(n + 1, goal + left) + 1):
+            i = max(reach.get(k - 1, -2) + 1, reach.get(k + 1, -1), reach.get(k, -2) + 1 if replacing else -1)
+            i = min(i, len(a), len(b) + k)
+            if i >= max(0, k):
+                after[k] = i + _run(a, b, i, i - k)
+        reach = after
+    return None
+
+
+def _worth(a: str, b: str) -> int:
+    """Differences up to which diagonals are cheaper than ``len(b)`` steps on numbers of ``len(a)`` bits."""
+    return math.isqrt(len(b) * (4 + len(a) // 4096)) // 4
+
+
+def _apart(a: str, b: str) -> int:
+    """Differences that there are at least, from how often letters occur."""
+    have, want = Counter(a), Counter(b)
+    return max((have - want).total(), (want - have).total())
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str, int]:
+    """Both texts without the beginning and the end that they share, and its length."""
+    head = _run(a, b, 0, 0)
+    a, b = a[head:], b[head:]
+    tail = _run(a[::-1], b[::-1], 0, 0)
+    return a[: len(a) - tail], b[: len(b) - tail], head + tail
+
+
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel steps."""
+    """Length of the longest common subsequence: by the differences if they are few, else by bit-parallel steps."""
+    a, b, shared = _trimmed(a, b)
+    if not a or not b:
+        return shared
+    most = _worth(a, b)
+    if _apart(a, b) <= most and (n := _differences(a, b, most, False)) is not None:
+        return shared + (len(a) + len(b) - n) // 2
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | 1 << i
@@ -84,7 +148,7 @@ def _common(a: str, b: str) -> int:
     for ch in b:
         hit = row & places.get(ch, 0)
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return shared + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -120,13 +184,16 @@ def band(score: Column | str) -> Column:
 
 
 def edits(a: str, b: str) -> int:
-    """Edit distance, by bit-parallel steps: the differences of a column's cells are the bits of two numbers."""
-    least = min(len(a), len(b))
-    head = next((i for i in range(least) if a[i] != b[i]), least)
-    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    """Edit distance: by the differences if they are few, else by bit-parallel steps.
+
+    In the latter the differences of a column's cells are the bits of two numbers.
+    """
+    a, b, _ = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
+    most = _worth(a, b)
+    if _apart(a, b) <= most and (n := _differences(a, b, most, True)) is not None:
+        return n
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | 1 << i
@@ -152,8 +219,8 @@ def _error_rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 def character_error_rate(reference: Column | str, hypothesis: Column | str) -> Column:
     """Edit distance over the reference's length, blanks left out; for an empty reference 0 or 1.
 
-    Texts may be long: the steps are the characters of one, each on all bits of
-    the other.
+    Texts may be long: like ones cost by their differences, unlike ones a step
+    for each character of one on all bits of the other.
     """
     return _error_rate(col_of(reference), col_of(hypothesis))
 
