@@ -1,17 +1,23 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Test items are normalised to words; each window of ten words (or a whole
-shorter item) is a key of one automaton over word numbers.  Every text is
-scanned once, and hits are mapped back to places in the original text.
+Test items are normalised to words, and words to numbers.  Each window of ten
+words (or a whole shorter item) is looked for by its rarest three words, its
+anchor, and neighbouring windows mostly have the same one.  The automaton holds
+all anchors, so a benchmark of any size is scanned for once and takes few nodes
+for each window; where an anchor is met, the item and the text are compared to
+both sides, and hits are mapped back to places in the original text.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import repeat
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +25,8 @@ from pyspark.sql import types as T
 from quire.llm.common import append_columns, field, keeping_columns, of_worker
 
 WINDOW = 10
-#: Items' bytes in one automaton, which is broadcast; larger benchmarks are
-#: scanned for in several blocks, each with an automaton of its own.
-BLOCK_BYTES = 8 << 20
+#: Words of an anchor; shorter items are their own.
+ANCHOR = 3
 
 #: Bytes of UTF-8 that belong to no word become blanks, A-Z becomes a-z.
 _NORMAL = bytes(
@@ -35,45 +40,118 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split() if text else []
 
 
-def build(items: Sequence[tuple], window: int = WINDOW) -> tuple[dict[bytes, int], object | None, list[str]]:
-    """(word numbers, automaton or None, item ids as strings) of (item_id, text) rows.
+@dataclass
+class Items:
+    """A benchmark as arrays: what is sent to all tasks, eight bytes a word or so."""
 
-    Rows without a word, with a null text or a null id have no windows.
-    """
+    key: str
+    words: list[bytes]  # word n + 1
+    numbers: np.ndarray  # of the items' words, one item after another
+    starts: np.ndarray  # of items, and the end
+    ids: list[str]
+    anchors: np.ndarray  # places where windows have their anchors
+    window: int
+
+
+def pack(items: Iterable[tuple], window: int = WINDOW) -> Items:
+    """Rows (item_id, text) as arrays; those without a word, with a null text or a null id have no windows."""
     number: dict[bytes, int] = {}
-    keys: dict[tuple, set[int]] = {}
-    ids: list[str] = []
+    parts, ids = [np.zeros(0, np.int32)], []
     for item_id, text in items:
-        found = tuple(number.setdefault(w, len(number) + 1) for w in words(text))
-        if not found or item_id is None:
-            continue
-        for i in range(max(1, len(found) - window + 1)):
-            keys.setdefault(found[i : i + window], set()).add(len(ids))
-        ids.append(str(item_id))
-    if not keys:
-        return number, None, ids
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, owners in keys.items():
-        automaton.add_word(key, (len(key), tuple(sorted(owners))))
-    automaton.make_automaton()
-    return number, automaton, ids
-
-
-def _scan(sent, window: int):
-    """A function from texts and earlier blocks' findings to word counts, hit words, items and spans."""
-    number, automaton, ids = of_worker(("items", sent.value[0], window), lambda: build(sent.value[1], window))
-    get = number.get
-
-    def scan(texts, before_hits=None, before_items=None):
+        found = words(text)
+        if found and item_id is not None:
+            parts.append(np.array([number.setdefault(w, len(number) + 1) for w in found], np.int32))
+            ids.append(str(item_id))
+    numbers = np.concatenate(parts)
+    starts = np.cumsum([len(p) for p in parts])
+    return Items(uuid.uuid4().hex, list(number), numbers, starts, ids, _anchors(numbers, starts, window), window)
+
+
+def _anchors(numbers: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The place of each window's anchor: that of its rarest words, of equally rare ones by a hash, then the first."""
+    n = max(0, len(numbers) - ANCHOR + 1)
+    grams = np.zeros(n, np.uint64)
+    for j in range(ANCHOR):
+        grams = (grams + numbers[j : j + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    order = np.empty(n, np.int64)
+    order[np.lexsort((np.arange(n), grams, counts[inverse]))] = np.arange(n)
+    sizes = np.diff(starts)
+    chosen = [starts[:-1][(sizes > 0) & (sizes < ANCHOR)]]  # shorter than an anchor
+    for size in range(ANCHOR, window + 1):
+        # windows of this many words: all of longer items for the full size, else whole items
+        if size < window:
+            first = starts[:-1][sizes == size]
+        else:
+            long = sizes >= window
+            each = sizes[long] - window + 1
+            first = np.repeat(starts[:-1][long] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        best = first
+        for j in range(1, size - ANCHOR + 1):
+            best = np.where(order[first + j] < order[best], first + j, best)
+        chosen.append(best)
+    return np.unique(np.concatenate(chosen)).astype(np.int64)
+
+
+class Scanner:
+    """The automaton of a benchmark's anchors, and what surrounds them."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.get = {w: n for n, w in enumerate(items.words, 1)}.get
+        self.numbers, self.starts = items.numbers.tolist(), items.starts.tolist()
+        places = items.anchors
+        self.owner = dict(zip(places.tolist(), (np.searchsorted(items.starts, places, "right") - 1).tolist(), strict=True))
+        at: dict[tuple, list[int]] = {}
+        for p in places.tolist():
+            at.setdefault(tuple(self.numbers[p : min(p + ANCHOR, self.starts[self.owner[p] + 1])]), []).append(p)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if at else None
+        for key, where in at.items():
+            self.automaton.add_word(key, (len(key), where))
+        if at:
+            self.automaton.make_automaton()
+
+    def scan(self, found: list[bytes]) -> tuple[set[int], set[str]]:
+        """Places of hit words, and the ids of items with occurring windows, in the words of a text."""
+        hit: set[int] = set()
+        item: set[str] = set()
+        if self.automaton is None or not found:
+            return hit, item
+        text = tuple(map(self.get, found, repeat(0)))
+        seen: dict[int, int] = {}  # by the shift of text against items: how far that was compared
+        for end, (length, where) in self.automaton.iter(text):
+            d = end - length + 1
+            for p in where:
+                if seen.get(p - d, -1) > d:
+                    continue
+                owner = self.owner[p]
+                lo, hi = self.starts[owner], self.starts[owner + 1]
+                left, right = self._reach(text, d, p, lo, hi)
+                seen[p - d] = d + right
+                if left + right >= min(self.items.window, hi - lo):
+                    hit.update(range(d - left, d + right))
+                    item.add(self.items.ids[owner])
+        return hit, item
+
+    def _reach(self, text: tuple, d: int, p: int, lo: int, hi: int) -> tuple[int, int]:
+        """Words before and from place *d* of the text that agree with those around *p* of the item in [lo, hi)."""
+        numbers, left, right = self.numbers, 0, 0
+        while left < min(d, p - lo) and text[d - left - 1] == numbers[p - left - 1]:
+            left += 1
+        while right < min(len(text) - d, hi - p) and text[d + right] == numbers[p + right]:
+            right += 1
+        return left, right
+
+
+def _scan(sent):
+    """A function from texts to word counts, hit words, items and spans."""
+    scanner = of_worker(("items", sent.value.key), lambda: Scanner(sent.value))
+
+    def scan(texts):
         counts, hits, items, spans = [], [], [], []
-        for row, text in enumerate(texts):
+        for text in texts:
             found = words(text)
-            hit = set(before_hits[row]) if before_hits else set()
-            item = set(before_items[row]) if before_items else set()
-            if automaton is not None and found:
-                for end, (length, owners) in automaton.iter(tuple([get(w, 0) for w in found])):
-                    hit.update(range(end - length + 1, end + 1))
-                    item.update(map(ids.__getitem__, owners))
+            hit, item = scanner.scan(found)
             counts.append(len(found))
             hits.append(sorted(hit))
             items.append(sorted(item))
@@ -105,25 +183,17 @@ _FIELDS = [
 ]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """*docs* with n_words, hit_words (word numbers from 0), item_ids and spans.
 
     Null or empty texts have no words and no hits; repeated rows are repeated;
     texts are scanned whole, however long.  An empty benchmark hits nothing.
-    Columns of *docs* with those four names are replaced.  The benchmark's size
-    is measured first: it is broadcast in blocks of at most *block_bytes*
-    (a single longer item is a block of its own).
+    Columns of *docs* with those four names are replaced.  The benchmark, a
+    table of test items, is sent to all tasks as arrays of word numbers.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     pairs = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
-    out = docs
-    for n in range(blocks):
-        part = pairs if blocks == 1 else pairs.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
-        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part.collect()]))
-        inputs = ["text"] if n == 0 else ["text", "hit_words", "item_ids"]
-        out = append_columns(out, inputs, lambda sent=sent: _scan(sent, window), _FIELDS)
-    return out
+    sent = docs.sparkSession.sparkContext.broadcast(pack((tuple(r) for r in pairs.toLocalIterator()), window))
+    return append_columns(docs, ["text"], lambda: _scan(sent), _FIELDS)
 
 
 def digest(found: DataFrame) -> DataFrame:
