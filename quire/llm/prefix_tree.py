@@ -65,6 +65,20 @@ def ordered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, counts[_slot(hashes)]))]
 
 
+#: Bytes of a hash that sets are compared by, the upper ones; slots and order need no others.
+BYTES = 6
+
+
+def _to_bytes(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()
+
+
+def _from_bytes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // BYTES, 8), np.uint8)
+    wide[:, 8 - BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return wide.view("<u8").ravel()
+
+
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, k1, k2) of each document, and rows (slot, n) of how many documents' shingles fall there.
 
@@ -129,7 +143,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [ordered(h, sent.value).tobytes() for h in shingle_sets(batch.column(1).to_pylist())]
+            sets = [_to_bytes(ordered(h, sent.value)) for h in shingle_sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "s"])
 
     return _texts(docs, wanted).mapInArrow(run, "rep long, s binary")
@@ -209,7 +223,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _walked(counts, percent: int):
-    """Links (a, b) from rows (group.., side, rep, label, total, s) in order: the sets of a trie, then those that walk down it."""
+    """Links (a, b) from rows (group.., side, walks, rep, label, total, s) in order: the sets of a trie (side 0), then those that only walk down it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(_rows(batches), lambda r: r[:4]):
@@ -229,28 +243,38 @@ def _walked(counts, percent: int):
                 above[label] = label = above.get(up, up)
             return label
 
-        for *_, side, rep, label, total, s in group:
-            h = np.frombuffer(s, "<u8")
-            if side == 0:
-                held.append((rep, label, total, h))
-                continue
-            if not held:
-                continue
-            if tree is None:
-                tree, known = _tree(held, counts.value)
-            own = root(label)
+        def inner():
+            for rep, label, total, h, walks in held:
+                if walks:
+                    yield from one(rep, label, total, h)
+
+        def one(rep, label, total, h):
             for m, shared in tree.walk(known(h), total, percent, lambda other: root(other) == root(label)):
-                y, other, size, _ = held[m]
+                y, other, size, *_ = held[m]
                 if (100 + percent) * shared >= percent * (total + size) and root(other) != (own := root(label)):
                     above[root(other)] = own
                     yield rep, y
 
+        for *_, side, walks, rep, label, total, s in group:
+            h = _from_bytes(s)
+            if side == 0:
+                held.append((rep, label, total, h, walks))
+                continue
+            if tree is None and held:
+                tree, known = _tree(held, counts.value)
+                yield from inner()
+            if tree is not None:
+                yield from one(rep, label, total, h)
+        if tree is None and held:
+            tree, known = _tree(held, counts.value)
+            yield from inner()
+
     return run
 
 
 def _tree(held: list[tuple], counts: np.ndarray):
-    """The trie of (rep, label, total, hashes), and a function from hashes to the numbers that its sets know."""
-    hashes = [h for *_, h in held]
+    """The trie of (rep, label, total, hashes, ..), and a function from hashes to the numbers that its sets know."""
+    hashes = [x[3] for x in held]
     found, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     rank = np.empty(len(found), np.int32)
     rank[np.lexsort((found, counts[_slot(found)]))] = np.arange(len(found), dtype=np.int32)
@@ -260,7 +284,7 @@ def _tree(held: list[tuple], counts: np.ndarray):
         at = np.minimum(np.searchsorted(found, h), len(found) - 1)
         return rank[at[found[at] == h]]
 
-    return Tree(numbers, [t for _, _, t, _ in held], [label for _, label, _, _ in held]), known
+    return Tree(numbers, [x[2] for x in held], [x[1] for x in held]), known
 
 
 def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -269,6 +293,7 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
     A group's sets are cut into tries of TREE_SETS and its walks into parts of
     WALKS, and each part walks down each trie; *pos* is where a set begins.
     """
+
     def size(df: DataFrame, of: str) -> DataFrame:
         found = df.groupBy("g", "kind").agg(
             F.count(F.lit(1)).alias(f"n_{of}"), F.min("label").alias(f"lo_{of}"), F.max("label").alias(f"hi_{of}"),
@@ -287,11 +312,13 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
     place = lambda of: F.pmod(F.xxhash64("rep", "g"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), (F.col(of) - 1).cast("int")))
     rest = ("rep", "label", "total", "pos")
+    keys = ["g", "kind", "block", "part"]
     left = _joined(trees, grid, ["g", "kind"], trees.count()).select("g", "kind", place("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("side"), *rest)
     right = _joined(walks, grid, ["g", "kind"], walks.count()).select("g", "kind", every("blocks").alias("block"), place("parts").alias("part"), F.lit(1).alias("side"), *rest)
-    keys = ["g", "kind", "block", "part"]
-    places = staged(left.unionByName(right), "places")
-    dealt = _sent(places, places.count()).join(sets, "rep").select(*keys, "side", "rep", "label", "total", F.expr("substring(s, 8 * pos + 1)").alias("s"))
+    # a set that is in a trie and walks down it goes there once
+    once = left.unionByName(right).groupBy(*keys, *rest).agg(F.min("side").alias("side"), (F.max("side") == 1).alias("walks"))
+    places = staged(once, "places")
+    dealt = _sent(places, places.count()).join(sets, "rep").select(*keys, "side", "walks", "rep", "label", "total", F.substring("s", BYTES * F.col("pos") + 1, F.lit(2**31 - 1)).alias("s"))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side")
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     return dealt.mapInArrow(_walked(sent, percent), "a long, b long")
@@ -343,7 +370,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by *percent* of common shingles or more, and what they reach.
 
     A set is a text's distinct shingles of five words, or all words of a shorter
-    text; shingles are told apart by 64-bit hashes.  A text without words (null,
+    text; shingles are told apart by 64-bit hashes, of which 48 bits are compared
+    between texts.  A text without words (null,
     empty, blank) has an empty set and is linked with nothing.  Equal sets are
     one.  Of rows with the same doc_id one counts (``minhash.one_row_each``); a
     row with a null doc_id links nothing and has a null component.  Ids are
