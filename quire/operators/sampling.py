@@ -89,3 +89,14 @@ def training_reason(category: Column, text: Column, width: Column, height: Colum
 
 def skip_reasons(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.filter(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def draws(item: str, key: str, k: int, seed: int = 42) -> Column:
+    """An aggregate: min(k, rows) of a group's *item*, drawn with replacement by hashes of seed, draw and *key*.
+
+    Each draw is the row with the least md5, so tasks keep k rows of a group,
+    merging keeps the least, and no partitioning changes the sample.  Rows with
+    the same key are one; nulls are not drawn.
+    """
+    of = lambda n: F.min_by(item, F.md5(F.concat(F.lit(f"{seed}|{n}|"), F.col(key).cast("string"))))
+    return F.slice(F.array_compact(F.array(*map(of, range(k)))), F.lit(1), F.least(F.lit(k), F.count(key)).cast("int"))

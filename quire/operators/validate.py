@@ -141,14 +141,44 @@ def dangling_references(ann: DataFrame) -> DataFrame:
 
 
 def _inside(parents: DataFrame, children: DataFrame, least: float) -> DataFrame:
-    """Pairs on a page of which the parent covers the child by *least* or more; boxes that do not meet are left out first."""
+    """Pairs on a page of which the parent covers the child by *least* or more; boxes that do not meet are left out first.
+
+    A page with many blocks is cut into cells, a box goes to all cells that it
+    touches, and a pair is made in the first cell that both touch, so that no
+    page is one task's.
+    """
     p = parents.filter("poly_len >= 6").select("file", "category", "anno_id", F.col("poly").alias("p_poly"), geometry.box("poly").alias("p_box"))
-    c = children.filter("poly_len >= 6").select(F.col("file").alias("c_file"), F.col("anno_id").alias("child_id"), F.col("poly").alias("c_poly"), geometry.box("poly").alias("c_box"))
+    c = children.filter("poly_len >= 6").select("file", F.col("anno_id").alias("child_id"), F.col("poly").alias("c_poly"), geometry.box("poly").alias("c_box"))
+    boxes = p.select("file", F.col("p_box").alias("b")).union(c.select("file", "c_box"))
+    side = F.least(F.lit(CELLS), F.ceil(F.sqrt(F.count(F.lit(1)) / CELL_BOXES))).cast("int")
+    pages = boxes.groupBy("file").agg(side.alias("side"), F.min("b.x1").alias("x0"), F.min("b.y1").alias("y0"), F.max("b.x2").alias("xn"), F.max("b.y2").alias("yn"))
+    keys = ["file", "cx", "cy"]
+    pairs = _in_cells(p.join(pages, "file"), "p_box").join(_in_cells(c.join(pages, "file"), "c_box").drop("category"), keys)
     meets = (F.col("p_box.x1") < F.col("c_box.x2")) & (F.col("c_box.x1") < F.col("p_box.x2")) & (F.col("p_box.y1") < F.col("c_box.y2")) & (F.col("c_box.y1") < F.col("p_box.y2"))
-    pairs = p.join(c, (F.col("file") == F.col("c_file")) & (F.col("anno_id") != F.col("child_id")) & meets)
+    first = (F.col("cx") == F.greatest("p_box_cx", "c_box_cx")) & (F.col("cy") == F.greatest("p_box_cy", "c_box_cy"))
+    pairs = pairs.filter((F.col("anno_id") != F.col("child_id")) & meets & first)
+    pairs = pairs.select("file", "category", "anno_id", "p_poly", "child_id", "c_poly")
     return geometry.with_overlap(pairs, "p_poly", "c_poly").filter(F.col("ioa") >= least)
 
 
+#: Cells of a page along one side at most, and boxes of a cell, about.
+CELLS, CELL_BOXES = 16, 32
+
+
+def _in_cells(rows: DataFrame, box: str) -> DataFrame:
+    """*rows* (.., *box*, side, x0, y0, xn, yn) once for each cell (cx, cy) that the box touches, with its first cell."""
+
+    def cell(of: str, lo: str, hi: str) -> Column:
+        share = F.try_divide((F.col(f"{box}.{of}") - F.col(lo)) * F.col("side"), F.col(hi) - F.col(lo))
+        return F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0))).cast("int"), F.lit(0)), F.col("side") - 1)
+
+    along = F.explode(F.sequence(cell("x1", "x0", "xn"), cell("x2", "x0", "xn"))).alias("cx")
+    down = F.explode(F.sequence(F.col(f"{box}_cy"), F.col("__last"))).alias("cy")
+    kept = [c for c in rows.columns if c not in ("side", "x0", "y0", "xn", "yn")]
+    first = rows.select(*kept, cell("x1", "x0", "xn").alias(f"{box}_cx"), cell("y1", "y0", "yn").alias(f"{box}_cy"), cell("y2", "y0", "yn").alias("__last"), along)
+    return first.select(*kept, f"{box}_cx", f"{box}_cy", "cx", down)
+
+
 def missing_table_references(ann: DataFrame, least: float = rules.SPATIAL_OVERLAP) -> DataFrame:
     """Figures, charts and tables that lie in a table whose markup does not refer to them by annotation id."""
     pairs = _inside(ann.filter("category = 'table'"), ann.filter("category IN ('figure', 'chart', 'table')"), least)

@@ -931,6 +931,16 @@ def w6_label_numbers(spark, sf_dir):
     return numbered.select("doc_id", "id", F.format_string("images/%07d.jpg", "id").alias("image"))
 
 
+_DRAW = "min_by(doc_id, md5(concat('42|', {0}, '|', doc_id)))"
+
+
+@query(f"""SELECT lang, source, CAST(count(*) AS BIGINT) AS n, array_to_string(list_slice([{", ".join(_DRAW.format(i) for i in range(3))}], 1, least(3, count(*))), ',') AS examples
+  FROM documents GROUP BY lang, source""")
+def w9_random_examples(spark, sf_dir):
+    drawn = F.array_join(F.transform(sampling.draws("doc_id", "doc_id", 3), lambda v: v.cast("string")), ",")
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(count(), drawn.alias("examples"))
+
+
 @query("SELECT source, c_lang AS lang, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS share FROM (SELECT source, lang AS c_lang, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL)")
 def w5_shares(spark, sf_dir):
     counted = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(count())
