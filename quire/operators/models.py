@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.staging import staged
+
 #: Region labels that are stored, and the vectors' lengths by stage.
 REGION_LABELS = ("signature", "stamp", "table")
 DIMENSIONS = {1: 1024, 2: 768, 3: 768}
@@ -46,25 +48,36 @@ def embed(images: DataFrame, load: Load, key: str = "doc_id", content: str = "co
     """doc_id, embedding (unit length), error: ``load()`` gives a function from bytes to numbers."""
 
     def rows(model: Callable, row: dict) -> list[tuple]:
-        v = [float(x) for x in model(row[content])]
-        norm = sum(x * x for x in v) ** 0.5 + 1e-6
-        return [(row[key], [x / norm for x in v])]
+        return [(row[key], _unit(model(row[content])))]
 
     return _each(images, [key, content], load, "doc_id string, embedding array<double>, error string", rows)
 
 
-def regions(images: DataFrame, load: Load, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """doc_id, label, embedding, error of each stored region.
+def _unit(numbers: Sequence) -> list[float]:
+    v = [float(x) for x in numbers]
+    norm = sum(x * x for x in v) ** 0.5 + 1e-6
+    return [x / norm for x in v]
+
+
+def regions(images: DataFrame, load: Load, key: str = "doc_id", content: str = "content", size: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, label, box, embedding (unit length), error of each stored region.
 
     ``load()`` gives a function from bytes to (label, box, numbers) triples;
-    other labels and boxes without area are left out.
+    other labels are left out.  With the columns of the images' width and height
+    in *size*, boxes are kept inside them; boxes without area are left out.
     """
 
     def rows(model: Callable, row: dict) -> list[tuple]:
-        found = [(label, box, v) for label, box, v in model(row[content]) if label in REGION_LABELS and box[2] > box[0] and box[3] > box[1]]
-        return [(row[key], label, [float(x) for x in v]) for label, _, v in found]
+        out = []
+        for label, box, v in model(row[content]):
+            x1, y1, x2, y2 = map(float, box)
+            if size:
+                x1, y1, x2, y2 = max(0.0, x1), max(0.0, y1), min(float(row[size[0]]), x2), min(float(row[size[1]]), y2)
+            if label.lower() in REGION_LABELS and x2 > x1 and y2 > y1:
+                out.append((row[key], label.lower(), [x1, y1, x2, y2], _unit(v)))
+        return out
 
-    return _each(images, [key, content], load, "doc_id string, label string, embedding array<double>, error string", rows)
+    return _each(images, [key, content, *(size or ())], load, "doc_id string, label string, box array<double>, embedding array<double>, error string", rows)
 
 
 def recognise(crops: DataFrame, load: Load, key: str = "key", content: str = "content", joiner: str = " ") -> DataFrame:
@@ -73,8 +86,11 @@ def recognise(crops: DataFrame, load: Load, key: str = "key", content: str = "co
 
 
 def run_stages(images: DataFrame, loads: dict[int, Load]) -> tuple[dict[int, DataFrame], DataFrame]:
-    """Vectors by stage, of the stages chosen, and a report: per document what each stage made and its errors."""
-    made = {s: (regions if s == 3 else embed)(images, load) for s, load in loads.items()}
+    """Vectors by stage, of the stages chosen, and a report: per document what each stage made and its errors.
+
+    A stage's model sees each image once; what it made is staged.
+    """
+    made = {s: staged((regions if s == 3 else embed)(images, load), f"stage{s}") for s, load in loads.items()}
     report = images.select("doc_id").distinct()
     for stage, df in made.items():
         per = df.groupBy("doc_id").agg(F.count("embedding").alias(f"stage_{stage}"), F.max("error").alias(f"error_{stage}"))

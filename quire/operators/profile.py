@@ -84,15 +84,16 @@ def key_types(df: DataFrame, variant: str, keep: list[str]) -> DataFrame:
     return keys.groupBy(*keep, "key").agg(F.array_join(F.array_sort(F.collect_set(type_name("value"))), ",").alias("types"))
 
 
-def category_report(blocks: DataFrame, longest: int = 32000) -> DataFrame:
-    """Per category and location: blocks, its keys with their types, and the remarks cut at *longest*."""
+def category_report(blocks: DataFrame, longest: int | None = None) -> DataFrame:
+    """Per category and location: blocks, its keys with their types, and the remarks, whole or cut at *longest* (a sheet's cell takes 32,000)."""
     profile = key_remarks(category_profile(blocks))
     types = key_types(blocks, "ann", ["category", "location"])
     both = profile.join(types, ["category", "location", "key"])
     list_of = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "; ")
+    remarks = list_of(F.when(F.col("remark").isNotNull(), F.concat("key", F.lit(" "), "remark")))
     return both.groupBy("category", "location", "n_blocks").agg(
         list_of(F.concat("key", F.lit(": "), "types")).alias("key_types"),
-        F.substring(list_of(F.when(F.col("remark").isNotNull(), F.concat("key", F.lit(" "), "remark"))), 1, longest).alias("remarks"),
+        (remarks if longest is None else F.substring(remarks, 1, longest)).alias("remarks"),
         F.bool_or(F.contains("key", F.lit("merge_list"))).alias("has_merge_list"),
     )
 
@@ -195,9 +196,10 @@ def characters(df: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).withColumn("missing", ~in_charset("ch"))
 
 
-def missing_characters(chars: DataFrame, significant: int = 5, top: int = 50) -> DataFrame:
-    """The commonest characters outside the charset, and whether each is common enough to add."""
-    return chars.filter("missing").withColumn("significant", F.col("n") >= significant).orderBy(F.desc("n"), "ch").limit(top)
+def missing_characters(chars: DataFrame, significant: int = 5, top: int | None = None) -> DataFrame:
+    """The characters outside the charset, commonest first, all or the *top* ones, and whether each is common enough to add."""
+    found = chars.filter("missing").withColumn("significant", F.col("n") >= significant).orderBy(F.desc("n"), "ch")
+    return found if top is None else found.limit(top)
 
 
 def extended_charset(chars: DataFrame, base: DataFrame, significant: int = 5) -> DataFrame:

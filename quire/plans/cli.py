@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import profile, relations, validate
@@ -24,10 +25,10 @@ def main(args: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="command", required=True)
     analyze = commands.add_parser("analyze")
     analyze.add_argument("what", choices=["categories", "key-distributions", "relations", "page-info", "merge-list", "null-order"])
-    analyze.add_argument("dir", nargs="+")
+    analyze.add_argument("dir", nargs="*")
     analyze.add_argument("--keys", nargs="*", default=["category_type"])
     check = commands.add_parser("validate")
-    check.add_argument("dir", nargs="+")
+    check.add_argument("dir", nargs="*")
     data = commands.add_parser("data")
     data.add_argument("what", choices=["split-json"])
     data.add_argument("dir", nargs=1)
@@ -43,7 +44,17 @@ def main(args: list[str] | None = None) -> None:
     if given.out:
         sinks.write_csv(out, given.out, bom=True)
     else:
-        out.show(1000, truncate=80)
+        _show(out)
+
+
+#: Rows that are printed; --out writes all.
+PRINTED = 1000
+
+
+def _show(out: DataFrame) -> None:
+    out.show(PRINTED, truncate=80)
+    if (n := out.count()) > PRINTED:
+        print(f"{PRINTED} of {n} rows; --out writes all")
 
 
 def _profile(pages, what: str, keys: list[str]):

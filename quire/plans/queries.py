@@ -636,7 +636,7 @@ def a18_characters(spark, sf_dir):
     return profile.characters(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT ch, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch NOT BETWEEN ' ' AND '~' AND ch > ' ' AND ch NOT IN ('·','’','“','”','‘','•','…','–','—','°','±','×','÷') AND ch <> '' GROUP BY ch HAVING count(*) >= 5 ORDER BY n DESC, ch LIMIT 50")
+@query("SELECT ch, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch NOT BETWEEN ' ' AND '~' AND ch > ' ' AND ch NOT IN ('·','’','“','”','‘','•','…','–','—','°','±','×','÷') AND ch <> '' GROUP BY ch HAVING count(*) >= 5")
 def u4_significant_missing(spark, sf_dir):
     chars = profile.characters(table(spark, sf_dir, "documents")).filter("ch > ' '")
     return profile.missing_characters(chars).filter("significant").select("ch", "n")

@@ -14,14 +14,33 @@ from pyspark.sql import functions as F
 def read_pages(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
     """path, file, page of each *.json file; page is null where the file is no JSON.
 
-    *recursive* takes in all folders below, else only the given ones.
+    *recursive* takes in all folders below, else only the given ones.  Without
+    *paths* the folder is that of the session's ``quire.data.dir``, else ``data``.
     """
+    paths = paths or (spark.conf.get("quire.data.dir", "data"),)
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", str(recursive).lower())
     text = reader.text(list(paths), wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("page"))
 
 
+_held: dict[tuple, DataFrame] = {}
+
+
+def cached_pages(spark: SparkSession, *paths: str) -> DataFrame:
+    """``read_pages``, read once in this session and kept on executors, in memory or on disk, until ``forget_pages``."""
+    key = (spark.sparkContext.applicationId, paths or (spark.conf.get("quire.data.dir", "data"),))
+    if key not in _held:
+        _held[key] = read_pages(spark, *key[1]).persist()
+    return _held[key]
+
+
+def forget_pages() -> None:
+    """Let go of what ``cached_pages`` keeps, so that changed files are read again."""
+    while _held:
+        _held.popitem()[1].unpersist()
+
+
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
     """path, file, stem of image files, for batches without JSON."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}").load(list(paths))
