@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import json_pieces
 from quire.functions.text import col_of, shortened, strip
 from quire.plans import rules
 
@@ -27,35 +31,17 @@ def is_empty(variant: str) -> Column:
 def unpivot(df: DataFrame, variant: str, keep: list[str], max_depth: int | None = None) -> DataFrame:
     """*keep*, key (dotted), value: every key of an object, also of objects inside it.
 
-    An object has a row of its own, then its keys follow, level by level.  How
-    deep objects go is found in one pass; the levels are read in one more each.
+    An object has a row of its own besides those of its keys.  A document is
+    taken apart once, however deep it is; null and what is no object has no rows.
     """
-    spark = df.sparkSession
-    level = df.select(*keep, F.lit("").alias("key"), F.col(variant).alias("value"))
-    deepest = df.agg(F.max(object_depth(F.to_json(variant)))).first()[0] or 0
-    found = None
-    for _ in range(deepest if max_depth is None else min(deepest, max_depth)):
-        names = ", ".join(f"l.`{k}`" for k in keep)
-        level = spark.sql(
-            f"""SELECT {names}{',' if keep else ''} concat(CASE WHEN l.key = '' THEN '' ELSE concat(l.key, '.') END, e.key) AS key, e.value AS value
-                FROM {{level}} l, LATERAL variant_explode(CASE WHEN schema_of_variant(l.value) LIKE 'OBJECT%' THEN l.value END) e""",
-            level=level,
-        )
-        found = level if found is None else found.unionByName(level)
-        level = level.filter("schema_of_variant(value) LIKE 'OBJECT%'")
-    return found if found is not None else level.limit(0)
-
-
-def object_depth(json: Column) -> Column:
-    """How deep objects are nested in compact JSON, at most: lists count as a level, too."""
-    signs = F.split(F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(s: Column, c: Column) -> Column:
-        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
-
-    return F.aggregate(signs, start, step)["most"]
+
+    @F.pandas_udf("array<struct<key: string, value: string>>")
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([[{"key": k, "value": v} for k, v in json_pieces.keys(t, max_depth)] if t else [] for t in batch], dtype=object)
+
+    each = df.select(*keep, F.explode(pieces(F.to_json(variant))).alias("__p"))
+    return each.select(*keep, "__p.key", F.parse_json("__p.value").alias("value"))
 
 
 def category_profile(blocks: DataFrame) -> DataFrame:

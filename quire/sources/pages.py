@@ -7,8 +7,14 @@ number 5 and the string "5" differ, and a missing id is -1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.functions import json_pieces
 
 
 def read_pages(spark: SparkSession, *paths: str, recursive: bool = True) -> DataFrame:
@@ -121,25 +127,27 @@ def sub_regions(blocks: DataFrame) -> DataFrame:
     return inner.select("file", "anno_id", F.expr("to_json(variant_get(r, '$.anno_id', 'variant'))").alias("sub_id"))
 
 
+#: Lists of blocks inside blocks.
+NESTED = ("merge_list", "line_with_spans")
+
+
+_BLOCKS = T.ArrayType(T.StructType([T.StructField("location", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("ann", T.StringType())]))
+
+
+@F.pandas_udf(_BLOCKS)
+def _blocks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        found = [json_pieces.blocks(t, "layout_dets", NESTED) if t and t[0] == "{" else () for t in batch]
+        yield pd.Series([[{"location": where, "depth": d, "ann": v} for where, d, v in f] for f in found], dtype=object)
+
+
 def nested_blocks(pages: DataFrame) -> DataFrame:
     """Blocks at any depth: file, location (block, merge_list or line_with_spans), depth, ann.
 
-    Each level is exploded from the one above until a level is empty; a level
-    is at most as large as the text that holds it.
+    A page is taken apart once, however deep its blocks are.
     """
-    level = pages.filter("page IS NOT NULL").select(
-        "file", F.lit("block").alias("location"), F.lit(0).alias("depth"), F.explode(F.expr("try_variant_get(page, '$.layout_dets', 'array<variant>')")).alias("ann")
-    )
-    found = level
-    while True:
-        below = [
-            level.select("file", F.lit(k).alias("location"), (F.col("depth") + 1).alias("depth"), F.explode(F.expr(f"try_variant_get(ann, '$.{k}', 'array<variant>')")).alias("ann"))
-            for k in ("merge_list", "line_with_spans")
-        ]
-        level = below[0].unionByName(below[1])
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+    each = pages.filter("page IS NOT NULL").select("file", F.explode(_blocks(F.to_json("page"))).alias("b"))
+    return each.select("file", "b.location", "b.depth", F.parse_json("b.ann").alias("ann"))
 
 
 def page_info(pages: DataFrame) -> DataFrame:

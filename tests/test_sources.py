@@ -104,7 +104,7 @@ def test_formulas(load):
     assert [r[1] for r in found(made, "latex_unmatched_braces")] == ["2", "3", "3"]
     assert [r[1] for r in found(made, "latex_unmatched_brackets")] == ["4"]
     assert [r[1] for r in found(made, "latex_empty_formula")] == ["5"]
-    assert [(r[1], r[3]) for r in found(made, "latex_invalid_command")] == [("6", "foo")]
+    assert [(r[1], r[3]) for r in found(made, "latex_invalid_command")] == [("2", "{ is not closed at 0"), ("3", "} without { at 0"), ("6", "foo")]
 
 
 def test_markup_that_is_missing(load):
