@@ -65,6 +65,9 @@ def ordered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, counts[_slot(hashes)]))]
 
 
+#: Buckets that a set's shingles are counted in: what two sets share is at most
+#: the sum of the lesser counts.  Larger sets are not judged by that.
+BUCKETS, JUDGED = 128, 4_000_000
 #: Bytes of a hash that sets are compared by, the upper ones; slots and order need no others.
 BYTES = 6
 
@@ -137,16 +140,24 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_sent(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "text")
 
 
+def outline(hashes: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each bucket, as 16 bits each."""
+    return np.bincount(((hashes >> _U(48)) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(0, 0xFFFF).astype("<u2").tobytes()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(rep, s): the sets of the documents in *wanted*, in global order, as bytes."""
+    """(rep, s, c): the sets of the documents in *wanted*, in global order, as bytes, and their outlines."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_to_bytes(ordered(h, sent.value)) for h in shingle_sets(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "s"])
+            sets, outlines = [], []
+            for h in shingle_sets(batch.column(1).to_pylist()):
+                sets.append(_to_bytes(ordered(h, sent.value)))
+                outlines.append(outline(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(outlines, pa.binary())], ["rep", "s", "c"])
 
-    return _texts(docs, wanted).mapInArrow(run, "rep long, s binary")
+    return _texts(docs, wanted).mapInArrow(run, "rep long, s binary, c binary")
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
@@ -272,6 +283,51 @@ def _walked(counts, percent: int):
     return run
 
 
+def _likely(percent: int):
+    """(group.., rep) of the rows (group.., side, walks, rep, label, total, c) in order that some other row of the group may be similar to, by outlines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for keys, group in groupby(rows, lambda r: r[:4]):
+            found = list(_judged(group, percent))
+            columns = [pa.array([k] * len(found), t) for k, t in zip(keys, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())], ["g", "kind", "block", "part", "rep"])
+
+    return run
+
+
+def _judged(group: Iterator[tuple], percent: int) -> Iterator[int]:
+    held, hit = [], None
+
+    def meets(rep: int, label: int, total: int, c: np.ndarray) -> bool:
+        shared = np.minimum(outlines, c).sum(axis=1)
+        near = ((100 + percent) * shared >= percent * (totals + total)) | (np.maximum(totals, total) > JUDGED)
+        near &= labels != label
+        np.logical_or(hit, near, out=hit)
+        return bool(near.any())
+
+    for *_, side, walks, rep, label, total, c in group:
+        row = rep, label, total, np.frombuffer(c, "<u2").astype(np.int64)
+        if side == 0:
+            held.append((*row, walks))
+            continue
+        if hit is None:
+            if not held:
+                return
+            outlines, totals, labels, hit = _stacked(held)
+        if meets(*row):
+            yield rep
+    if hit is None and held:
+        outlines, totals, labels, hit = _stacked(held)
+    own = [meets(*row) if walks else False for *row, walks in held]
+    yield from (row[0] for row, a, b in zip(held, own, hit.tolist() if held else (), strict=True) if a or b)
+
+
+def _stacked(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    outlines = np.array([row[3] for row in held])
+    return outlines, np.array([row[2] for row in held]), np.array([row[1] for row in held]), np.zeros(len(held), bool)
+
+
 def _tree(held: list[tuple], counts: np.ndarray):
     """The trie of (rep, label, total, hashes, ..), and a function from hashes to the numbers that its sets know."""
     hashes = [x[3] for x in held]
@@ -292,6 +348,7 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
 
     A group's sets are cut into tries of TREE_SETS and its walks into parts of
     WALKS, and each part walks down each trie; *pos* is where a set begins.
+    Sets go there only if their outlines leave it open that some are similar.
     """
 
     def size(df: DataFrame, of: str) -> DataFrame:
@@ -318,7 +375,11 @@ def _join(trees: DataFrame, walks: DataFrame, sets: DataFrame, counts: np.ndarra
     # a set that is in a trie and walks down it goes there once
     once = left.unionByName(right).groupBy(*keys, *rest).agg(F.min("side").alias("side"), (F.max("side") == 1).alias("walks"))
     places = staged(once, "places")
-    dealt = _sent(places, places.count()).join(sets, "rep").select(*keys, "side", "walks", "rep", "label", "total", F.substring("s", BYTES * F.col("pos") + 1, F.lit(2**31 - 1)).alias("s"))
+    outlined = _sent(places, places.count()).join(sets.select("rep", "c"), "rep").select(*keys, "side", "walks", "rep", "label", "total", "c")
+    outlined = outlined.repartition(*keys).sortWithinPartitions(*keys, "side")
+    likely = outlined.mapInArrow(_likely(percent), "g long, kind int, block int, part int, rep long")
+    places = staged(places.join(staged(likely, "likely"), [*keys, "rep"], "left_semi"), "likely-places")
+    dealt = _sent(places, places.count()).join(sets.drop("c"), "rep").select(*keys, "side", "walks", "rep", "label", "total", F.substring("s", BYTES * F.col("pos") + 1, F.lit(2**31 - 1)).alias("s"))
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "side")
     sent = sets.sparkSession.sparkContext.broadcast(counts)
     return dealt.mapInArrow(_walked(sent, percent), "a long, b long")

@@ -116,3 +116,12 @@ def test_walks_equal_all_intersections():
                 if 160 * common >= 60 * (len(x) + len(s)):
                     assert met[i] == common
                 assert met.get(i, common) == common
+
+
+def test_outlines_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        base = rng.integers(0, 2**63, 300).astype(np.uint64)
+        a, b = (np.unique(np.append(base[: int(rng.integers(0, 300))], rng.integers(0, 2**63, 50).astype(np.uint64))) for _ in "ab")
+        x, y = (np.frombuffer(prefix_tree.outline(v), "<u2") for v in (a, b))
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b)) and x.sum() == len(a)
