@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import col_of
+from quire.staging import spread
 
 
 def xs(poly: Column | str) -> Column:
@@ -145,29 +147,48 @@ CANVAS_COLORS = {
 CANVAS_OTHER = (200, 200, 200)
 
 
-def layout_canvas(ann: DataFrame, width: Column, height: Column) -> DataFrame:
-    """file, pixels: a page's boxes as filled rectangles on a white canvas, later ones over earlier ones.
+def layout_boxes(ann: DataFrame, width: Column, height: Column) -> DataFrame:
+    """file, b: a page's boxes on the canvas as (pos, category, box), by pos.
 
     Blocks (file, pos, category, poly, ignored) that are ignored or have under
-    four numbers are left out.  pixels: CANVAS rows of CANVAS red, green and
-    blue bytes.  A page's boxes, not texts, meet in one row.
+    four numbers are left out.  A page's boxes, not texts, meet in one row.
     """
     x, y = xs("poly"), ys("poly")
     corners = F.struct(F.array_min(x).alias("x1"), F.array_min(y).alias("y1"), F.array_max(x).alias("x2"), F.array_max(y).alias("y2"))
     kept = ann.filter(F.size("poly") >= 4).filter(~F.col("ignored"))
     placed = kept.select("file", F.struct("pos", F.lower("category").alias("category"), on_canvas(corners, width, height).alias("box")).alias("b"))
-    return placed.groupBy("file").agg(F.array_sort(F.collect_list("b")).alias("b")).select("file", _filled("b.category", "b.box").alias("pixels"))
+    return spread(placed, "file").groupBy("file").agg(F.array_sort(F.collect_list("b")).alias("b"))
+
 
+#: Canvases in one Arrow batch.
+CANVASES = 8
 
-@F.pandas_udf(T.BinaryType())
-def _filled(categories: pd.Series, boxes: pd.Series) -> pd.Series:
-    def one(names, corners) -> bytes:
-        canvas = np.full((CANVAS, CANVAS, 3), 255, np.uint8)
-        for name, b in zip(names, corners, strict=True):
-            canvas[max(0, b["y1"]) : max(0, b["y2"] + 1), max(0, b["x1"]) : max(0, b["x2"] + 1)] = CANVAS_COLORS.get(name, CANVAS_OTHER)
-        return canvas.tobytes()
 
-    return pd.Series([one(*x) for x in zip(categories, boxes, strict=True)], dtype=object)
+def layout_canvas(ann: DataFrame, width: Column, height: Column) -> DataFrame:
+    """file, pixels: a page's ``layout_boxes`` as filled rectangles on a white canvas, later ones over earlier ones.
+
+    pixels: CANVAS rows of CANVAS red, green and blue bytes.
+    """
+    boxes = layout_boxes(ann, width, height)
+    return boxes.mapInArrow(canvases, f"file {boxes.schema['file'].dataType.simpleString()}, pixels binary")
+
+
+def canvases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, pixels) of (file, blocks), however many rows a batch has, CANVASES at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CANVASES):
+            some = batch.slice(at, CANVASES)
+            drawn = [drawn_canvas(b).tobytes() for b in some.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(drawn, pa.binary())], ["file", "pixels"])
+
+
+def drawn_canvas(blocks: list[dict]) -> np.ndarray:
+    """The canvas of one page's (category, box) blocks."""
+    canvas = np.full((CANVAS, CANVAS, 3), 255, np.uint8)
+    for block in blocks:
+        b = block["box"]
+        canvas[max(0, b["y1"]) : max(0, b["y2"] + 1), max(0, b["x1"]) : max(0, b["x2"] + 1)] = CANVAS_COLORS.get(block["category"], CANVAS_OTHER)
+    return canvas
 
 
 #: An arrow head's length and the angle of its sides.

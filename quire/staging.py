@@ -39,6 +39,11 @@ def staged(df: DataFrame, name: str, keep: bool = False, compression: str | None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """*df* dealt by *keys* to all shuffle partitions: for few bytes that much work follows, which adaptive plans would give to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables staged inside it and not kept.

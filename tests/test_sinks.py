@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,13 @@ def test_canvas(spark):
     expected[:257, :257] = (100, 100, 100)
     expected[128:, 128:] = (173, 216, 230)
     assert (pixels == expected).all()
+
+
+def test_canvases_come_in_small_batches():
+    """A batch of any number of pages is drawn a few at a time."""
+    box = {"x1": 1, "y1": 2, "x2": 30, "y2": 40}
+    pages = pa.RecordBatch.from_pydict({"file": [str(i) for i in range(100)], "b": [[{"pos": 0, "category": "title", "box": box}]] * 100})
+    drawn = list(geometry.canvases([pages]))
+    assert max(b.num_rows for b in drawn) <= geometry.CANVASES
+    assert [f for b in drawn for f in b.column(0).to_pylist()] == [str(i) for i in range(100)]
+    assert all(p == geometry.drawn_canvas([{"category": "title", "box": box}]).tobytes() for b in drawn for p in b.column(1).to_pylist())
