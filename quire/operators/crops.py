@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,17 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions import rasters
+from quire.functions import geometry, rasters
 from quire.functions.geometry import CANVAS
 from quire.functions.text import col_of, strip
 from quire.operators.numbering import dense_ids
 from quire.operators.sampling import train_split, training_reason
 from quire.plans import rules
 from quire.sources import sinks
-from quire.staging import staged
+from quire.staging import spread, staged
 
 #: Rows of pictures in one Arrow batch.
 PICTURES = "8"
+#: Bytes of crops after which a batch of them ends.
+CROP_BYTES = 8 << 20
 
 _QUAD = T.StructType(
     [
@@ -63,8 +66,8 @@ def crops(
     """
     spark = pictures.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PICTURES)
-    one = pictures.groupBy("file").agg(F.max("content").alias("content"))
-    listed = regions.groupBy("file").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("poly").cast("array<double>").alias("poly"))).alias("regions"))
+    one = spread(pictures, "file").groupBy("file").agg(F.max("content").alias("content"))
+    listed = spread(regions, "file").groupBy("file").agg(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("poly").cast("array<double>").alias("poly"))).alias("regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,26 +78,45 @@ def crops(
                         pixels = decode(content)
                     except Exception:  # whatever a decoder raises, other pictures go on
                         error = "IMG_LOAD_FAILED"
-                for some in (places[i : i + 64] for i in range(0, len(places), 64)):
-                    rows = []
-                    for place in some:
-                        part = None if pixels is None else cut(pixels, place["poly"])
-                        if part is None:
-                            rows.append((file, place["pos"], None, None, None, error or "CROP_EMPTY"))
-                        else:
-                            rows.append((file, place["pos"], part.shape[1], part.shape[0], rasters.encode(part) if as_png else part.tobytes(), None))
-                    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-                    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "pos", "width", "height", "content", "error"])
+                rows, size = [], 0
+                for place in places:
+                    part = None if pixels is None else cut(pixels, place["poly"])
+                    if part is None:
+                        rows.append((file, place["pos"], None, None, None, error or "CROP_EMPTY"))
+                    else:
+                        rows.append((file, place["pos"], part.shape[1], part.shape[0], rasters.encode(part) if as_png else part.tobytes(), None))
+                        size += len(rows[-1][4])
+                    if len(rows) == 64 or size >= CROP_BYTES:
+                        yield _crop_rows(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _crop_rows(rows)
 
     return listed.join(one, "file", "left").select("file", "regions", "content").mapInArrow(run, _CROPS)
 
 
+def _crop_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["file", "pos", "width", "height", "content", "error"])
+
+
 def canvas_pixels(content: bytes) -> np.ndarray:
     """Pixels of a ``geometry.layout_canvas``."""
     return np.frombuffer(content, np.uint8).reshape(CANVAS, CANVAS, 3)
 
 
+def layout_pictures(ann: DataFrame, width: Column, height: Column) -> DataFrame:
+    """file, content: each page's canvas as its list of boxes, which ``layout_pixels`` draws where the picture is cut."""
+    boxes = geometry.layout_boxes(ann, width, height)
+    return boxes.select("file", F.to_json("b").cast("binary").alias("content"))
+
+
+def layout_pixels(content: bytes) -> np.ndarray:
+    """Pixels of a picture of ``layout_pictures``, the same as those of ``geometry.layout_canvas``."""
+    return geometry.drawn_canvas(json.loads(bytes(content)))
+
+
 def training_text(text: Column | str) -> Column:
     """A block's text on one line, without outer white space; null is empty."""
     return strip(F.translate(F.coalesce(col_of(text), F.lit("")), "\n\r", "  "))

@@ -285,11 +285,11 @@ def g9_quads(spark, sf_dir):
 def g9_crops(spark, sf_dir):
     """Each block cut out of its page's drawn canvas, turned as in ``g9_quads``."""
     a = ann(spark, sf_dir)
-    drawn = geometry.layout_canvas(a, F.lit(None).cast("double"), F.lit(0.0)).select("file", F.col("pixels").alias("content"))
+    drawn = crops.layout_pictures(a, F.lit(None).cast("double"), F.lit(0.0))
     x, y = F.col("x1"), F.col("y1")
     ring = F.array(x, y, x + 60, y + 80, x - 20, y + 140, x - 80, y + 60).cast("array<double>")
     regions = a.select("file", "pos", F.when(F.col("pos") % 2 == 0, F.col("poly")).otherwise(ring).alias("poly"))
-    found = crops.crops(drawn, regions, crops.canvas_pixels, as_png=False)
+    found = crops.crops(drawn, regions, crops.layout_pixels, as_png=False)
     return found.select("file", "pos", "width", "height", F.sha2("content", 256).alias("sha256"), "error")
 
 

@@ -201,3 +201,34 @@ def test_crops_of_canvases(spark, sf_dir, tmp_path):
         part = rasters.cut(np.frombuffer(canvases[b["file"]], np.uint8).reshape(512, 512, 3), poly)
         r = found[b["file"], b["pos"]]
         assert r["sha256"] == (None if part is None else hashlib.sha256(part.tobytes()).hexdigest()) and (r["error"] is None) == (part is not None)
+
+
+def test_layout_pictures_are_small_and_draw_the_canvas(spark, sf_dir):
+    """Lists of boxes move in place of 786,432 bytes a page, and give the same pixels."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import geometry
+
+    a, size = queries.ann(spark, sf_dir), (F.lit(None).cast("double"), F.lit(0.0))
+    pictures = {r["file"]: r["content"] for r in crops.layout_pictures(a, *size).collect()}
+    canvases = {r["file"]: r["pixels"] for r in geometry.layout_canvas(a, *size).collect()}
+    assert pictures.keys() == canvases.keys() and len(pictures) > 10
+    for file, content in pictures.items():
+        assert len(content) < 2000
+        assert crops.layout_pixels(content).tobytes() == canvases[file]
+
+
+def test_flat_and_mixed_pixels_are_sampled_alike():
+    """A picture of flat areas and noise against four weighted pixels at every place."""
+    rng = np.random.default_rng(3)
+    pixels = np.full((40, 50, 3), 200, np.uint8)
+    pixels[10:30, 5:25] = (10, 20, 30)
+    pixels[:, 40:] = rng.integers(0, 256, (40, 10, 3))
+    x, y = rasters._placed(rng.uniform(-4, 54, (30, 30)), 50), rasters._placed(rng.uniform(-4, 44, (30, 30)), 40)
+    found = rasters._sampled(pixels, x, y)
+    at = lambda i, j: pixels[i, j] if 0 <= i < 40 and 0 <= j < 50 else np.zeros(3)
+    for i, j in np.ndindex(x.shape):
+        left, top = int(np.floor(x[i, j])), int(np.floor(y[i, j]))
+        u, v = x[i, j] - left, y[i, j] - top
+        mean = (1 - u) * (1 - v) * at(top, left) + (1 - u) * v * at(top + 1, left) + u * (1 - v) * at(top, left + 1) + u * v * at(top + 1, left + 1)
+        assert np.abs(found[i, j] - mean).max() <= 0.5 + 1e-9
