@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,19 +139,29 @@ def _common(a: str, b: str) -> int:
     a, b, shared = _trimmed(a, b)
     if not a or not b:
         return shared
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     most = _worth(a, b)
     if _apart(a, b) <= most and (n := _differences(a, b, most, False)) is not None:
         return shared + (len(a) + len(b) - n) // 2
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = (row + hit | row - hit) & full
+    places = _places(a, b)
+    row = full = (1 << len(a)) - 1
+    hits = [hit for ch in b if (hit := places.get(ch))]
+    for at in range(0, len(hits), 512):
+        # what is carried beyond the last bit grows by a bit a step and touches no other
+        for hit in hits[at : at + 512]:
+            hit = hit & row
+            row = row + hit | row ^ hit
+        row &= full
     return shared + len(a) - row.bit_count()
 
 
+def _places(a: str, b: str) -> dict[str, int]:
+    """For each letter of *b* that *a* has, a number whose bits are its places in *a*."""
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    both = set(a).intersection(b)
+    return {ch: int.from_bytes(np.packbits(codes == ord(ch), bitorder="little").tobytes(), "little") for ch in both}
+
+
 def ratio(a: str, b: str) -> float:
     """Twice the common subsequence over both lengths; 1 for two empty texts."""
     return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
@@ -186,27 +197,26 @@ def band(score: Column | str) -> Column:
 def edits(a: str, b: str) -> int:
     """Edit distance: by the differences if they are few, else by bit-parallel steps.
 
-    In the latter the differences of a column's cells are the bits of two numbers.
+    In the latter the differences of a column's cells are the bits of two
+    numbers; of the last column their sum is the distance less the top cell.
     """
     a, b, _ = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     most = _worth(a, b)
     if _apart(a, b) <= most and (n := _differences(a, b, most, True)) is not None:
         return n
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = full, 0, len(a)
+    places = _places(a, b)
+    up = full = (1 << len(a)) - 1
+    down = 0
     for ch in b:
         same = places.get(ch, 0)
-        diagonal = (((same & up) + up) ^ up) | same
-        rises, falls = down | (full & ~(diagonal | up)), up & diagonal
-        distance += bool(rises & last) - bool(falls & last)
-        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
-        up, down = falls | (full & ~(same | down | rises)), rises & (same | down)
-    return distance
+        diagonal = (((same & up) + up ^ up) | same | down) & full
+        rises = (down | full ^ (diagonal | up)) << 1 | 1
+        # a bit beyond the last one is cut off
+        up, down = ((up & diagonal) << 1 | full ^ (diagonal | rises)) & full, rises & diagonal
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry, latex, rewrite, text
 from quire.operators import crops, evaluate, outliers, profile, relations, review, sampling, text_index, validate, vector_index, vectors
 from quire.plans import rules, surrogates
-from quire.staging import shared_dir
+from quire.staging import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -673,7 +673,8 @@ def a23_html_references(spark, sf_dir):
 def _text_pairs(spark, sf_dir, a: str = "a", b: str = "b"):
     """Each document's text with that of the next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias(a))
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col(a).alias(b)), "doc_id")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col(a).alias(b))
+    return spread(docs, "doc_id").join(spread(following, "doc_id"), "doc_id")
 
 
 @query()

@@ -63,3 +63,23 @@ def test_similar_long_texts_take_moments():
     started = time.perf_counter()
     assert 1 <= text.edits(a, b) <= 20 and 0.999 < text.ratio(a, b) < 1
     assert time.perf_counter() - started < 0.5
+
+
+def test_a_short_text_costs_by_its_own_letters():
+    """Steps are those of the shorter text, and the longer one's places are found in one pass, whichever comes first."""
+    rng = random.Random(5)
+    long, short = "".join(rng.choices("abcdefgh", k=300_000)), "hgfedcbax" * 3
+    start = time.process_time()
+    for a, b in ((long, short), (short, long)):
+        assert text._common(a, b) == 24 and text.edits(a, b) == len(long) - 24
+    assert time.process_time() - start < 1
+
+
+def test_long_unlike_texts_equal_the_plain_tables(monkeypatch):
+    """Over 512 steps on numbers of some words, with letters that only one text has."""
+    monkeypatch.setattr(text, "_worth", lambda a, b: 0)
+    rng = random.Random(6)
+    for n, m in ((1300, 700), (700, 1300), (513, 512), (30, 1100)):
+        a, b = ("".join(rng.choice(letters) for _ in range(k)) for letters, k in (("abc한e", n), ("abc😀fg", m)))
+        assert text._common(a, b) == plain_common(a, b)
+        assert text.edits(a, b) == plain_edits(a, b)
