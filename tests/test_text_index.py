@@ -55,3 +55,36 @@ def test_scan_skips_other_trigrams(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     index = text_index.build(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/index")
     assert text_index.search(index, spark.createDataFrame([(1, "abc"), (2, "a")], "phrase_id int, phrase string")).count() == 0
+
+
+def shuffled(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    name, more = plan.getClass().getSimpleName(), []
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    rows = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return rows + sum(shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_no_row_stands_for_a_phrase_and_a_text_but_results(spark, tmp_path):
+    # all texts have all trigrams of all phrases, but each phrase is in one text
+    letters = [f"{a}{b}" for a in "abcd" for b in "efgh"]
+    texts = [" ".join(random.Random(i).sample(letters, 16)) + " " + " ".join(f"{a} {b}" for a in letters for b in letters) for i in range(400)]
+    phrases = [(i, texts[i][:23]) for i in range(0, 400, 2)]
+    index = text_index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), f"file://{tmp_path}/index")
+    found = text_index.search(index, spark.createDataFrame(phrases, "phrase_id int, phrase string"))
+    assert {tuple(r) for r in found.collect()} == plain(list(enumerate(texts)), phrases)
+    assert shuffled(found._jdf.queryExecution().executedPlan()) < 400 * 200 / 8
+
+
+def test_grams_of_a_phrase_are_those_of_its_texts():
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice("abß語😀 ") for _ in range(rng.randrange(90)))
+        a = rng.randrange(len(text) + 1)
+        phrase = text[a : a + rng.randrange(60)]
+        assert set(text_index.keys(phrase)) <= set(text_index.keys(text))
+        assert (len(text_index.grams(phrase)) > 0) == (len(phrase) >= text_index.GRAM + text_index.WINDOW - 1)
