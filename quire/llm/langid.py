@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SMOOTHING = 0.05
 #: Probability of a letter that is no piece, alike in all languages.
 UNKNOWN = 1e-9
 CACHE_ENTRIES = 150_000
+#: More than any code point.
+LETTERS = 0x110000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -60,10 +63,21 @@ def vocabulary(name: str = MODEL) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
-def beginnings(pieces: dict[str, int]) -> dict[str, int]:
+class Beginnings(dict):
     """Every beginning of a piece; its number if it is a piece, else -1."""
+
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Beginnings as nodes, the empty one as 0: ascending node * LETTERS + letter, the nodes that these lead to, and each node's piece."""
+        node = {"": 0} | {b: i for i, b in enumerate(self, 1)}
+        step = np.array([node[b[:-1]] * LETTERS + ord(b[-1]) for b in self], np.int64)
+        order = np.argsort(step)
+        return step[order], order + 1, np.array([-1, *self.values()], np.int64)
+
+
+def beginnings(pieces: dict[str, int]) -> Beginnings:
     known = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
-    return known | pieces
+    return Beginnings(known | pieces)
 
 
 class Lattice:
@@ -74,31 +88,41 @@ class Lattice:
     Sums are kept as logarithms, so words may be of any length.
     """
 
-    def __init__(self, found: Sequence[str], known: dict[str, int]):
-        """known: what ``beginnings`` gives."""
+    def __init__(self, found: Sequence[str], known: Beginnings):
         self.n = len(found)
-        marked = ["▁" + w for w in found]
-        self.lengths = np.array([len(m) for m in marked], np.int64)
+        self.lengths = np.array([len(w) + 1 for w in found], np.int64)
         self.size = int(self.lengths.max()) + 1 if self.n else 1
-        arcs: list[int] = []
-        get = known.get
-        for i, m in enumerate(marked):
-            n = len(m)
-            for b in range(n):
-                alone = True
-                for e in range(b + 1, n + 1):
-                    p = get(m[b:e])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        alone = alone and e > b + 1
-                        arcs += (i, b, e, p)
-                if alone:
-                    arcs += (i, b, b + 1, -1)
-        grid = np.array(arcs, np.int64).reshape(-1, 4)
-        group = grid[:, 2] * self.size + grid[:, 2] - grid[:, 1]
-        order = np.argsort(group, kind="stable")
-        self.word, self.begin, self.end, self.piece = (np.ascontiguousarray(c) for c in grid[order].T)
+        letters = np.frombuffer("".join(["▁" + w for w in found]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(self.n), self.lengths)
+        starts = np.cumsum(self.lengths) - self.lengths
+        left = (starts + self.lengths)[word] - np.arange(len(letters))
+        steps, to, pieces = known.steps
+        # all places at once, a letter further each time, as far as there are beginnings of pieces
+        at, node, length = np.arange(len(letters)), np.zeros(len(letters), np.int64), 0
+        arcs = []
+        while len(at):
+            key = node * LETTERS + letters[at + length]
+            i = np.minimum(np.searchsorted(steps, key), len(steps) - 1) if len(steps) else np.zeros(len(at), np.int64)
+            here = steps[i] == key if len(steps) else np.zeros(len(at), bool)
+            length += 1
+            goes = at[here]
+            node = to[i[here]] if len(steps) else node[:0]
+            piece = pieces[node]
+            if length == 1:
+                alone = np.ones(len(letters), bool)
+                alone[goes[piece >= 0]] = False
+                arcs.append((np.flatnonzero(alone), 1, np.full(int(alone.sum()), -1)))
+            arcs.append((goes[piece >= 0], length, piece[piece >= 0]))
+            more = left[goes] > length
+            at, node = goes[more], node[more]
+        begins = np.concatenate([a for a, _, _ in arcs]) if arcs else np.zeros(0, np.int64)
+        spans = np.concatenate([np.full(len(a), n) for a, n, _ in arcs]) if arcs else np.zeros(0, np.int64)
+        piece = np.concatenate([p for _, _, p in arcs]) if arcs else np.zeros(0, np.int64)
+        word = word[begins]
+        begin = begins - starts[word]
+        group = (begin + spans) * self.size + spans
+        order = np.lexsort((word, group))
+        self.word, self.begin, self.end, self.piece = word[order], begin[order], (begin + spans)[order], piece[order]
         self.bounds = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
 
     def forward(self, logs: np.ndarray) -> np.ndarray:

@@ -161,3 +161,20 @@ def test_defined_results(spark, nasty, nothing):
 def test_long_words_do_not_underflow(spark):
     model = langid.Model(["a", "b"], PIECES, np.full((len(PIECES), 2), 1e-5))
     assert langid.Scorer(model).predict(["ab" * 50_000])[1] == [0.5]
+
+
+def test_lattice_looks_up_all_places_at_once():
+    class Unasked(langid.Beginnings):
+        def get(self, *_):
+            raise AssertionError("a look-up for a single place")
+
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "ab", "abc", "b", "bca", "語"])}
+    words = ["abcab", "b", "語abc", "x", "abcabca" * 9]
+    lattice = langid.Lattice(words, Unasked(langid.beginnings(pieces)))
+    expected = []
+    for w, marked in enumerate("▁" + x for x in words):
+        for b in range(len(marked)):
+            expected += [(w, b, e, pieces[marked[b:e]]) for e in range(b + 1, len(marked) + 1) if marked[b:e] in pieces]
+            expected += [] if marked[b] in pieces else [(w, b, b + 1, -1)]
+    arcs = zip(lattice.word.tolist(), lattice.begin.tolist(), lattice.end.tolist(), lattice.piece.tolist(), strict=True)
+    assert sorted(arcs) == sorted(expected)
