@@ -1,7 +1,8 @@
 """Links of documents by the Jaccard similarity of their word shingles, with prefix trees.
 
-All sets put their shingles in one global order, those of rarely met slots
-first.  Two similar sets share one of their first shingles, so sets meet at
+Most sets hold so many shingles of their own that they can be similar to no other,
+and end there (``crowded``).  The rest put their shingles in one global order,
+those of rarely met slots first.  Two similar sets share one of their first shingles, so sets meet at
 those shingles (``_meetings``), and what meets is joined in blocks: the sets of
 a block, from the shared shingle on, are a trie; others walk down it, share the
 overlap of a common path, and leave a subtree that the shingles left on both
@@ -34,6 +35,8 @@ PERCENT = 80
 SLOTS = 1 << 18
 #: Sets of one trie, and sets that one task walks down it.
 TREE_SETS, WALKS = 512, 4096
+#: Shingles of a part of the slots in which single ones are found, and of a block of texts that asks for its own.
+PART_SHINGLES, BLOCK_SHINGLES = 1 << 20, 1 << 20
 
 _U = np.uint64
 
@@ -83,31 +86,129 @@ def _from_bytes(data: bytes) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2) of each document, and rows (slot, n) of how many documents' shingles fall there.
+    """(doc_id, n_shingles, k1, k2) of each document.
 
     k1 and k2 are a digest of the set, null without words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            sizes, k1, k2, slots = [], [], [], [np.zeros(0, np.int64)]
+            sizes, k1, k2 = [], [], []
             for h in shingle_sets(batch.column(1).to_pylist()):
                 a, b = struct.unpack("<qq", hashlib.blake2b(h.tobytes(), digest_size=16).digest()) if len(h) else (None, None)
                 sizes.append(len(h))
                 k1.append(a)
                 k2.append(b)
-                slots.append(_slot(h).astype(np.int64))
-            seen += np.bincount(np.concatenate(slots), minlength=SLOTS)
-            none = pa.nulls(len(sizes), pa.int64())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, none]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "slot", "n"])
-        hit = np.flatnonzero(seen)
-        none = pa.nulls(len(hit), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hit), pa.array(seen[hit])], ["doc_id", "n_shingles", "k1", "k2", "slot", "n"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, slot long, n long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+
+
+def _gaps(places: np.ndarray) -> bytes:
+    """Ascending numbers below 2 ** 16 as differences, of 8 bits if all fit and else of 16."""
+    gaps = np.diff(places, prepend=0)
+    return gaps.astype(np.uint8 if len(gaps) and gaps.max() < 256 else "<u2").tobytes()
+
+
+def _places(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else "<u2").cumsum(dtype=np.int64)
+
+
+def crowded(docs: DataFrame, reps: DataFrame, shingles: int, percent: int) -> DataFrame:
+    """(doc_id) of the sets in *reps* (doc_id), of so many *shingles* in all, but those that are surely similar to no other.
+
+    A shingle alone in its slot is in no other set, and a set of which more than
+    100 - *percent* percent are so is similar to none.  Slots are counted in
+    parts, each about ``PART_SHINGLES`` shingles whatever the input: blocks of
+    texts send three bytes and a place for each shingle to its part, and get the
+    places of those back that are alone there.
+    """
+    spark = docs.sparkSession
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles / PART_SHINGLES))
+    schema, names = "part int, block long, whole boolean, n int, places binary, data binary", ["part", "block", "whole", "n", "places", "data"]
+
+    def block(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(h) for h in sets])
+        h = np.concatenate(sets)
+        part = ((h >> _U(32)) % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, place = part[order], np.repeat(np.arange(len(ids)), sizes)[order]
+        slots = h.astype("<u8").view(np.uint8).reshape(-1, 8)[order, :3]
+        starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(h) else np.zeros(0, np.int64)
+        rows = [(ids[0] % parts, ids[0], True, len(ids), np.array(ids, "<i8").tobytes(), sizes.astype("<i4").tobytes())]
+        rows += ((int(part[a]), ids[0], False, int(b - a), _gaps(place[a:b]), slots[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(h)], strict=True))
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, size = [], [], 0
+        for batch in batches:
+            for rep, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
+                ids.append(rep)
+                sets.append(h)
+                size += len(h)
+                if size >= BLOCK_SHINGLES or len(ids) >= 1 << 16:
+                    yield block(ids, sets)
+                    ids, sets, size = [], [], 0
+        if ids:
+            yield block(ids, sets)
+
+    def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(rows, lambda r: r[key]):
+            yield list(group)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.zeros(1 << 24, bool)
+        for group in grouped(batches, 0):
+            sent = [r for r in group if not r[2]]
+            wide = np.zeros((sum(r[3] for r in sent), 4), np.uint8)
+            wide[:, :3] = np.frombuffer(b"".join(r[5] for r in sent), np.uint8).reshape(-1, 3)
+            slots = wide.view("<u4").ravel()
+            ascending = np.sort(slots)
+            twice = ascending[1:][ascending[1:] == ascending[:-1]]
+            many[twice] = True
+            one = ~many[slots]
+            many[twice] = False
+            out, at = [r for r in group if r[2]], 0
+            for _, key, _, n, places, _ in sent:
+                own = _places(places, n)[one[at : at + n]]
+                out.append((None, key, False, len(own), _gaps(own), None))
+                at += n
+            kinds = ((1, pa.int64()), (2, pa.bool_()), (3, pa.int32()), (4, pa.binary()), (5, pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in kinds], names[1:])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 0):
+            (_, _, n, ids, sizes), *rest = group
+            totals, single = np.frombuffer(sizes, "<i4").astype(np.int64), np.zeros(n, np.int64)
+            for *_, m, places, _ in rest:
+                single += np.bincount(_places(places, m), minlength=n)
+            stays = (totals > 0) & (100 * (totals - single) >= percent * totals)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")[stays])], ["doc_id"])
+
+    sent = _texts(docs, reps).mapInArrow(send, schema).repartition("part").sortWithinPartitions("part")
+    back = sent.mapInArrow(alone, schema.removeprefix("part int, ")).repartition("block").sortWithinPartitions("block", F.desc("whole"))
+    return back.mapInArrow(judge, "doc_id long")
+
+
+def slot_counts(docs: DataFrame, reps: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall into each slot, of the documents in *reps* (doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for h in shingle_sets(batch.column(1).to_pylist()):
+                np.add.at(seen, _slot(h).astype(np.int64), 1)
+        hit = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(seen[hit])], ["slot", "n"])
+
+    found = _texts(docs, reps).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
 
 def _prefixes(docs: DataFrame, reps: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
@@ -443,15 +544,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     short_batches(spark)
     docs = one_row_each(docs)
-    rows = staged(described(docs), "described")
-    slots = rows.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
-    marked = rows.filter("slot IS NULL").drop("slot", "n")
+    marked = staged(described(docs), "described")
     with_id = marked.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
-    texts = staged(with_id.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-sets")
+    distinct_sets = with_id.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("total"), F.count(F.lit(1)).alias("n"))
+    texts = staged(distinct_sets, "distinct-sets")
     with scratch(spark):
-        labels = staged(_labels(docs, texts.select(F.col("rep").alias("doc_id")), counts, percent), "components", keep=True)
+        shingles = texts.agg(F.sum("total")).first()[0] or 0
+        crowd = staged(crowded(docs, texts.select(F.col("rep").alias("doc_id")), shingles, percent), "crowded")
+        labels = staged(_labels(docs, crowd, slot_counts(docs, crowd), percent), "components", keep=True)
     named = texts.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id"))
     found = _joined(with_id, named, ["k1", "k2"], with_id.count()).select("doc_id", "n_shingles", "component_id")
     alone = marked.filter("doc_id IS NULL OR k1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
