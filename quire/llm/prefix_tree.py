@@ -68,8 +68,8 @@ def ordered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[np.lexsort((hashes, counts[_slot(hashes)]))]
 
 
-#: Buckets that a set's shingles are counted in: what two sets share is at most
-#: the sum of the lesser counts.  Larger sets are not judged by that.
+#: Buckets, at least, that a set's shingles are counted in: what two sets share is
+#: at most the sum of the lesser counts.  Larger sets are not judged by that.
 BUCKETS, JUDGED = 128, 4_000_000
 #: Bytes of a hash that sets are compared by, the upper ones; slots and order need no others.
 BYTES = 6
@@ -242,8 +242,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def outline(hashes: np.ndarray) -> bytes:
-    """How many of a set's shingles fall into each bucket, as 16 bits each."""
-    return np.bincount(((hashes >> _U(48)) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS).clip(0, 0xFFFF).astype("<u2").tobytes()
+    """How many of a set's shingles fall into each bucket, as 16 bits each; a bucket has four of them at most in the mean, up to 2 ** 16 buckets."""
+    n = BUCKETS
+    while 4 * n < len(hashes) and n < 1 << 16:
+        n *= 2
+    return np.bincount(((hashes >> _U(48)) % _U(n)).astype(np.int64), minlength=n).clip(0, 0xFFFF).astype("<u2").tobytes()
+
+
+def _folded(outlines: np.ndarray, n: int) -> np.ndarray:
+    """The outlines (rows) in *n* buckets, which divides theirs."""
+    if outlines.shape[1] == n:
+        return outlines
+    return outlines.reshape(len(outlines), -1, n).sum(axis=1, dtype=np.int64).clip(0, 0xFFFF).astype("<u2")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -401,14 +411,19 @@ def _judged(group: Iterator[tuple], percent: int) -> Iterator[int]:
     held, hit = [], None
 
     def meets(rep: int, label: int, total: int, c: np.ndarray) -> bool:
-        shared = np.minimum(outlines, c).sum(axis=1)
+        shared = np.empty(len(totals), np.int64)
+        for where, kinds in outlines:  # those with as many buckets each
+            n = min(max(kinds), len(c))
+            if n not in kinds:
+                kinds[n] = _folded(kinds[max(kinds)], n)
+            shared[where] = np.minimum(kinds[n], _folded(c[None, :], n)).sum(axis=1, dtype=np.int64)
         near = ((100 + percent) * shared >= percent * (totals + total)) | (np.maximum(totals, total) > JUDGED)
         near &= labels != label
         np.logical_or(hit, near, out=hit)
         return bool(near.any())
 
     for *_, side, walks, rep, label, total, c in group:
-        row = rep, label, total, np.frombuffer(c, "<u2").astype(np.int64)
+        row = rep, label, total, np.frombuffer(c, "<u2")
         if side == 0:
             held.append((*row, walks))
             continue
@@ -424,8 +439,10 @@ def _judged(group: Iterator[tuple], percent: int) -> Iterator[int]:
     yield from (row[0] for row, a, b in zip(held, own, hit.tolist() if held else (), strict=True) if a or b)
 
 
-def _stacked(held: list[tuple]) -> tuple[np.ndarray, ...]:
-    outlines = np.array([row[3] for row in held])
+def _stacked(held: list[tuple]) -> tuple:
+    """(places, outlines by number of buckets) of the sets with as many buckets each; all sets' totals, labels, and room for marks."""
+    sizes = np.array([len(row[3]) for row in held])
+    outlines = [(at := np.flatnonzero(sizes == n), {int(n): np.array([held[i][3] for i in at])}) for n in np.unique(sizes)]
     return outlines, np.array([row[2] for row in held]), np.array([row[1] for row in held]), np.zeros(len(held), bool)
 
 

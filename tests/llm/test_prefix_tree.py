@@ -125,3 +125,31 @@ def test_outlines_bound_what_sets_share():
         a, b = (np.unique(np.append(base[: int(rng.integers(0, 300))], rng.integers(0, 2**63, 50).astype(np.uint64))) for _ in "ab")
         x, y = (np.frombuffer(prefix_tree.outline(v), "<u2") for v in (a, b))
         assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b)) and x.sum() == len(a)
+
+
+def test_outlines_of_large_sets_bound_and_tell_apart():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    own = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    half = [np.append(base[:1500], own(n)) for n in (1500, 1400, 600)]  # three sets of one passage, of which none is similar
+    near = [base[:2000], np.append(base[:1950], own(150)), np.append(base[:2000], own(400))]
+    row = lambda side, i, h: (0, 0, 0, 0, side, False, i, i, len(h), prefix_tree.outline(h))
+    judged = lambda *rows: sorted(prefix_tree._judged(iter(rows), 80))
+    assert len({len(prefix_tree.outline(h)) for h in near}) == 2
+    assert judged(row(0, 1, near[0]), row(0, 2, half[0]), row(0, 3, near[2]), row(1, 4, near[1])) == [1, 3, 4]
+    assert judged(row(0, 1, half[0]), row(0, 2, half[2]), row(1, 3, half[1])) == []
+
+
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 20), (50, 120)])
+def test_sets_of_mostly_own_shingles_meet_nobody(spark, monkeypatch, limits):
+    """Those that may be similar to another are all there; a passage of 30 words alone lets none meet."""
+    monkeypatch.setattr(prefix_tree, "PART_SHINGLES", limits[0])
+    monkeypatch.setattr(prefix_tree, "BLOCK_SHINGLES", limits[1])
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(90)] + passage)) for i in range(-5, 60)]
+    rows += [(100 + i, rows[i][1] + " one more") for i in range(10)]
+    seen, prefixes = [], prefix_tree._prefixes
+    monkeypatch.setattr(prefix_tree, "_prefixes", lambda docs, reps, *a: (seen.extend(r[0] for r in reps.collect()), prefixes(docs, reps, *a))[1])
+    assert ours(prefix_tree.linked(made(spark, rows))) == sorted(brute(rows), key=str)
+    assert sorted(seen) == sorted([i for i, _ in rows[:10]] + [100 + i for i in range(10)])
