@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.staging import scratch, shared_dir, staged
 
-__all__ = ["append_columns", "field", "keeping_columns", "of_worker", "scratch", "shared_dir", "short_batches", "staged", "table"]
+__all__ = ["append_columns", "field", "give_back", "keeping_columns", "of_worker", "scratch", "shared_dir", "short_batches", "staged", "table"]
 
 #: Rows of one Arrow batch.  Texts may be long, so batches are kept short.
 ARROW_ROWS = "512"
@@ -87,12 +87,12 @@ def of_worker(key: tuple, make: Callable[[], object]) -> object:
     if key not in _held:
         if _held:
             _held.clear()
-            _give_back()
+            give_back()
         _held[key] = make()
     return _held[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory that this process has freed goes to the system: what cycles held, Arrow's pool, the allocator's."""
     gc.collect()
     pa.default_memory_pool().release_unused()

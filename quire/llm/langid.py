@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import append_columns, field, keeping_columns, of_worker, short_batches
+from quire.llm.common import append_columns, field, give_back, keeping_columns, of_worker, short_batches
 
 MODEL = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -272,6 +272,9 @@ def learn(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, name: str = MODEL)
         by_lang.setdefault(lang, {})[word] = n
     pieces, languages = vocabulary(name), sorted(by_lang)
     table = np.column_stack([fit_pieces(by_lang[k], pieces) for k in languages]) if languages else np.zeros((len(pieces), 0))
+    # what words and lattices took would else stay with the driver through all that follows
+    by_lang.clear()
+    give_back()
     return Model(languages, pieces, table)
 
 

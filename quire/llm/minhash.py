@@ -240,7 +240,7 @@ def common_shingles(docs: DataFrame, common: float = COMMON, candidates: int = C
 
     found = staged(texts.mapInArrow(local(common), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common-candidates")
     if found.count() <= candidates:
-        sought = np.sort(np.array([r["h"] for r in found.select("h").toLocalIterator()], np.int64).view(np.uint64))
+        sought = np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
         sent = spark.sparkContext.broadcast(sought)
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +257,10 @@ def common_shingles(docs: DataFrame, common: float = COMMON, candidates: int = C
         counted = texts.mapInArrow(exact, "h long, n long") if len(sought) else found.limit(0)
     else:
         counted = texts.mapInArrow(local(0.0), "h long, n long")
-    rows = counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
-    hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    rows = counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    hashes = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.array([idf_of(r["n"], documents, common) for r in rows], float)[order]
+    return hashes[order], np.array([idf_of(n, documents, common) for n in rows.column("n").to_pylist()], float)[order]
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:

@@ -178,3 +178,11 @@ def test_lattice_looks_up_all_places_at_once():
             expected += [] if marked[b] in pieces else [(w, b, b + 1, -1)]
     arcs = zip(lattice.word.tolist(), lattice.begin.tolist(), lattice.end.tolist(), lattice.piece.tolist(), strict=True)
     assert sorted(arcs) == sorted(expected)
+
+
+def test_the_driver_gives_back_what_learning_took(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(True))
+    rows = [(i, f"wort satz nummer {i}" if i % 2 else f"word phrase number {i}", "de" if i % 2 else "en") for i in range(20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and given == [True]
