@@ -1,8 +1,10 @@
 """Encoding with a byte-level BPE tokenizer through worker caches.
 
-The library encodes each pre-token by itself, and a blank before a visible
-character always begins a pre-token.  A text may thus be cut at such blanks and
-the pieces' ids looked up; the library encodes what the cache lacks.
+The library encodes each pre-token by itself.  A blank before a visible
+character always begins a pre-token, and so do a mark after a letter or digit
+and a line's end after a visible character.  A text may thus be cut there and
+the pieces' ids looked up, so that a word is held once, whatever follows it; the
+library encodes what the cache lacks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ CACHE_ENTRIES = 350_000
 PRETOKEN_ENTRIES = 80_000
 
 _CUT = re.compile(r" (?=\S)")
+#: Begins a chunk that follows no blank, in place of that blank.
+JOINED = "\0"
+_JOINING = rf" {JOINED}\g<0>"
+#: A mark after a letter or digit, and a line's end after a visible character.
+_ENDS = re.compile("[!-/:-@\\[-`{-~\n](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ][!-~]|[!-~À-ÖØ-öø-ÿ]\n)").sub
 #: The library's pre-tokens, where text has only characters for which Python's
 #: classes and Unicode's are the same.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
@@ -37,17 +44,15 @@ class _Uncuttable(Exception):
 
 
 class _Halves(dict):
-    """A cache of f(key) in two halves of *entries*; f also says whether to hold a value."""
+    """A cache of f(key) in two halves of *entries*."""
 
-    def __init__(self, f: Callable[[str], tuple[bytes, bool]], entries: int):
+    def __init__(self, f: Callable[[str], bytes], entries: int):
         self.f, self.entries, self.old = f, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value, hold = self.f(key)
-            if not hold:
-                return value
+            value = self.f(key)
         if len(self) >= self.entries:
             self.old = self.copy()
             self.clear()
@@ -77,9 +82,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.pre = self.library.model, self.library.pre_tokenizer
-        self.known = _Halves(lambda piece: (self._pretoken(piece), True), PRETOKEN_ENTRIES).__getitem__
-        self.chunks = _Halves(self._chunk, CACHE_ENTRIES)
-        self.lookup = self.chunks.__getitem__
+        self.known = _Halves(self._pretoken, PRETOKEN_ENTRIES).__getitem__
+        self.lookup = _Halves(self._chunk, CACHE_ENTRIES).__getitem__
         self.letters = _byte_letters()
         self.blank = self.letters[ord(" ")]
 
@@ -89,28 +93,13 @@ class Encoder:
     def _pretoken(self, piece: str) -> bytes:
         return self._ids(piece.encode("utf-8").decode("latin-1").translate(self.letters))
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bool]:
-        """Ids of a chunk that follows a blank.
-
-        Letters, full stops or commas, and what stands after a line's end are
-        each a pre-token or more of its own; such a chunk is held only if its
-        letters are known already.
-        """
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows a blank, or of what follows JOINED; letters are a pre-token."""
         if chunk.isalpha():
-            return self._ids(chr(self.blank) + chunk) if chunk.isascii() else self._pretoken(" " + chunk), True
+            return self._ids(chr(self.blank) + chunk) if chunk.isascii() else self._pretoken(" " + chunk)
         if not chunk or chunk[0].isspace():
             raise _Uncuttable
-        line, end, rest = chunk.partition("\n")
-        word = line.rstrip(".,")
-        if not word.isalpha():
-            return self.pretokens(" " + chunk), True
-        hold = not end and word in self.chunks
-        ids = self.lookup(word)
-        if len(word) < len(line):
-            ids += self.known(line[len(word) :])
-        if end:
-            ids += self.known("\n") + self.known(rest) if rest.isalpha() else self.pretokens(end + rest)
-        return ids, hold
+        return self.pretokens(chunk[1:] if chunk[0] == JOINED else " " + chunk)
 
     def pretokens(self, text: str) -> bytes:
         if _PLAIN(text):
@@ -123,6 +112,9 @@ class Encoder:
             return b""
         if not self.cuttable or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        if JOINED in text:
+            return self.pretokens(text)
+        text = _ENDS(_JOINING, text)
         first, *rest = text.split(" ")
         try:
             return self.pretokens(first) + b"".join(map(self.lookup, rest))

@@ -39,6 +39,8 @@ MAGIC = b"QWM2"
 BLOCK = 512
 #: Bytes of a section that are compressed together; blocks lie within a part.
 PART = 1 << 14
+#: Numbers that are parted at a time, so that their places stay in the processor's cache.
+RUN = 1 << 16
 END_ID = 2
 #: A shard is closed once it has so many ids; documents are never split.
 SHARD_TOKENS = 1 << 20
@@ -56,10 +58,16 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             ones = (numbers & numbers.dtype.type(1 << level)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
-            zeros.append(len(low))
             ranks.append(_ranks(planes[-1], n))
-            numbers = np.concatenate([numbers.take(low), numbers.take(high)])
+            zeros.append(n - int(np.count_nonzero(ones)))
+            parted, a, b = np.empty_like(numbers), 0, zeros[-1]
+            for i in range(0, n, RUN):
+                run, bits = numbers[i : i + RUN], ones[i : i + RUN]
+                low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
+                parted[a : a + len(low)] = run.take(low)
+                parted[b : b + len(high)] = run.take(high)
+                a, b = a + len(low), b + len(high)
+            numbers = parted
         return cls(n, planes, zeros, ranks)
 
     def _ones(self, k: int, i: int) -> int:

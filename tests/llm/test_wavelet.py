@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,6 +35,16 @@ def test_queries_open_few_parts():
     assert shard.occurrences(int(ids[5])) == np.flatnonzero(ids == ids[5]).tolist() and shard.tokens().tolist() == ids.tolist()
 
 
+def test_building_keeps_no_places_of_all_numbers():
+    """Numbers are parted run by run; places of all of them at once were four times their size."""
+    numbers = np.random.default_rng(1).integers(0, 40_000, 1 << 20).astype(np.uint16)
+    tracemalloc.start()
+    matrix = wavelet.WaveletMatrix.build(numbers, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert matrix.decode().tolist() == numbers.tolist() and peak < 6 * numbers.nbytes
+
+
 def test_encoder_equals_the_library(texts):
     enc = bpe.Encoder()
     odd = ["a  b", " a", "a ", "\n b", "a\n b  c\x1c d", "x <|endoftext|> y", "don't  \t you'll 've", "", " ", "日本 語 ２３ ²", "é a\x85 b 　 c", "ª º ¼ a²b", "\x00 a", "  \n  x"]
@@ -41,6 +52,23 @@ def test_encoder_equals_the_library(texts):
         assert enc.encode(t).tolist() == enc.library.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_cuts_fall_between_the_library_s_pretokens():
+    enc, pick = bpe.Encoder(), np.random.default_rng(3)
+    parts = ["a", "é", "É", "ß", "1", "²", "ª", "日", "_", ".", ",", "'", "'s", "'ll", "&", "»", "×", " ", " ", "\n", "\n", "\r", "\t", "\x1c", "\x85", "\xa0", "\u3000", "\0", "the", "\U0001f600"]
+    for size in pick.integers(1, 14, 6000):
+        text = "".join(pick.choice(parts, size))
+        assert enc.encode(text).tolist() == enc.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(monkeypatch):
+    enc, asked = bpe.Encoder(), []
+    ids = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda letters: asked.append(letters) or ids(letters))
+    text = "x oftionnten oftionnten, oftionnten. oftionnten.\nAnd oftionnten*** oftionnten's oftionnten\nThe oftionnten; oftionnten"
+    assert enc.encode(text).tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    assert sum("oftionnten" in a for a in asked) == 1
+
+
 def expected(rows):
     library, at, out = bpe.encoder().library, 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
